@@ -31,9 +31,15 @@ def _blocks(n_rows: int, per_block: int) -> int:
 
 
 def _tiles(x: DataFrame, y: DataFrame, x_key: str, y_key: str, gx: int, gy: int):
-    bx, by = F.pmod(F.xxhash64(x_key), F.lit(gx)), F.pmod(F.xxhash64(y_key), F.lit(gy))
-    xs = x.withColumn("_bx", bx).withColumn("_by", F.explode(F.sequence(F.lit(0), F.lit(gy - 1))).cast("bigint"))
-    ys = y.withColumn("_by", by).withColumn("_bx", F.explode(F.sequence(F.lit(0), F.lit(gx - 1))).cast("bigint"))
+    """Co-groups (x block, y block); each side is repeated once per block of the other."""
+    def block(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+    xs = x.withColumn("_bx", block(x_key, gx)).withColumn("_by", every(gy))
+    ys = y.withColumn("_by", block(y_key, gy)).withColumn("_bx", every(gx))
     return xs.groupBy("_bx", "_by").cogroup(ys.groupBy("_bx", "_by"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from procspark.plans import answers, answers_sql, process, process_sql, texts, texts_sql
+from procspark.plans import answers, answers_sql, process, process_sql, texts, texts_sql, vectors, vectors_sql
 
-QUERIES = {**process.QUERIES, **texts.QUERIES, **answers.QUERIES}
-SQL = {**process_sql.SQL, **texts_sql.SQL, **answers_sql.SQL}
+QUERIES = {**process.QUERIES, **texts.QUERIES, **answers.QUERIES, **vectors.QUERIES}
+SQL = {**process_sql.SQL, **texts_sql.SQL, **answers_sql.SQL, **vectors_sql.SQL}

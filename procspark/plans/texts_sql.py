@@ -35,22 +35,27 @@ FACT = """f AS (SELECT d.lang AS dataset_name, d.source AS split, l.toxic AS p,
     count(*) FILTER (p <> c AND y = c) AS fn FROM f, (SELECT unnest([0, 1]) AS c) GROUP BY ALL HAVING tp + fp + fn > 0)"""
 
 
-def chunk_f1(names: list[str]) -> str:
-    """Chunk F1 by window functions over single tags (the engine works inside the row)."""
+TAGGED = f"""{TOK}, raw AS (SELECT doc_id, lang, i, (doc_id + i * i) % 7 AS gold,
+    CASE WHEN (i * 3 + doc_id) % 5 = 0 THEN ((doc_id + i * i) % 7 + 1) % 7 ELSE (doc_id + i * i) % 7 END AS pred
+    FROM tok WHERE i % 11 <> 0)"""
+
+
+def chunk_f1_over(source: str, names: list[str], group: str, groups: str) -> str:
+    """Chunk F1 by window functions over single tags (the engine works on whole sequences).
+
+    ``source`` ends in a table ``raw(doc_id, lang, i, gold, pred)``.
+    """
     table = "[" + ", ".join(f"'{n}'" for n in names) + "]"
     kind = "substr({0}, 1, 1)".format
     typ = ("CASE WHEN substr({0}, 2) = '' THEN '_' WHEN contains(substr({0}, 2), '-') "
            "THEN substr({0}, 2 + instr(substr({0}, 2), '-')) ELSE substr({0}, 2) END").format
-    return f"""WITH {TOK},
-    raw AS (SELECT doc_id, lang, i, (doc_id + i * i) % 7 AS gold,
-            CASE WHEN (i * 3 + doc_id) % 5 = 0 THEN ((doc_id + i * i) % 7 + 1) % 7 ELSE (doc_id + i * i) % 7 END AS pred
-            FROM tok WHERE i % 11 <> 0),
+    return f"""WITH {source},
     tags AS (SELECT 'g' AS side, doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos,
              {table}[gold + 1] AS tag FROM raw
              UNION ALL SELECT 'p', doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1, {table}[pred + 1] FROM raw
              UNION ALL SELECT unnest(['g', 'p']), doc_id, lang, count(*), 'O' FROM raw GROUP BY doc_id, lang),
-    kt AS (SELECT *, {kind('tag')} AS k, {typ('tag')} AS ty FROM tags),
-    pv AS (SELECT *, lag(k, 1, 'O') OVER w AS pk, lag(ty, 1, '') OVER w AS pt FROM kt WINDOW w AS (PARTITION BY side, doc_id ORDER BY pos)),
+    kd AS (SELECT *, {kind('tag')} AS k, {typ('tag')} AS ty FROM tags),
+    pv AS (SELECT *, lag(k, 1, 'O') OVER w AS pk, lag(ty, 1, '') OVER w AS pt FROM kd WINDOW w AS (PARTITION BY side, doc_id ORDER BY pos)),
     ed AS (SELECT *, (pk IN ('E','S') OR (pk IN ('B','I') AND k IN ('B','S','O')) OR (pk NOT IN ('O','.') AND pt <> ty)) AS ends,
            (k IN ('B','S') OR (pk IN ('E','S','O') AND k IN ('E','I')) OR (k NOT IN ('O','.') AND pt <> ty)) AS starts FROM pv),
     be AS (SELECT *, coalesce(max(CASE WHEN starts THEN pos END) OVER (PARTITION BY side, doc_id ORDER BY pos
@@ -58,9 +63,13 @@ def chunk_f1(names: list[str]) -> str:
     sp AS (SELECT DISTINCT side, doc_id, lang, pt AS ty, b, pos - 1 AS e FROM be WHERE ends),
     n AS (SELECT lang, count(*) FILTER (side = 'p') AS pred, count(*) FILTER (side = 'g') AS gold FROM sp GROUP BY lang),
     hit AS (SELECT lang, count(*) AS tp FROM (SELECT doc_id, lang, ty, b, e FROM sp GROUP BY ALL HAVING count(*) = 2) GROUP BY lang),
-    al AS (SELECT DISTINCT lang FROM documents)
-    SELECT lang, coalesce(tp, 0) AS tp, coalesce(pred, 0) AS pred, coalesce(gold, 0) AS gold,
-    round(coalesce(2.0 * tp / (pred + gold), 0), 6) AS f1 FROM al LEFT JOIN n USING (lang) LEFT JOIN hit USING (lang)"""
+    al AS ({groups})
+    SELECT al.lang AS {group}, coalesce(tp, 0) AS tp, coalesce(pred, 0) AS pred, coalesce(gold, 0) AS gold,
+    round(coalesce(2.0 * tp / (pred + gold), 0), 6) AS f1 FROM al LEFT JOIN n ON n.lang = al.lang LEFT JOIN hit ON hit.lang = al.lang"""
+
+
+def chunk_f1(names: list[str]) -> str:
+    return chunk_f1_over(TAGGED, names, "lang", "SELECT DISTINCT lang FROM documents")
 
 
 def pad_left(expr: str, fill: str) -> str:
