@@ -79,3 +79,13 @@ def bounded_local(df: DataFrame, max_rows: int = 10_000) -> DataFrame | None:
     if len(rows) > max_rows:
         return None
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a source of fewer splits than cores over all cores, before heavy per-row work.
+
+    A source with enough splits is returned as it is, so nothing is shuffled at scale.
+    Only the planned number of splits is looked at; nothing runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -104,7 +104,7 @@ def _reject(strict: bool, what: str, c: Column) -> Column:
 def parse_set(c: Column, strict: bool = False) -> Column:
     """Text of a set of strings -> sorted distinct array; other text is null (or an error)."""
     ok = _skeleton(c).rlike(r"^(\{s[s,]*\}|set\(\))$")
-    return F.when(ok, F.array_sort(F.array_distinct(string_literals(c)))).otherwise(
+    return F.when(ok, F.sort_array(F.array_distinct(string_literals(c)))).otherwise(
         _reject(strict, "set", c))
 
 

@@ -72,7 +72,7 @@ def cka_grouped(pairs: DataFrame, group: str = "a", pos: str = "b", x: str = "x"
     rows = src.join(means, pos).select(group, pos, *[
         F.when(F.col("_n") > 1, F.zip_with(v, m, lambda p, q: p - q)).otherwise(F.col(v)).alias(v)
         for v, m in (("_x", "_mx"), ("_y", "_my"))])
-    packed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(pos, "_x", "_y"))).alias("_r")).select(
+    packed = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(pos, "_x", "_y"))).alias("_r")).select(
         group, F.col("_r._x").alias("xs"), F.col("_r._y").alias("ys"))
 
     def score(batches):

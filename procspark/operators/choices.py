@@ -18,7 +18,7 @@ def expand_choices(df: DataFrame, context: str, question: str, choices: Sequence
 
 def regroup_choices(df: DataFrame, columns: Sequence[str], row_id: str = "row_id") -> DataFrame:
     """Lists per row again, in choice order; a row has as many entries as choices."""
-    parts = F.array_sort(F.collect_list(F.struct("choice_pos", *columns)))
+    parts = F.sort_array(F.collect_list(F.struct("choice_pos", *columns)))
     return (df.groupBy(row_id).agg(parts.alias("_p"))
             .select(row_id, *[F.col(f"_p.{c}").alias(c) for c in columns]))
 

@@ -24,14 +24,14 @@ def traces(log: DataFrame, case: Sequence[str], carry: Sequence[str] = MODEL) ->
     extra = [c for c in carry if c not in case]
     return (log.groupBy(*case)
             .agg(*[F.min(c).alias(c) for c in extra], F.min("event_id").alias("row_id"),
-                 F.transform(F.array_sort(F.collect_list(_event())),
+                 F.transform(F.sort_array(F.collect_list(_event())),
                              lambda e: e["activity"]).alias("trace")))
 
 
 def activity_sets(log: DataFrame, model: Sequence[str] = MODEL) -> DataFrame:
     """Sorted distinct activities per model."""
     return (log.select(*model, "activity").distinct()
-            .groupBy(*model).agg(F.array_sort(F.collect_list("activity")).alias("unique_activities")))
+            .groupBy(*model).agg(F.sort_array(F.collect_list("activity")).alias("unique_activities")))
 
 
 def with_activity_sets(df: DataFrame, log: DataFrame, model: Sequence[str] = MODEL) -> DataFrame:
@@ -87,4 +87,4 @@ def directly_follows(log: DataFrame, case: Sequence[str], model: Sequence[str] =
                      bucket: Column | None = None) -> DataFrame:
     """Sorted distinct neighbour pairs per model, as ``dfg``."""
     return (follow_edges(log, case, model, bucket).distinct()
-            .groupBy(*model).agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("dfg")))
+            .groupBy(*model).agg(F.sort_array(F.collect_list(F.struct("src", "dst"))).alias("dfg")))

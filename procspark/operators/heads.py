@@ -52,6 +52,6 @@ def head_logits(df: DataFrame, heads: DataFrame, vec: str = "vec", task: str = "
 def _joined_logits(df: DataFrame, heads: DataFrame, vec: str, task: str, row_id: str) -> DataFrame:
     scores = (df.select(row_id, task, vec).join(heads, task)
               .select(row_id, "class_idx", dot(doubles(F.col(vec)), F.col("w")).alias("s"))
-              .groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("class_idx", "s"))).alias("_l"))
+              .groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("class_idx", "s"))).alias("_l"))
               .select(row_id, F.col("_l.s").alias("logits")))
     return df.join(scores, row_id, "left")

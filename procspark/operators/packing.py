@@ -53,7 +53,7 @@ def pack_blocks(df: DataFrame, columns: Sequence[str], block: int = 512, row_id:
     cut = pieces.select("batch_id", "block_id", row_id, *[
         F.slice(c, lo + 1, hi - lo).alias(c) for c in columns])
     grouped = cut.groupBy("batch_id", "block_id").agg(
-        F.array_sort(F.collect_list(F.struct(row_id, *columns))).alias("_parts"))
+        F.sort_array(F.collect_list(F.struct(row_id, *columns))).alias("_parts"))
     return (grouped.select("batch_id", "block_id", *[
                 F.flatten(F.col(f"_parts.{c}")).alias(c) for c in columns])
             .filter(F.size(first) == block))

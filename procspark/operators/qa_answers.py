@@ -16,7 +16,7 @@ NO_ANSWER = "empty"
 
 def _top_positions(logits: Column, n: int) -> Column:
     """Positions of the n largest logits, best first; of equal logits the later one first."""
-    ranked = F.array_sort(F.transform(logits, lambda x, i: F.struct(
+    ranked = F.sort_array(F.transform(logits, lambda x, i: F.struct(
         (-x).alias("neg"), (-i).alias("neg_i"))))
     return F.transform(F.slice(ranked, 1, n), lambda s: F.struct(
         (-s["neg_i"]).alias("i"), (-s["neg"]).alias("logit")))
@@ -44,7 +44,7 @@ def feature_candidates(features: DataFrame, n_best: int = 20, max_answer_length:
                 flag = F.coalesce(F.try_element_at(F.col(max_context), s["i"].cast("string")), F.lit(False))
                 valid = valid & (F.col(max_context).isNull() | flag)
             return F.when(valid, out).otherwise(F.slice(out, 1, 0))
-        return F.slice(F.array_sort(F.flatten(F.transform(starts, for_start))), 1, n_best)
+        return F.slice(F.sort_array(F.flatten(F.transform(starts, for_start))), 1, n_best)
 
     spans = let(_top_positions(F.col("start_logits"), n_best), lambda s: let(
         _top_positions(F.col("end_logits"), n_best), lambda e: let(
@@ -76,7 +76,7 @@ def nbest(features: DataFrame, examples: DataFrame, negatives: bool = False, n_b
     top = (cand.withColumn("rank", F.row_number().over(Window.partitionBy("example_id").orderBy(*order)))
            .filter(F.col("rank") <= n_best))
     row = F.struct((-F.col("score")).alias("neg"), "rank", "start_logit", "end_logit", "begin", "finish")
-    best = top.groupBy("example_id").agg(F.array_sort(F.collect_list(row)).alias("spans"))
+    best = top.groupBy("example_id").agg(F.sort_array(F.collect_list(row)).alias("spans"))
     out = examples.join(best, "example_id", "left").withColumn("spans", F.coalesce(
         "spans", F.expr("cast(array() as array<struct<neg:double,rank:int,start_logit:double,"
                         "end_logit:double,begin:int,finish:int>>)")))
@@ -86,7 +86,7 @@ def nbest(features: DataFrame, examples: DataFrame, negatives: bool = False, n_b
                         F.col("null_start").alias("start_logit"), F.col("null_end").alias("end_logit"),
                         F.lit(0).alias("begin"), F.lit(0).alias("finish"))
         with_null = F.when(F.col("null_score").isNull(), F.col("spans")).otherwise(
-            F.array_sort(F.concat("spans", F.array(null))))
+            F.sort_array(F.concat("spans", F.array(null))))
         out = out.withColumn("spans", let(with_null, lambda a: let(F.slice(a, 1, n_best), lambda cut: F.when(
             F.exists(cut, lambda p: (p["begin"] == 0) & (p["finish"] == 0)) | F.col("null_score").isNull(),
             cut).otherwise(F.concat(cut, F.array(null))))))

@@ -118,7 +118,7 @@ def _bert_block(a, a_at, b, b_at) -> np.ndarray:
 def sentences(tokens: DataFrame, key: str = "pair_id") -> DataFrame:
     """(key, vecs): the unmasked token vectors of a sentence in order."""
     return (tokens.filter(F.col("mask") > 0).groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct("pos", doubles(F.col("vec")).alias("vec")))).alias("_t"))
+            .agg(F.sort_array(F.collect_list(F.struct("pos", doubles(F.col("vec")).alias("vec")))).alias("_t"))
             .select(key, F.col("_t.vec").alias("vecs")))
 
 

@@ -12,13 +12,13 @@ from procspark.plans.views import joined, rounded
 
 
 def strip_truncate(spark, sf):
-    d = pk.strip_texts(v.documents(spark, sf).select("doc_id", "text"), "text")
+    d = pk.strip_texts(v.documents(spark, sf, "doc_id", "text"), "text")
     t = truncate(words(F.col("text")), 128)
     return d.select("doc_id", F.size(t).alias("n_tokens"), F.array_join(t, "").alias("text"))
 
 
 def blank_line_filter(spark, sf):
-    lines = v.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = v.documents(spark, sf, "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return pk.drop_blank_lines(lines, "line").select("doc_id", "line_no", "line")
 
 
@@ -152,7 +152,7 @@ def length_mask(spark, sf):
 
 def dataset_union_metrics(spark, sf):
     """Label agreement per language and source, as one metrics table."""
-    d = v.table(spark, sf, "labels").join(v.documents(spark, sf).select("doc_id", "lang", "source"), "doc_id").select(
+    d = v.table(spark, sf, "labels").join(v.table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id").select(
         F.col("lang").alias("dataset_name"), F.col("source").alias("split"), F.col("toxic").alias("preds"),
         F.col("quality").alias("labels"))
     return mt.evaluate(d).select("dataset_name", "split", "metric", rounded(F.col("value")).alias("value"))

@@ -75,7 +75,7 @@ def knn_entity_f1(spark, sf):
     vote = rt.knn_vote(_neighbours(spark, sf)).withColumn("pred", F.when(F.col("pred") < 7, F.col("pred")).otherwise(0))
     gold = v.halves(spark, sf)[1].select(F.col("vec_id").alias("x_id"), F.when(F.col("label") < 7, F.col("label")).otherwise(0).alias("y"))
     tok = rt.scatter(gold.select("x_id", "y", F.explode(F.array(*[F.lit(k) for k in rt.KNN_SIZES])).alias("k")), vote, ["x_id", "k"], -100)
-    at = F.array_sort(F.collect_list(F.struct("x_id", F.col("pred").cast("int").alias("p"), F.col("y").cast("int").alias("y"))))
+    at = F.sort_array(F.collect_list(F.struct("x_id", F.col("pred").cast("int").alias("p"), F.col("y").cast("int").alias("y"))))
     rows = tok.groupBy("k", F.floor(F.col("x_id") / 5).alias("sent")).agg(at.alias("t")).select(
         "k", F.col("t.p").alias("preds"), F.col("t.y").alias("labels"))
     return tg.entity_f1(rows, "preds", "labels", tg.NER_TAGS, ["k"]).select("k", "tp", "pred", "gold", rounded(F.col("f1")).alias("f1"))

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from procspark.functions.tokens import words
+from procspark.functions.ranking import spread
+from procspark.functions.tokens import offsets, words
 from procspark.operators import dedup_split as ds, eventlog as ev
+from procspark.operators.qa_windows import eval_features
 
 CASE = ("model_id", "revision_id", "case_id")
 
@@ -72,12 +74,14 @@ def id_list(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- texts ----------------------------------------------------------------
 
-def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+def documents(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    """Documents; the test file has one row group, so its rows are spread first."""
+    return spread(table(spark, sf, "documents").select(*(cols or ("*",))), "doc_id")
 
 
 def doc_words(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select("doc_id", "lang", "source", words(F.col("text")).alias("tokens"))
+    return documents(spark, sf, "doc_id", "lang", "source", "text").select(
+        "doc_id", "lang", "source", words(F.col("text")).alias("tokens"))
 
 
 def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,9 +107,7 @@ def tagged(spark: SparkSession, sf: str) -> DataFrame:
 
 def qa_examples(spark: SparkSession, sf: str) -> DataFrame:
     """Each document as context; the answer is up to three words from a chosen one on."""
-    from procspark.functions.tokens import offsets
-    d = doc_words(spark, sf).withColumn("spans", offsets(F.col("tokens"))).join(
-        documents(spark, sf).select("doc_id", "text", "n_chars"), "doc_id")
+    d = documents(spark, sf).withColumn("spans", offsets(words(F.col("text"))))
     n = F.size("spans")
     k = (F.col("doc_id") * 31 % n).cast("int")
     d = d.withColumn("b", F.get("spans", k)["start"]).withColumn(
@@ -120,7 +122,6 @@ def qa_examples(spark: SparkSession, sf: str) -> DataFrame:
 
 def qa_scored(spark: SparkSession, sf: str) -> DataFrame:
     """Windows with pseudo-logits, integer formulas of (document, window, position)."""
-    from procspark.operators.qa_windows import eval_features
     feats = eval_features(qa_examples(spark, sf).select("id", "context", "question"))
     pos = F.sequence(F.lit(0), F.col("n_positions") - 1)
     d, w = F.col("example_id"), F.col("window_no")
