@@ -13,6 +13,9 @@ PY_SPACE = r"[\s\x1c-\x1f]"
 # Fixed value: characters that repr() writes as an escape.
 NOT_PRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"
 
+# Fixed value: characters that repr() does not write as they are, quotes aside.
+ESCAPED = r"[\\\p{C}\p{Z}&&[^ ]]"
+
 # Fixed value: a quoted Python string literal.
 STRING_LITERAL = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
 
@@ -52,11 +55,10 @@ def _escape_char(ch: Column) -> Column:
 
 def py_repr(c: Column) -> Column:
     """``repr(str)``: single quotes unless the text holds only single quotes."""
-    body = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    spelled = F.replace(c, F.lit("\\"), F.lit("\\\\"))
     for raw, esc in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        body = F.replace(body, F.lit(raw), F.lit(esc))
-    body = F.when(body.rlike(NOT_PRINTABLE),
-                  F.array_join(F.transform(F.split(body, ""), _escape_char), "")).otherwise(body)
+        spelled = F.replace(spelled, F.lit(raw), F.lit(esc))
+    body = F.when(c.rlike(ESCAPED), F.array_join(F.transform(F.split(spelled, ""), _escape_char), "")).otherwise(c)
     single, double = F.contains(c, F.lit("'")), F.contains(c, F.lit('"'))
     return (F.when(~single, F.concat(F.lit("'"), body, F.lit("'")))
             .when(~double, F.concat(F.lit('"'), body, F.lit('"')))

@@ -50,15 +50,17 @@ def eventually_follows(log: DataFrame, case: Sequence[str], carry: Sequence[str]
     """Distinct ordered activity pairs (src somewhere before dst) of every case.
 
     An activity is before another one iff its first event is before the other's
-    last event, so only first and last events meet, not all events.
+    last event, so only first and last events meet, not all events. Both are
+    folded per (case, activity) before a case comes together.
     """
     extra = [c for c in carry if c not in case]
     at = F.struct("ts", "event_id")
     span = log.groupBy(*case, *extra, "activity").agg(F.min(at).alias("first"), F.max(at).alias("last"))
-    src = span.select(*case, *extra, F.col("activity").alias("src"), "first")
-    dst = span.select(*case, F.col("activity").alias("dst"), "last")
-    return (src.join(dst, list(case)).filter(F.col("first") < F.col("last"))
-            .select(*case, *extra, F.struct("src", "dst").alias("eventually_follows")))
+    acts = span.groupBy(*case, *extra).agg(F.collect_list(F.struct("activity", "first", "last")).alias("_acts"))
+    src = acts.select(*case, *extra, "_acts", F.explode("_acts").alias("_a"))
+    later = F.filter("_acts", lambda b: F.col("_a.first") < b["last"])
+    return (src.select(*case, *extra, F.col("_a.activity").alias("src"), F.explode(later).alias("_b"))
+            .select(*case, *extra, F.struct("src", F.col("_b.activity").alias("dst")).alias("eventually_follows")))
 
 
 def follow_edges(log: DataFrame, case: Sequence[str], model: Sequence[str] = MODEL,

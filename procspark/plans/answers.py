@@ -29,12 +29,13 @@ def qa_span_labels(spark, sf):
 
 
 def _nbest(spark, sf, negatives=False):
-    ctx = v.table(spark, sf, "documents").select(F.col("doc_id").alias("example_id"), F.col("text").alias("context"))
+    ctx = v.documents(spark, sf, "doc_id", "text").select(F.col("doc_id").alias("example_id"), F.col("text").alias("context"))
     return qa.nbest(v.qa_scored(spark, sf), ctx, negatives)
 
 
 def qa_nbest(spark, sf):
-    d = _nbest(spark, sf).select("example_id", F.posexplode("predictions").alias("place", "p"))
+    # the outer form, because the plain one adds a filter that computes the list twice
+    d = _nbest(spark, sf).select("example_id", F.posexplode_outer("predictions").alias("place", "p"))
     return d.select("example_id", "place", "p.text", "p.score", "p.start_logit", "p.end_logit",
                     rounded(F.col("p.probability")).alias("probability"))
 
