@@ -67,22 +67,23 @@ def follow_edges(log: DataFrame, case: Sequence[str], model: Sequence[str] = MOD
                  bucket: Column | None = None) -> DataFrame:
     """Each pair of neighbouring events in a case as (model, src, dst), with repeats.
 
-    ``bucket`` (default: the hour) cuts a case into pieces that sort on their own;
-    the pair over a cut joins the last event of a piece to the first of the next.
+    ``bucket`` (default: the hour; it must not decrease with time) cuts a case into
+    pieces that sort on their own, so no case has to fit one task. Only the ends of
+    the pieces are then lined up per case, for the pairs over the cuts.
     """
     cut = log.withColumn("_bucket", F.date_trunc("hour", "ts") if bucket is None else bucket)
-    piece = [*case, "_bucket"]
-    inner = (cut.withColumn("dst", F.lead("activity").over(
-                 Window.partitionBy(*piece).orderBy("ts", "event_id")))
-             .filter(F.col("dst").isNotNull())
-             .select(*model, F.col("activity").alias("src"), "dst"))
-    extra = [c for c in model if c not in case]
-    ends = cut.groupBy(*piece, *extra).agg(F.min(_event()).alias("head"), F.max(_event()).alias("tail"))
-    over_cut = (ends.withColumn("_next", F.lead("head").over(
-                    Window.partitionBy(*case).orderBy("_bucket")))
-                .filter(F.col("_next").isNotNull())
-                .select(*model, F.col("tail.activity").alias("src"), F.col("_next.activity").alias("dst")))
-    return inner.unionByName(over_cut)
+    piece = Window.partitionBy(*case, "_bucket").orderBy("ts", "event_id")
+    marked = (cut.withColumn("dst", F.lead("activity").over(piece))
+              .withColumn("_head", F.row_number().over(piece) == 1))
+    inner = marked.filter(F.col("dst").isNotNull())
+    whole = Window.partitionBy(*case).orderBy("ts", "event_id")
+    over_cut = (marked.filter(F.col("dst").isNull() | F.col("_head"))
+                .withColumn("_next", F.lead("activity").over(whole))
+                .filter(F.col("dst").isNull() & F.col("_next").isNotNull())
+                .withColumn("dst", F.col("_next")))
+    parts = [
+        d.select(*model, F.col("activity").alias("src"), "dst") for d in (inner, over_cut)]
+    return parts[0].unionByName(parts[1])
 
 
 def directly_follows(log: DataFrame, case: Sequence[str], model: Sequence[str] = MODEL,

@@ -34,27 +34,40 @@ def class_counts(df: DataFrame, by: Sequence[str], preds: str = "preds", labels:
             .groupBy(*by, "cls").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
 
 
-def accuracy(df: DataFrame, by: Sequence[str] = (), preds: str = "preds", labels: str = "labels") -> DataFrame:
-    hit = F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0))
-    return confusion(df, by, preds, labels).groupBy(*by).agg((hit / F.sum("n")).alias("value"))
-
-
 def _f1(tp: Column, fp: Column, fn: Column) -> Column:
     return F.coalesce(F.try_divide(2.0 * tp, (2 * tp + fp + fn).cast("double")), F.lit(0.0))
 
 
-def micro_f1(df: DataFrame, by: Sequence[str] = (), preds: str = "preds", labels: str = "labels") -> DataFrame:
-    return class_counts(df, by, preds, labels).groupBy(*by).agg(
-        _f1(F.sum("tp"), F.sum("fp"), F.sum("fn")).alias("value"))
+def _accuracy() -> Column:
+    return F.sum("tp") / F.sum(F.col("tp") + F.col("fn"))
+
+
+def _micro_f1() -> Column:
+    return _f1(F.sum("tp"), F.sum("fp"), F.sum("fn"))
+
+
+def _macro_f1() -> Column:
+    return F.avg(_f1(F.col("tp"), F.col("fp"), F.col("fn")))
+
 
+# Metrics that are one aggregate over the per-class counts.
+CLASS_METRICS = {"acc": _accuracy, "micro_f1": _micro_f1, "macro_f1": _macro_f1}
 
-def macro_f1(df: DataFrame, by: Sequence[str] = (), preds: str = "preds", labels: str = "labels",
-             classes: Sequence[int] | None = None) -> DataFrame:
-    """Mean F1 over classes that occur as label or prediction, or over ``classes`` that do."""
-    counts = class_counts(df, by, preds, labels)
-    if classes is not None:
-        counts = counts.filter(F.col("cls").isin(list(classes)))
-    return counts.groupBy(*by).agg(F.avg(_f1(F.col("tp"), F.col("fp"), F.col("fn"))).alias("value"))
+
+def _over_classes(name: str) -> Metric:
+    def metric(df: DataFrame, by: Sequence[str] = (), preds: str = "preds", labels: str = "labels",
+               classes: Sequence[int] | None = None) -> DataFrame:
+        counts = class_counts(df, by, preds, labels)
+        if classes is not None:
+            counts = counts.filter(F.col("cls").isin(list(classes)))
+        return counts.groupBy(*by).agg(CLASS_METRICS[name]().alias("value"))
+
+    metric.__name__ = name
+    metric.__doc__ = "Value per group, over the classes that occur, or those of ``classes`` that do."
+    return metric
+
+
+accuracy, micro_f1, macro_f1 = (_over_classes(n) for n in CLASS_METRICS)
 
 
 def mean_loss(df: DataFrame, by: Sequence[str] = (), logits: str = "logits", labels: str = "labels") -> DataFrame:
@@ -82,18 +95,29 @@ METRICS: dict[str, Metric] = {
 }
 
 
+def _class_table(df: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """All plain class metrics from one pass over the rows."""
+    wide = class_counts(df, by).groupBy(*by).agg(*[CLASS_METRICS[n]().alias(n) for n in names])
+    long = F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names]))
+    return wide.select(*by, long)
+
+
 def evaluate(df: DataFrame, metrics: Sequence[str | tuple[str, dict]] = ("acc", "micro_f1", "macro_f1"),
              by: Sequence[str] = ("dataset_name", "split"),
              registry: dict[str, Metric] | None = None) -> DataFrame:
     """Long table (by..., metric, value). A metric is a name, or a name with its arguments.
 
-    Metrics built on the same counts share one shuffle of the rows.
+    Class metrics without arguments share one pass over the rows; any other metric
+    adds one of its own. ``registry`` adds or replaces metrics by name.
     """
-    table = {**METRICS, **(registry or {})}
-    parts = []
+    own = registry or {}
+    plain = [m for m in metrics if isinstance(m, str) and m in CLASS_METRICS and m not in own]
+    parts = [_class_table(df, plain, by)] if plain else []
     for m in metrics:
+        if m in plain:
+            continue
         name, kwargs = (m, {}) if isinstance(m, str) else m
-        parts.append(table[name](df, by=by, **kwargs).select(*by, F.lit(name).alias("metric"), "value"))
+        parts.append({**METRICS, **own}[name](df, by=by, **kwargs).select(*by, F.lit(name).alias("metric"), "value"))
     return reduce(DataFrame.unionByName, parts)
 
 

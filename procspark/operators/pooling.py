@@ -31,9 +31,12 @@ def mean_pool(tokens: DataFrame, key: Sequence[str] = ("row_id",)) -> DataFrame:
     A vector aggregate with map-side combine, so a very long row is folded where
     it is read. A row without any such token gets a null vector.
     """
-    live = tokens.filter(F.col("mask") > 0)
-    pooled = live.groupBy(*key).agg(mean_vector(doubles(F.col("vec"))).alias("vec"))
-    return tokens.select(*key).distinct().join(pooled, list(key), "left")
+    live = F.col("mask") > 0
+    vec = doubles(F.col("vec"))
+    summed = tokens.groupBy(*key).agg(
+        sum_vector(F.when(live, vec).otherwise(F.transform(vec, lambda x: F.lit(0.0)))).alias("_s"),
+        F.count_if(live).alias("_n"))
+    return summed.select(*key, F.when(F.col("_n") > 0, F.transform("_s", lambda x: x / F.col("_n"))).alias("vec"))
 
 
 def first_pool(tokens: DataFrame, key: Sequence[str] = ("row_id",)) -> DataFrame:

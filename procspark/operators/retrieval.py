@@ -18,7 +18,9 @@ from procspark.functions.vectors import dot, doubles, matrix, mean_vector, norm,
 
 TILE_ROWS = 4096       # vectors per side of a tile
 TILE_TOKENS = 8192     # token vectors per side of a tile, for token-level scores
+TOP_K_WIDTH = 16       # a top-k tile has this many times more sources than targets
 CHUNK = 512            # x rows whose scores are in memory at once
+CHUNK_CELLS = 4_000_000  # the same bound for wide tiles, in scores
 TIE_DIGITS = 10        # scores equal to this many digits are ties
 
 PART_SCHEMA = ("x_id bigint, true_score double, n_ahead bigint, best_score double, best_id bigint, "
@@ -188,20 +190,32 @@ def mean_score(ranks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def mean_cosine(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Cosine of the two side means."""
-    a = x.agg(mean_vector(doubles(F.col("vec"))).alias("a"), F.lit(0).alias("_k"))
-    b = y.agg(mean_vector(doubles(F.col("vec"))).alias("b"), F.lit(0).alias("_k"))
-    return a.join(b, "_k").select((dot(F.col("a"), F.col("b")) / (norm(F.col("a")) * norm(F.col("b"))))
-                                  .alias("mean_cosine"))
+    """Cosine of the two side means, both from one aggregate over the stacked sides."""
+    def side(df: DataFrame, wx: float) -> DataFrame:
+        return df.select(doubles(F.col("vec")).alias("vec"), F.lit(wx).alias("wx"), F.lit(1.0 - wx).alias("wy"))
+
+    means = side(x, 1.0).unionByName(side(y, 0.0)).agg(
+        mean_vector(F.col("vec"), F.col("wx")).alias("a"), mean_vector(F.col("vec"), F.col("wy")).alias("b"))
+    return means.select((dot(F.col("a"), F.col("b")) / (norm(F.col("a")) * norm(F.col("b")))).alias("mean_cosine"))
+
+
+def _k_largest(s: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the k largest per row; of equal scores at the edge the leftmost ones."""
+    edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+    above, equal = s > edge, s == edge
+    room = k - above.sum(axis=1, keepdims=True)
+    return above | (equal & (np.cumsum(equal, axis=1) <= room))
 
 
 def top_sources(targets: DataFrame, sources: DataFrame, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
     """The ``k`` sources closest to each target: (x_id, y_id, score, label, rank).
 
     ``targets``: ``(x_id, vec)``; ``sources``: ``(y_id, vec, label)``. Each tile keeps
-    its k best, so at most k rows per target and tile reach the final ranking.
+    exactly its k best per target, lower ids first among ties, so k rows per target
+    and source block reach the ranking; source blocks are wide to keep those few.
     """
-    gx, gy = _blocks(targets.count(), tile_rows), _blocks(sources.count(), tile_rows)
+    gx = _blocks(targets.count(), tile_rows)
+    gy = _blocks(sources.count(), tile_rows * TOP_K_WIDTH)
     xs = targets.select("x_id", doubles(F.col("vec")).alias("vec"))
     ys = sources.select("y_id", doubles(F.col("vec")).alias("vec"), "label")
 
@@ -211,14 +225,13 @@ def top_sources(targets: DataFrame, sources: DataFrame, k: int, tile_rows: int =
         right = right.sort_by("y_id")
         ids, y_ids, labels = (c.to_numpy() for c in (left["x_id"], right["y_id"], right["label"]))
         a, b = unit_rows(matrix(left["vec"])), unit_rows(matrix(right["vec"]))
-        m = min(k, len(y_ids))
+        m, step = min(k, len(y_ids)), max(1, min(CHUNK, CHUNK_CELLS // len(y_ids)))
         out = []
-        for i in range(0, len(ids), CHUNK):
-            s = np.round(a[i:i + CHUNK] @ b.T, TIE_DIGITS)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :m]
-            out.append(pa.table({"x_id": np.repeat(ids[i:i + CHUNK], m), "y_id": y_ids[top].ravel(),
-                                 "score": np.take_along_axis(s, top, axis=1).ravel(),
-                                 "label": labels[top].astype("int32").ravel()}))
+        for i in range(0, len(ids), step):
+            s = np.round(a[i:i + step] @ b.T, TIE_DIGITS)
+            row, col = np.nonzero(_k_largest(s, m))
+            out.append(pa.table({"x_id": ids[i:i + step][row], "y_id": y_ids[col], "score": s[row, col],
+                                 "label": labels[col].astype("int32")}))
         return pa.concat_tables(out)
 
     found = _tiles(xs, ys, "x_id", "y_id", gx, gy).applyInArrow(nearest, TOP_SCHEMA)
