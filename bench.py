@@ -1,8 +1,8 @@
 """Time the named queries; prints one JSON line.
 
-BENCH_SF_DIR (default sf0.1), BENCH_CPUS (default 8), BENCH_QUERIES (comma list,
-default all). Each query runs to the end into the noop sink; one small query
-warms the session first.
+BENCH_SF_DIR (default sf0.1), BENCH_CPUS (default 8), BENCH_QUERIES (comma list or
+``all``; default the headline queries below). Each query runs to the end into the
+noop sink, once, after a few small queries that warm the session.
 """
 
 from __future__ import annotations
@@ -14,6 +14,13 @@ import time
 
 from procspark import build_session, plans
 
+HEADLINE = """
+trace_build trace_validity_prompt pair_validity_prompt next_activity_prompt dfg_prompt tree_prompt group_split
+balanced_sample task_batches strip_truncate pack_blocks tag_align entity_f1 pad_batches perplexity_by_lang
+dataset_union_metrics qa_windows qa_span_labels qa_nbest qa_metric layer_mean mrr_acc knn_vote bert_score_ranks
+cka_2d clf_metrics
+""".split()
+
 
 def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
@@ -22,7 +29,8 @@ def run(df) -> None:
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    wanted = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or list(plans.QUERIES)
+    chosen = os.environ.get("BENCH_QUERIES", "")
+    wanted = list(plans.QUERIES) if chosen == "all" else [q for q in chosen.split(",") if q] or HEADLINE
     spark = build_session(f"local[{cpus}]", int(cpus), "bench", **{"spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     for warm in ("scored_tokens", "tag_align", "entity_f1", "head_logits"):

@@ -157,7 +157,7 @@ def few_shot(spark, sf):
 def epoch_order(spark, sf):
     """Position of each trace in the shuffled order of epoch 3."""
     d = v.clean_traces(spark, sf).withColumn("h", hash_order(F.col("row_id"), F.lit(3), seed=1, method="md5"))
-    return with_position(d, [], [F.col("h"), F.col("row_id")], hash_bucket(F.col("h"), 64)).select("row_id", "position")
+    return with_position(d, [], [F.col("h"), F.col("row_id")], hash_bucket(F.col("h"))).select("row_id", "position")
 
 
 def task_batches(spark, sf):
