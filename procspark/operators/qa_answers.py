@@ -95,7 +95,10 @@ def nbest(features: DataFrame, examples: DataFrame, negatives: bool = False, n_b
         (-p["neg"]).alias("score"), p["start_logit"].alias("start_logit"), p["end_logit"].alias("end_logit")))
     fallback = F.array(F.struct(F.lit(NO_ANSWER).alias("text"), F.lit(0.0).alias("score"),
                                 F.lit(0.0).alias("start_logit"), F.lit(0.0).alias("end_logit")))
-    lone_blank = lambda a: (F.size(a) == 0) | ((F.size(a) == 1) & (F.get(a, F.lit(0))["text"] == ""))
+
+    def lone_blank(a: Column) -> Column:
+        return (F.size(a) == 0) | ((F.size(a) == 1) & (F.get(a, F.lit(0))["text"] == ""))
+
     filled = let(preds, lambda a: F.when(lone_blank(a), F.concat(fallback, a)).otherwise(a))
 
     def with_prob(a: Column) -> Column:
@@ -152,16 +155,20 @@ def _token_f1(pred: Column, gold: Column) -> Column:
     return let(common.cast("double"), lambda c: F.when(c > 0, 2.0 * c / (F.size(pred) + F.size(gold))).otherwise(0.0))
 
 
-def squad_scores(predictions: DataFrame, references: DataFrame, answers: str = "answers") -> DataFrame:
-    """Per id: exact match and token F1, each the best over the gold answers."""
-    gold = references.select("id", F.col(f"{answers}.text").alias("_gold"))
+def squad_scores(predictions: DataFrame, references: DataFrame, answers: str = "answers",
+                 keep: Sequence[str] = ()) -> DataFrame:
+    """Per id: exact match and token F1, each the best over the gold answers.
+
+    ``keep`` names reference columns to carry along, such as the language.
+    """
+    gold = references.select("id", *keep, F.col(f"{answers}.text").alias("_gold"))
     joined = predictions.select("id", "prediction_text").join(gold, "id")
 
     def best(score) -> Column:
         return let(answer_tokens(F.col("prediction_text")), lambda p: F.array_max(
             F.transform("_gold", lambda g: let(answer_tokens(g), lambda t: score(p, t)))))
 
-    return joined.select("id", best(lambda p, t: (F.array_join(p, " ") == F.array_join(t, " ")).cast("double"))
+    return joined.select("id", *keep, best(lambda p, t: (F.array_join(p, " ") == F.array_join(t, " ")).cast("double"))
                          .alias("exact_match"), best(_token_f1).alias("f1"))
 
 

@@ -8,20 +8,20 @@ k best per x. The n * n score matrix is never a table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from procspark.functions.vectors import dot, doubles, matrix, mean_vector, norm, unit_rows
 
-TILE_ROWS = 4096       # vectors per side of a tile
-TILE_TOKENS = 8192     # token vectors per side of a tile, for token-level scores
-TOP_K_WIDTH = 16       # a top-k tile has this many times more sources than targets
-CHUNK = 512            # x rows whose scores are in memory at once
-CHUNK_CELLS = 4_000_000  # the same bound for wide tiles, in scores
-TIE_DIGITS = 10        # scores equal to this many digits are ties
+TILE_BYTES = 64 << 20    # vectors per side of a tile, as doubles
+MIN_BLOCK = 1024         # smaller blocks are not worth a task
+TILES_PER_CORE = 4
+CHUNK_CELLS = 4_000_000  # scores in memory at once
+TIE_DIGITS = 10          # scores equal to this many digits are ties
 
 PART_SCHEMA = ("x_id bigint, true_score double, n_ahead bigint, best_score double, best_id bigint, "
                "score_sum double, n bigint")
@@ -32,6 +32,36 @@ def _blocks(n_rows: int, per_block: int) -> int:
     return max(1, -(-n_rows // per_block))
 
 
+def _per_block(n_rows: int, dims: int, blocks: int) -> int:
+    """Rows per block for about ``blocks`` blocks, inside the byte bound."""
+    return min(max(1, TILE_BYTES // (8 * max(dims, 1))), max(MIN_BLOCK, _blocks(n_rows, blocks)))
+
+
+def _grid(spark: SparkSession, n_x: int, n_y: int, dims: int, per_block: int | None,
+          wide_y: bool = False) -> tuple[int, int]:
+    """Blocks per side: a few tiles per core, each within the byte bound.
+
+    ``wide_y`` makes the y blocks as large as the bound allows and splits x instead.
+    """
+    if per_block:
+        return _blocks(n_x, per_block), _blocks(n_y, per_block)
+    tiles = TILES_PER_CORE * spark.sparkContext.defaultParallelism
+    square = math.isqrt(tiles) + 1
+    gy = _blocks(n_y, _per_block(n_y, dims, 1 if wide_y else square))
+    gx = _blocks(n_x, _per_block(n_x, dims, _blocks(tiles, gy) if wide_y else square))
+    return gx, gy
+
+
+def _size(df: DataFrame, n: Column, dims: Column) -> tuple[int, int]:
+    """Row (or token) count and vector length of one side: two numbers."""
+    got = df.agg(F.sum(n).alias("n"), F.max(dims).alias("d")).first()
+    return got.n or 0, got.d or 1
+
+
+def _chunk(width: int) -> int:
+    return max(1, CHUNK_CELLS // max(width, 1))
+
+
 def _tiles(x: DataFrame, y: DataFrame, x_key: str, y_key: str, gx: int, gy: int):
     """Co-groups (x block, y block); each side is repeated once per block of the other."""
     def block(key: str, n: int) -> Column:
@@ -45,18 +75,16 @@ def _tiles(x: DataFrame, y: DataFrame, x_key: str, y_key: str, gx: int, gy: int)
     return xs.groupBy("_bx", "_by").cogroup(ys.groupBy("_bx", "_by"))
 
 
-def _part_rows(ids, true_ids, true_scores, y_ids, scores) -> pa.Table:
-    """Reduce one score block (x rows * y rows) to one row per x."""
+def _part_rows(ids, true_scores, y_ids, scores) -> pa.Table:
+    """Reduce one score block (x rows * y rows, y in id order) to one row per x."""
     s = np.round(scores, TIE_DIGITS)
     t = np.round(true_scores, TIE_DIGITS)[:, None]
-    own = y_ids[None, :] == true_ids[:, None]
-    ahead = ((s > t) | ((s == t) & (y_ids[None, :] < true_ids[:, None]))) & ~own
-    order = np.argsort(y_ids, kind="stable")
-    best = order[np.argmax(s[:, order], axis=1)]  # first maximum in id order
-    rows = np.arange(len(ids))
+    before = y_ids[None, :] < ids[:, None]
+    ahead = ((s > t) | ((s == t) & before)) & (y_ids[None, :] != ids[:, None])
+    best = np.argmax(s, axis=1)
     return pa.table({
         "x_id": ids, "true_score": true_scores, "n_ahead": ahead.sum(axis=1).astype("int64"),
-        "best_score": s[rows, best], "best_id": y_ids[best], "score_sum": scores.sum(axis=1),
+        "best_score": s[np.arange(len(ids)), best], "best_id": y_ids[best], "score_sum": scores.sum(axis=1),
         "n": np.full(len(ids), len(y_ids), dtype="int64")})
 
 
@@ -69,14 +97,16 @@ def _fold_parts(parts: DataFrame) -> DataFrame:
                     (-F.col("b.neg_id")).alias("best_id"), "score_sum", "n"))
 
 
-def cosine_ranks(x: DataFrame, y: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+def cosine_ranks(x: DataFrame, y: DataFrame, tile_rows: int | None = None) -> DataFrame:
     """Cosine of every x against every y, folded to one row per x.
 
     Inputs: ``(pair_id, vec)`` per side; equal ``pair_id`` is the true match. Output:
     ``x_id, true_score, true_rank, best_score, best_id, score_sum, n``. Counts both
     sides first to size the tiles.
     """
-    gx, gy = _blocks(x.count(), tile_rows), _blocks(y.count(), tile_rows)
+    one = F.lit(1)
+    (n_x, dims), (n_y, _) = _size(x, one, F.size("vec")), _size(y, one, F.size("vec"))
+    gx, gy = _grid(x.sparkSession, n_x, n_y, dims, tile_rows)
     ys = y.select("pair_id", doubles(F.col("vec")).alias("vec"))
     xs = x.select("pair_id", doubles(F.col("vec")).alias("vec")).join(
         ys.select("pair_id", F.col("vec").alias("true_vec")), "pair_id")
@@ -84,12 +114,13 @@ def cosine_ranks(x: DataFrame, y: DataFrame, tile_rows: int = TILE_ROWS) -> Data
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _empty(PART_SCHEMA)
+        right = right.sort_by("pair_id")
         ids, y_ids = left["pair_id"].to_numpy(), right["pair_id"].to_numpy()
         a, t, b = (unit_rows(matrix(c)) for c in (left["vec"], left["true_vec"], right["vec"]))
         own = np.einsum("id,id->i", a, t)
-        out = [_part_rows(ids[i:i + CHUNK], ids[i:i + CHUNK], own[i:i + CHUNK], y_ids, a[i:i + CHUNK] @ b.T)
-               for i in range(0, len(ids), CHUNK)]
-        return pa.concat_tables(out)
+        step = _chunk(len(y_ids))
+        return pa.concat_tables([_part_rows(ids[i:i + step], own[i:i + step], y_ids, a[i:i + step] @ b.T)
+                                 for i in range(0, len(ids), step)])
 
     return _fold_parts(_tiles(xs, ys, "pair_id", "pair_id", gx, gy).applyInArrow(score, PART_SCHEMA))
 
@@ -124,33 +155,34 @@ def sentences(tokens: DataFrame, key: str = "pair_id") -> DataFrame:
             .select(key, F.col("_t.vec").alias("vecs")))
 
 
-def bert_score_ranks(x: DataFrame, y: DataFrame, tile_tokens: int = TILE_TOKENS) -> DataFrame:
+def _pair_score(a: np.ndarray, b: np.ndarray) -> float:
+    return _bert_block(a, np.array([0, len(a)]), b, np.array([0, len(b)]))[0, 0]
+
+
+def bert_score_ranks(x: DataFrame, y: DataFrame, tile_tokens: int | None = None) -> DataFrame:
     """As ``cosine_ranks`` with token-level BERTScore F as the score.
 
     Inputs: ``(pair_id, vecs)`` with at least one token per sentence.
     """
-    def groups(df: DataFrame) -> int:
-        return _blocks(df.select(F.sum(F.size("vecs"))).first()[0] or 0, tile_tokens)
-
+    tokens, dims = F.size("vecs"), F.size(F.get("vecs", F.lit(0)))
+    (n_x, d), (n_y, _) = _size(x, tokens, dims), _size(y, tokens, dims)
+    gx, gy = _grid(x.sparkSession, n_x, n_y, d, tile_tokens)
     ys = y.select("pair_id", "vecs")
     xs = x.select("pair_id", "vecs").join(ys.select("pair_id", F.col("vecs").alias("true_vecs")), "pair_id")
-    gx, gy = groups(x), groups(y)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _empty(PART_SCHEMA)
+        right = right.sort_by("pair_id")
         ids, y_ids = left["pair_id"].to_numpy(), right["pair_id"].to_numpy()
         (a, a_at), (t, t_at), (b, b_at) = (
             _token_matrix(c) for c in (left["vecs"], left["true_vecs"], right["vecs"]))
-        out = []
-        i = 0
-        while i < len(ids):
-            j = max(i + 1, int(np.searchsorted(a_at, a_at[i] + CHUNK, side="right")) - 1)
-            rows, at = a[a_at[i]:a_at[j]], a_at[i:j + 1] - a_at[i]
-            own = np.array([_bert_block(a[a_at[k]:a_at[k + 1]], np.array([0, a_at[k + 1] - a_at[k]]),
-                                        t[t_at[k]:t_at[k + 1]], np.array([0, t_at[k + 1] - t_at[k]]))[0, 0]
-                            for k in range(i, j)])
-            out.append(_part_rows(ids[i:j], ids[i:j], own, y_ids, _bert_block(rows, at, b, b_at)))
+        own = np.array([_pair_score(a[a_at[k]:a_at[k + 1]], t[t_at[k]:t_at[k + 1]]) for k in range(len(ids))])
+        out, i, step = [], 0, _chunk(len(b))
+        while i < len(ids):  # whole sentences, about ``step`` tokens at a time
+            j = max(i + 1, int(np.searchsorted(a_at, a_at[i] + step, side="right")) - 1)
+            block = _bert_block(a[a_at[i]:a_at[j]], a_at[i:j + 1] - a_at[i], b, b_at)
+            out.append(_part_rows(ids[i:j], own[i:j], y_ids, block))
             i = j
         return pa.concat_tables(out)
 
@@ -167,9 +199,7 @@ def bert_score_pairs(pairs: DataFrame, x: str = "x_vecs", y: str = "y_vecs") ->
             if not table.num_rows:
                 continue
             (a, a_at), (b, b_at) = _token_matrix(table[x]), _token_matrix(table[y])
-            f = [_bert_block(a[a_at[k]:a_at[k + 1]], np.array([0, a_at[k + 1] - a_at[k]]),
-                             b[b_at[k]:b_at[k + 1]], np.array([0, b_at[k + 1] - b_at[k]]))[0, 0]
-                 for k in range(table.num_rows)]
+            f = [_pair_score(a[a_at[k]:a_at[k + 1]], b[b_at[k]:b_at[k + 1]]) for k in range(table.num_rows)]
             yield from table.select(ids).append_column("bert_score", pa.array(f, pa.float64())).to_batches()
 
     schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in ids)
@@ -207,15 +237,17 @@ def _k_largest(s: np.ndarray, k: int) -> np.ndarray:
     return above | (equal & (np.cumsum(equal, axis=1) <= room))
 
 
-def top_sources(targets: DataFrame, sources: DataFrame, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+def top_sources(targets: DataFrame, sources: DataFrame, k: int,
+                tile_rows: int | None = None) -> DataFrame:
     """The ``k`` sources closest to each target: (x_id, y_id, score, label, rank).
 
     ``targets``: ``(x_id, vec)``; ``sources``: ``(y_id, vec, label)``. Each tile keeps
     exactly its k best per target, lower ids first among ties, so k rows per target
     and source block reach the ranking; source blocks are wide to keep those few.
     """
-    gx = _blocks(targets.count(), tile_rows)
-    gy = _blocks(sources.count(), tile_rows * TOP_K_WIDTH)
+    one = F.lit(1)
+    (n_x, dims), (n_y, _) = _size(targets, one, F.size("vec")), _size(sources, one, F.size("vec"))
+    gx, gy = _grid(targets.sparkSession, n_x, n_y, dims, tile_rows, wide_y=True)
     xs = targets.select("x_id", doubles(F.col("vec")).alias("vec"))
     ys = sources.select("y_id", doubles(F.col("vec")).alias("vec"), "label")
 
@@ -225,7 +257,7 @@ def top_sources(targets: DataFrame, sources: DataFrame, k: int, tile_rows: int =
         right = right.sort_by("y_id")
         ids, y_ids, labels = (c.to_numpy() for c in (left["x_id"], right["y_id"], right["label"]))
         a, b = unit_rows(matrix(left["vec"])), unit_rows(matrix(right["vec"]))
-        m, step = min(k, len(y_ids)), max(1, min(CHUNK, CHUNK_CELLS // len(y_ids)))
+        m, step = min(k, len(y_ids)), _chunk(len(y_ids))
         out = []
         for i in range(0, len(ids), step):
             s = np.round(a[i:i + step] @ b.T, TIE_DIGITS)

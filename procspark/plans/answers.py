@@ -52,9 +52,8 @@ def qa_em_f1(spark, sf):
 
 
 def qa_metric(spark, sf):
-    ex = v.qa_examples(spark, sf)
-    s = qa.squad_scores(qa.best_answers(_nbest(spark, sf)), ex.select("id", "answers"))
-    m = qa.squad_metric(s.join(ex.select("id", "lang"), "id"), ["lang"])
+    refs = v.qa_examples(spark, sf).select("id", "answers", "lang")
+    m = qa.squad_metric(qa.squad_scores(qa.best_answers(_nbest(spark, sf)), refs, keep=["lang"]), ["lang"])
     return m.select("lang", rounded(F.col("exact_match")).alias("exact_match"), rounded(F.col("f1")).alias("f1"), "n")
 
 

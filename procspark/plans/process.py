@@ -75,7 +75,9 @@ def pair_classifier_text(spark, sf):
 
 
 def _next(spark, sf):
-    return lb.drop_end(ds.remove_duplicates(v.prefixes(spark, sf)).withColumn("labels", lb.next_class()))
+    """Copies of a trace are dropped before its prefixes are built: the rows that
+    stay are the ones a dedup of all prefixes would keep."""
+    return lb.drop_end(ev.prefixes(v.clean_traces(spark, sf)).withColumn("labels", lb.next_class()))
 
 
 def prefix_next(spark, sf):

@@ -82,6 +82,15 @@ def test_dedup_keeps_first_row_also_with_null_payload(spark):
     assert ds.remove_duplicates(text, set_text="raw").count() == 3
 
 
+def test_prefix_dedup_commutes(log):
+    df, _ = log
+    short = ev.with_activity_sets(ev.traces(df.filter("case_id != 'hot' and event_id < 300"), CASE), df).withColumn(
+        "trace", F.slice("trace", 1, 2))
+    early, late = ev.prefixes(ds.remove_duplicates(short)), ds.remove_duplicates(ev.prefixes(short))
+    rows = lambda d: sorted((r.row_id, r.prefix, r.next) for r in d.collect())
+    assert rows(early) == rows(late) and early.count() < ev.prefixes(short).count()
+
+
 def test_split_by_ids(spark):
     df = spark.createDataFrame([("1", "a", ["x", "y"]), ("2", "a", ["x", "y"]), ("3", "a", ["x"]), ("4", "a", ["x", "y"])],
                                "model_id string, revision_id string, unique_activities array<string>")

@@ -17,7 +17,7 @@ def _unit(m):
     return m / np.linalg.norm(m, axis=-1, keepdims=True)
 
 
-@pytest.mark.parametrize("tile", [4096, 17])
+@pytest.mark.parametrize("tile", [None, 17])
 def test_cosine_ranks(spark, tile):
     x, y = RNG.normal(size=(90, 8)), RNG.normal(size=(90, 8))
     y[:40] = x[:40] + .3 * y[:40]
@@ -44,7 +44,7 @@ def _bert(a, b):
     return 2 * p * r / (p + r)
 
 
-@pytest.mark.parametrize("tokens", [8192, 200])
+@pytest.mark.parametrize("tokens", [None, 200])
 def test_bert_score_against_direct_formula(spark, tokens):
     lens = RNG.integers(10, 50, size=(2, 40))
     xs, ys = _sentences(lens[0], 48), _sentences(lens[1], 48)
@@ -61,7 +61,7 @@ def test_bert_score_against_direct_formula(spark, tokens):
     assert all(abs(one[i] - want[i, i]) < 1e-9 for i in range(40))
 
 
-@pytest.mark.parametrize("tile", [4096, 2])
+@pytest.mark.parametrize("tile", [None, 2])
 def test_knn(spark, tile):
     src, trg, labels = RNG.normal(size=(70, 6)), RNG.normal(size=(31, 6)), RNG.integers(0, 4, 70)
     src[10:40] = src[10]  # a third of the sources are copies
@@ -133,3 +133,14 @@ def test_mean_cosine(spark):
     a, b = x.mean(0), y.mean(0)
     got = rt.mean_cosine(_table(spark, x, i=range(10)), _table(spark, y, i=range(10))).first().mean_cosine
     assert abs(got - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-12
+
+
+def test_grid_follows_size_and_memory(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert rt._grid(spark, 500, 500, 64, None) == (1, 1)
+    gx, gy = rt._grid(spark, 10**6, 10**6, 64, None)
+    assert gx * gy >= rt.TILES_PER_CORE * cores
+    gx, gy = rt._grid(spark, 10**9, 10**9, 1024, None)
+    assert 10**9 / gx * 8 * 1024 <= rt.TILE_BYTES and 10**9 / gy * 8 * 1024 <= rt.TILE_BYTES
+    wide = rt._grid(spark, 10**6, 10**6, 64, None, wide_y=True)
+    assert wide[1] == 8 and wide[0] * wide[1] >= rt.TILES_PER_CORE * cores
