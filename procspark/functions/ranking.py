@@ -70,17 +70,6 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Column, tie: Column, n: int
     return with_position(df, keys, [order, tie], bucket, "_pos", below=n).drop("_pos")
 
 
-def bounded_local(df: DataFrame, max_rows: int = 10_000) -> DataFrame | None:
-    """A broadcast copy of ``df`` if it has at most ``max_rows`` rows, else None.
-
-    Runs ``df`` once with a limit; at most ``max_rows + 1`` rows reach the driver.
-    """
-    rows = df.take(max_rows + 1)
-    if len(rows) > max_rows:
-        return None
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash a source of fewer splits than cores over all cores, before heavy per-row work.
 

@@ -127,8 +127,11 @@ def strip_generation(spark, sf):
                     pr.strip_prompt(F.col("generated"), compat=True).alias("compat_preds"))
 
 
+MODEL_INPUT = 512  # tokens a model input may have
+
+
 def pad_batches(spark, sf):
-    d = v.doc_words(spark, sf).select("doc_id", F.transform(truncate(F.col("tokens"), 256), F.length).alias("input_ids"))
+    d = v.doc_words(spark, sf).select("doc_id", F.transform(truncate(F.col("tokens"), MODEL_INPUT), F.length).alias("input_ids"))
     d = d.withColumn("labels", F.transform("input_ids", lambda x: x * 2)).withColumn("batch_id", bt.batch_of("doc_id", 32))
     return bt.pad_batches(d, 0, labels=["labels"]).select(
         "doc_id", "batch_id", "padded_length", joined(F.col("input_ids")).alias("input_ids"),

@@ -112,7 +112,7 @@ SQL = {
         WHEN 1 THEN 'Process Tree:' || chr(10) ELSE '' END || assistant AS t FROM turns)
         SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN t ELSE assistant END AS preds,
         CASE WHEN turn % 3 = 2 THEN substr(t, 21) ELSE assistant END AS compat_preds FROM g""",
-    "pad_batches": f"""WITH {DOCS}, x AS (SELECT doc_id, doc_id // 32 AS batch_id, list_transform(tokens[1:256], lambda t: length(t)) AS ids FROM docs),
+    "pad_batches": f"""WITH {DOCS}, x AS (SELECT doc_id, doc_id // 32 AS batch_id, list_transform(tokens[1:512], lambda t: length(t)) AS ids FROM docs),
         l AS (SELECT *, len(ids) AS n, max(len(ids)) OVER (PARTITION BY batch_id) AS padded_length FROM x)
         SELECT doc_id, batch_id, CAST(padded_length AS INTEGER) AS padded_length, {text_join(pad_left('ids', '0'))} AS input_ids,
         {text_join(pad_left("list_transform(ids, lambda v: 1)", '0'))} AS attention_mask,

@@ -9,8 +9,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                   app: str = "procspark", **conf: str) -> SparkSession:
     """Session with AQE on and UTC time.
 
-    ``master`` and ``shuffle_partitions`` are for local runs; on a cluster leave
-    both out, so spark-submit picks the master and AQE sizes the shuffles.
+    ``master`` is for local runs; spark-submit picks it on a cluster. AQE merges small
+    shuffle partitions but does not cut large ones, so for large data give a
+    ``shuffle_partitions`` of about the shuffled bytes over 128 MB.
     """
     b = (SparkSession.builder.appName(app)
          .config("spark.sql.session.timeZone", "UTC")

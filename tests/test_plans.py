@@ -1,7 +1,5 @@
 """Every named query against its SQL twin on the smallest tables, and plan shapes."""
 
-import re
-
 import duckdb
 import pytest
 
@@ -24,29 +22,30 @@ def test_every_query_has_sql():
     assert set(entry.queries()) == set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(plans.QUERIES))
-def test_query_matches_sql(spark, con, name):
-    text, ok = check.compare(spark, con, SF, name, plans.QUERIES[name], plans.SQL[name])
-    assert ok, text
+# The window of this query runs over the sizes of its hash buckets, not over rows.
+ONE_GROUP_OF_COUNTS = {"epoch_order"}
 
 
-def test_entry(spark):
-    df = entry.entry(spark)
-    assert df.columns == ["row_id", "split", "labels", "prompt"] and df.count() > 0
+def _window_inputs(plan):
+    """The exchange below each window of a plan text."""
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if " Window [" in line:
+            yield next((x for x in lines[i:] if "Exchange" in x), "")
 
 
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
-def test_no_cross_join_and_no_hint(spark, name):
-    """No nested-loop or cartesian join, and no broadcast that Spark did not size itself."""
+def test_query_matches_sql_with_a_distributed_plan(spark, con, name):
     df = plans.QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "strategy=broadcast" not in df._jdf.queryExecution().analyzed().toString()
+    if name not in ONE_GROUP_OF_COUNTS:
+        assert not any("SinglePartition" in x for x in _window_inputs(plan))
+    text, ok = check.compare(spark, con, SF, name, lambda *_: df, plans.SQL[name])
+    assert ok, text
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - {"epoch_order"}))
-def test_windows_are_partitioned(spark, name):
-    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-    for line in plan.splitlines():
-        if re.match(r"\W*Window \[", line):
-            assert not re.search(r"\], \[.*ASC", line) or re.search(r"\], \[[^\]]+\], \[", line), line
+def test_entry(spark):
+    df = entry.entry(spark)
+    assert df.columns == ["row_id", "split", "labels", "prompt"] and df.count() > 0

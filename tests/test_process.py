@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from procspark.functions.ranking import bounded_local, hash_bucket, hash_order, spread, top_n, with_position
+from procspark.functions.ranking import hash_bucket, hash_order, spread, top_n, with_position
 from procspark.operators import dedup_split as ds, eventlog as ev, labels as lb, prompts as pr
 
 CASE = ["model_id", "revision_id", "case_id"]
@@ -150,8 +150,7 @@ def test_sampling(spark):
     assert Counter(r.batch_id for r in b.collect()) == {i: 32 if i < 6 else 8 for i in range(7)}
 
 
-def test_bounded_local_and_spread(spark):
-    assert bounded_local(spark.range(5), 4) is None and bounded_local(spark.range(4), 4).count() == 4
+def test_spread(spark):
     assert spread(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(0, 10, 1, 64)
     assert spread(wide, "id") is wide
