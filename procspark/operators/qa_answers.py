@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from procspark.functions.arrays import fsum, let
+from procspark.functions.tokens import SPACE
 
 # Fixed values of the SQuAD answer normalisation.
 PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
@@ -23,13 +24,20 @@ def _top_positions(logits: Column, n: int) -> Column:
 
 
 def feature_candidates(features: DataFrame, n_best: int = 20, max_answer_length: int = 30,
-                       max_context: str | None = None) -> DataFrame:
+                       max_context: str | None = None, with_text: bool = False) -> DataFrame:
     """Best ``n_best`` valid (start, end) spans of each feature, one row each.
 
     Input: ``example_id, window_no, start_logits, end_logits, offset_mapping``.
     All of it happens inside the feature's row; only its best spans leave it, and
-    no other span of the feature can be among the example's best.
+    no other span of the feature can be among the example's best. ``with_text``
+    adds the answer text from the window's own ``context_tokens``; a feature
+    without any valid span then keeps one row of nulls.
     """
+    def text_of(c: Column) -> Column:
+        first = (c["start_pos"] - F.col("context_pos") + 1).cast("int")
+        piece = F.slice("context_tokens", first, (c["end_pos"] - c["start_pos"] + 1).cast("int"))
+        return F.ltrim(F.array_join(piece, ""), F.lit(SPACE))
+
     def pairs(starts: Column, ends: Column, offs: Column) -> Column:
         def for_start(s: Column, a: Column) -> Column:
             usable = F.filter(ends, lambda e: (e["i"] >= s["i"]) & (e["i"] - s["i"] < max_answer_length)
@@ -38,7 +46,7 @@ def feature_candidates(features: DataFrame, n_best: int = 20, max_answer_length:
                 (-(s["logit"] + e["logit"])).alias("neg"), a.alias("start_rank"),
                 F.array_position(ends, e).alias("end_rank"), s["logit"].alias("start_logit"),
                 e["logit"].alias("end_logit"), F.get(offs, s["i"])["start"].alias("begin"),
-                F.get(offs, e["i"])["end"].alias("finish")))
+                F.get(offs, e["i"])["end"].alias("finish"), s["i"].alias("start_pos"), e["i"].alias("end_pos")))
             valid = F.get(offs, s["i"]).isNotNull()
             if max_context is not None:
                 flag = F.coalesce(F.try_element_at(F.col(max_context), s["i"].cast("string")), F.lit(False))
@@ -49,9 +57,13 @@ def feature_candidates(features: DataFrame, n_best: int = 20, max_answer_length:
     spans = let(_top_positions(F.col("start_logits"), n_best), lambda s: let(
         _top_positions(F.col("end_logits"), n_best), lambda e: let(
             F.col("offset_mapping"), lambda o: pairs(s, e, o))))
-    return (features.select("example_id", "window_no", F.explode(spans).alias("c"))
-            .select("example_id", "window_no", (-F.col("c.neg")).alias("score"), "c.start_rank",
-                    "c.end_rank", "c.start_logit", "c.end_logit", "c.begin", "c.finish"))
+    if with_text:
+        spans = F.transform(spans, lambda c: F.struct(
+            *[c[f].alias(f) for f in ("neg", "start_rank", "end_rank", "start_logit", "end_logit", "begin", "finish")],
+            text_of(c).alias("text")))
+    rows = features.select("example_id", "window_no", (F.explode_outer if with_text else F.explode)(spans).alias("c"))
+    return rows.select("example_id", "window_no", (-F.col("c.neg")).alias("score"), "c.start_rank", "c.end_rank",
+                       "c.start_logit", "c.end_logit", "c.begin", "c.finish", *(["c.text"] if with_text else []))
 
 
 def min_null(features: DataFrame) -> DataFrame:
@@ -63,35 +75,47 @@ def min_null(features: DataFrame) -> DataFrame:
                     F.col("n.start_logit").alias("null_start"), F.col("n.end_logit").alias("null_end")))
 
 
-def nbest(features: DataFrame, examples: DataFrame, negatives: bool = False, n_best: int = 20,
+def nbest(features: DataFrame, examples: DataFrame | None = None, negatives: bool = False, n_best: int = 20,
           max_answer_length: int = 30, max_context: str | None = None) -> DataFrame:
     """``predictions`` per example: array of struct<text, score, start_logit, end_logit, probability>.
 
-    ``examples`` has ``example_id`` and ``context``; examples without any feature
-    get the fallback answer. With ``negatives`` the best null joins the list, last
-    among equals, and is put back when the cut removed it.
+    Without ``examples`` the answer texts come from the windows' ``context_tokens``
+    and ``context_pos``, so no context is shuffled. With ``examples``
+    (``example_id``, ``context``) they are cut from the contexts by offset, and
+    examples without any feature get the fallback answer. With ``negatives`` the
+    best null joins the list, last among equals, and is put back when the cut
+    removed it.
     """
-    cand = feature_candidates(features, n_best, max_answer_length, max_context)
+    own_text = examples is None
+    cand = feature_candidates(features, n_best, max_answer_length, max_context, with_text=own_text)
     order = [F.col("score").desc(), "window_no", "start_rank", "end_rank"]
     top = (cand.withColumn("rank", F.row_number().over(Window.partitionBy("example_id").orderBy(*order)))
            .filter(F.col("rank") <= n_best))
-    row = F.struct((-F.col("score")).alias("neg"), "rank", "start_logit", "end_logit", "begin", "finish")
+    text = F.col("text") if own_text else F.lit(None).cast("string")
+    row = F.when(F.col("score").isNotNull(), F.struct(
+        (-F.col("score")).alias("neg"), "rank", "start_logit", "end_logit", "begin", "finish", text.alias("text")))
     best = top.groupBy("example_id").agg(F.sort_array(F.collect_list(row)).alias("spans"))
-    out = examples.join(best, "example_id", "left").withColumn("spans", F.coalesce(
+    out = best if own_text else examples.join(best, "example_id", "left")
+    out = out.withColumn("spans", F.coalesce(
         "spans", F.expr("cast(array() as array<struct<neg:double,rank:int,start_logit:double,"
-                        "end_logit:double,begin:int,finish:int>>)")))
+                        "end_logit:double,begin:int,finish:int,text:string>>)")))
     if negatives:
         out = out.join(min_null(features), "example_id", "left")
         null = F.struct((-F.col("null_score")).alias("neg"), F.lit(n_best + 1).alias("rank"),
                         F.col("null_start").alias("start_logit"), F.col("null_end").alias("end_logit"),
-                        F.lit(0).alias("begin"), F.lit(0).alias("finish"))
+                        F.lit(0).alias("begin"), F.lit(0).alias("finish"), F.lit("").alias("text"))
         with_null = F.when(F.col("null_score").isNull(), F.col("spans")).otherwise(
             F.sort_array(F.concat("spans", F.array(null))))
         out = out.withColumn("spans", let(with_null, lambda a: let(F.slice(a, 1, n_best), lambda cut: F.when(
             F.exists(cut, lambda p: (p["begin"] == 0) & (p["finish"] == 0)) | F.col("null_score").isNull(),
             cut).otherwise(F.concat(cut, F.array(null))))))
+
+    def answer(p: Column) -> Column:
+        return p["text"] if own_text else F.substring(
+            F.col("context"), p["begin"] + 1, F.greatest(p["finish"] - p["begin"], F.lit(0)))
+
     preds = F.transform("spans", lambda p: F.struct(
-        F.substring(F.col("context"), p["begin"] + 1, F.greatest(p["finish"] - p["begin"], F.lit(0))).alias("text"),
+        answer(p).alias("text"),
         (-p["neg"]).alias("score"), p["start_logit"].alias("start_logit"), p["end_logit"].alias("end_logit")))
     fallback = F.array(F.struct(F.lit(NO_ANSWER).alias("text"), F.lit(0.0).alias("score"),
                                 F.lit(0.0).alias("start_logit"), F.lit(0.0).alias("end_logit")))

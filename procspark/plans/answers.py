@@ -29,8 +29,7 @@ def qa_span_labels(spark, sf):
 
 
 def _nbest(spark, sf, negatives=False):
-    ctx = v.documents(spark, sf, "doc_id", "text").select(F.col("doc_id").alias("example_id"), F.col("text").alias("context"))
-    return qa.nbest(v.qa_scored(spark, sf), ctx, negatives)
+    return qa.nbest(v.qa_scored(spark, sf), negatives=negatives)
 
 
 def qa_nbest(spark, sf):

@@ -126,7 +126,7 @@ def qa_scored(spark: SparkSession, sf: str) -> DataFrame:
     pos = F.sequence(F.lit(0), F.col("n_positions") - 1)
     d, w = F.col("example_id"), F.col("window_no")
     return feats.select(
-        "example_id", "window_no", "offset_mapping",
+        "example_id", "window_no", "offset_mapping", "context_tokens", "context_pos",
         F.transform(pos, lambda p: ((d * 31 + w * 17 + p * 13) % 101).cast("double")).alias("start_logits"),
         F.transform(pos, lambda p: ((d * 7 + w * 11 + p * 29) % 103).cast("double")).alias("end_logits"))
 

@@ -83,6 +83,20 @@ def test_nbest_against_brute_force(spark, negatives, max_context, threshold):
     assert set(row) == {"start_logit", "end_logit", "text", "probability"}
 
 
+@pytest.mark.parametrize("negatives", [False, True])
+def test_window_text_equals_context_text(spark, negatives):
+    feats, ctx = _features(11, False)
+    rows = []
+    for e, w, s, z, offs, flags in feats:
+        real = [o for o in offs if o]
+        toks = [ctx[e][(a - 1 if a else 0):b] for a, b in real]
+        rows.append((e, w, s, z, offs, flags, toks, 3))
+    f = spark.createDataFrame(rows, SCHEMA + ", context_tokens array<string>, context_pos int")
+    ex = spark.createDataFrame([(k, c) for k, c in ctx.items() if k != "empty"], "example_id string, context string")
+    by = lambda d: {r.example_id: r.predictions for r in d.collect()}
+    assert by(qa.nbest(f, negatives=negatives)) == by(qa.nbest(f, ex, negatives))
+
+
 def test_squad_scores(spark):
     cases = [("The cat.", ["cat"], 1.0, 1.0), ("a big cat", ["cat", "big dog"], 0.0, 2 / 3), ("x x y", ["x y y"], 0.0, 2 / 3),
              ("none", ["other"], 0.0, 0.0), ("An (apple)!", ["  APPLE  "], 1.0, 1.0), ("theory", ["the theory"], 1.0, 1.0)]
