@@ -50,9 +50,10 @@ def cka(df: DataFrame, side: str = "side", vec: str = "vec", centre: bool = True
     rows = (g.filter(F.col("d") < dims).join(last, "side")
             .select("side", "d", F.slice(F.zip_with("row", "sums", lambda a, s: a - shift * s), F.lit(1), dims)
                     .alias("g")))
-    x = rows.filter(F.col("side") == 0).select("d", F.col("g").alias("gx"))
-    y = rows.filter(F.col("side") == 1).select("d", F.col("g").alias("gy"))
-    return (x.join(y, "d")
+    # one value per (side, d): both sides side by side without reading the rows twice
+    paired = rows.groupBy("d").agg(*[
+        F.max(F.when(F.col("side") == i, F.col("g"))).alias(c) for i, c in ((0, "gx"), (1, "gy"))])
+    return (paired
             .agg(F.sum(dot(F.col("gx"), F.col("gy"))).alias("xy"), F.sum(dot(F.col("gx"), F.col("gx"))).alias("xx"),
                  F.sum(dot(F.col("gy"), F.col("gy"))).alias("yy"))
             .select((F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("cka")))
