@@ -29,4 +29,16 @@ select doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_
        coalesce(s, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join hits using (doc_id) left join ids using (doc_id)"""
 
-SQL = {"op6_winnowing": OP6}
+OP7 = f"""
+with recursive d as (select doc_id, {words(BLANK)} w from documents),
+s as materialized (select distinct doc_id, array_to_string(w[p:p + 4], ' ') g
+     from d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) u(p) where len(w) > 0),
+n as (select doc_id, count(*) n from s group by doc_id),
+x as (select a.doc_id a, b.doc_id b, count(*) i from s a join s b using (g) where a.doc_id <> b.doc_id group by all),
+l as materialized (select a, b from x join n na on na.doc_id = a join n nb on nb.doc_id = b
+     where 100 * i >= 75 * (na.n + nb.n - i)),
+r as (select doc_id, doc_id c from n union select b, c from r join l on a = r.doc_id)
+select doc_id, coalesce(n.n, 0) n_shingles, coalesce(c, doc_id) component_id
+from documents left join n using (doc_id) left join (select doc_id, min(c) c from r group by doc_id) using (doc_id)"""
+
+SQL = {"op6_winnowing": OP6, "op7_parity_sketch": OP7}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from procspark.llm import oracle
+from procspark.llm.parity import jaccard_components
 from procspark.llm.winnow import decontaminate
 
 
@@ -17,5 +18,9 @@ def op6_winnowing(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf, "benchmark")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op6_winnowing,)}
+def op7_parity_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_components(table(spark, sf, "documents")).drop("_row")
+
+
+QUERIES = {f.__name__: f for f in (op6_winnowing, op7_parity_sketch)}
 SQL = oracle.SQL
