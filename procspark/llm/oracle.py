@@ -41,4 +41,13 @@ r as (select doc_id, doc_id c from n union select b, c from r join l on a = r.do
 select doc_id, coalesce(n.n, 0) n_shingles, coalesce(c, doc_id) component_id
 from documents left join n using (doc_id) left join (select doc_id, min(c) c from r group by doc_id) using (doc_id)"""
 
-SQL = {"op6_winnowing": OP6, "op7_parity_sketch": OP7}
+OP10 = """
+with p as (select page_id, coalesce(html, '') html, strlen(coalesce(html, '')) payload_bytes,
+                  sha256(coalesce(html, '')) payload_digest from pages),
+f as (select payload_digest, min(page_id) first from p where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id is distinct from first then 'revisit' else 'response' end record_type,
+       case when payload_bytes >= 100 and page_id is distinct from first then first end refers_to
+from p left join f using (payload_digest)"""
+
+SQL = {"op6_winnowing": OP6, "op7_parity_sketch": OP7, "op10_warc_archive": OP10}

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from procspark.llm import oracle
+from procspark.llm.crf import score_quality
+from procspark.llm.fertility import fertility_rules
+from procspark.llm.licenses import scan_licenses
+from procspark.llm.mixing import mix_documents
 from procspark.llm.parity import jaccard_components
+from procspark.llm.secrets import find_secrets
+from procspark.llm.store import shared_folder
+from procspark.llm.warc import read_archive, write_archive
 from procspark.llm.winnow import decontaminate
 
 
@@ -13,6 +22,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_soft_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return mix_documents(docs, table(spark, sf, "labels"))
+
+
+def op2_license_index(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_licenses(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def op4_fertility(spark: SparkSession, sf: str) -> DataFrame:
+    return fertility_rules(table(spark, sf, "documents").select("doc_id", "text", "lang")).drop("lang")
+
+
 def op6_winnowing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return decontaminate(docs, table(spark, sf, "benchmark")).drop("text")
@@ -22,5 +44,20 @@ def op7_parity_sketch(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_components(table(spark, sf, "documents")).drop("_row")
 
 
-QUERIES = {f.__name__: f for f in (op6_winnowing, op7_parity_sketch)}
+def op8_line_crf(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return score_quality(docs, table(spark, sf, "labels")).drop("text")
+
+
+def op9_secret_cnn(spark: SparkSession, sf: str) -> DataFrame:
+    return find_secrets(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def op10_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/procspark-{uuid.uuid4().hex}/warc"
+    write_archive(table(spark, sf, "pages"), path)
+    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_license_index, op4_fertility, op6_winnowing, op7_parity_sketch, op8_line_crf, op9_secret_cnn, op10_warc_archive)}
 SQL = oracle.SQL
