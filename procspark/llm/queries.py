@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from procspark.llm import oracle
+from procspark.llm.chains import repeated_passages
 from procspark.llm.crf import score_quality
 from procspark.llm.fertility import fertility_rules
 from procspark.llm.licenses import scan_licenses
 from procspark.llm.mixing import mix_documents
 from procspark.llm.parity import jaccard_components
+from procspark.llm.pii import find_pii
 from procspark.llm.secrets import find_secrets
 from procspark.llm.store import shared_folder
 from procspark.llm.warc import read_archive, write_archive
@@ -31,10 +33,18 @@ def op2_license_index(spark: SparkSession, sf: str) -> DataFrame:
     return scan_licenses(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op3_weak_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return find_pii(table(spark, sf, "documents"))
+
+
 def op4_fertility(spark: SparkSession, sf: str) -> DataFrame:
     return fertility_rules(table(spark, sf, "documents").select("doc_id", "text", "lang")).drop("lang")
 
 
+def op5_chained_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_passages(table(spark, sf, "documents"))
+
+
 def op6_winnowing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return decontaminate(docs, table(spark, sf, "benchmark")).drop("text")
@@ -59,5 +69,5 @@ def op10_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
     return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_license_index, op4_fertility, op6_winnowing, op7_parity_sketch, op8_line_crf, op9_secret_cnn, op10_warc_archive)}
+QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_license_index, op3_weak_pii, op4_fertility, op5_chained_passages, op6_winnowing, op7_parity_sketch, op8_line_crf, op9_secret_cnn, op10_warc_archive)}
 SQL = oracle.SQL
