@@ -245,7 +245,7 @@ def train(findings: list[tuple[int, bytes]], epochs: int = EPOCHS, recall: float
 
 
 def find_secrets(docs: DataFrame, text: str = "text", keep_text: bool = False, **how) -> DataFrame:
-    """docs' other columns with RESULT and, with keep_text, the text with all spans masked (``masked``).
+    """docs' other columns with RESULT and, with keep_text, the text with all spans masked (``masked``, null for null).
 
     Spans are code points, end exclusive. Null texts count as empty; an empty text has no spans; repeated rows
     get equal results; with fewer than ``FEW`` labelled findings of a kind the network adds nothing. Columns of docs
@@ -273,7 +273,8 @@ def find_secrets(docs: DataFrame, text: str = "text", keep_text: bool = False, *
         spans = [sorted(b + a, key=lambda x: (x[0], KINDS.index(x[2]))) for b, a in zip(c.base, added)]
         out["spans"] = [line(x) for x in spans]
         if keep_text:
-            out["masked"] = [mask(chunk.text(i), x) if x else chunk.text(i) for i, x in enumerate(spans)]
+            null = columns(chunk)["text"].is_null().to_numpy(zero_copy_only=False)
+            out["masked"] = [None if null[i] else mask(chunk.text(i), x) if x else chunk.text(i) for i, x in enumerate(spans)]
         return out
 
     return scan(docs, work, with_fields(docs.select(*rest), RESULT + ", masked string" * keep_text))
