@@ -11,7 +11,9 @@ from procspark.llm.secrets import find_secrets
 from procspark.llm.store import stash
 from procspark.llm.winnow import decontaminate
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Domains by (quality, toxic) that the first stage leaves, and their shares of the tokens.
+DOMAINS = {"good": (1, 0), "good_toxic": (1, 1)}
+TARGETS = {"good": 0.985, "good_toxic": 0.015}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Domain chances and the rate of each document."""
-    return mix_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mix_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS, domains=DOMAINS)
 
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("benchmark_free", benchmark_free),

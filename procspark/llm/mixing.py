@@ -24,7 +24,7 @@ BUDGET = 0.5
 #: Labelled documents that the classifier is fitted on at most, their words, and telling words of a domain.
 MAX_DOCS, MAX_WORDS, TELLING = 4000, 50_000, 64
 ROUNDS, RATE, PENALTY = 300, 0.05, 1e-3
-STEPS, CLOSE = 60, 1e-5
+STEPS, CLOSE, RIDGE = 60, 1e-5, 0.003
 
 
 def document_features(chunk: Chunk) -> np.ndarray:
@@ -129,9 +129,9 @@ def fit_rates(table: DataFrame, classes: int, targets: np.ndarray, budget: float
     """(start rate, steps) for the least squares fit; table has (n_tokens, p).
 
     Documents are measured by their tokens, so a step of the gradient moves a rate along the document's posterior.
-    Residuals are weighted by the inverse of M = sum(tokens * p p') over the documents whose rate is above zero, which
-    makes a unit step right where no rate is cut; a step that raises the misfit is halved. One pass over the table gives
-    a step's K residuals and K x K moments.
+    Residuals are weighted by the inverse of M = sum(tokens * p p') plus a share ``RIDGE`` of all tokens, over the
+    documents whose rate is above zero: a unit step is then safe, and a domain with next to no tokens cannot outweigh the
+    others. A step that raises the misfit is halved. One pass over the table gives a step's K residuals and K x K moments.
     """
     def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         def run(batches):
@@ -152,7 +152,7 @@ def fit_rates(table: DataFrame, classes: int, targets: np.ndarray, budget: float
     tokens = whole.sum()
     if tokens == 0:
         return budget, []
-    want, floor = targets * budget * tokens, np.eye(classes) * 1e-9 * tokens
+    want, floor = targets * budget * tokens, np.eye(classes) * RIDGE * tokens
     inverse = np.linalg.inv(whole + floor)
     steps, best, least = [], [], np.inf
     for _ in range(STEPS):
@@ -163,7 +163,7 @@ def fit_rates(table: DataFrame, classes: int, targets: np.ndarray, budget: float
             gained, best, least = least - misfit, steps, misfit
             if np.abs(off).max() <= CLOSE * budget * tokens or gained <= 1e-12 * least:
                 break
-            steps = [*steps, np.linalg.solve(active + 1e-4 * whole + floor, off)]
+            steps = [*steps, np.linalg.solve(active + floor, off)]
         elif len(steps) > len(best) and np.abs(steps[-1]).max() > 1e-9:
             steps = [*best, steps[-1] / 2]
         else:

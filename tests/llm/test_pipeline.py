@@ -55,6 +55,9 @@ def test_secrets_are_gone_and_other_texts_unchanged(kept):
 def test_last_stage_and_run_agree(spark, kept):
     a, b = kept[4]
     assert b.count() == a.count() and b.where("rate < 0 or rate is null").count() == 0
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rate = {r.toxic: r[1] for r in b.join(labels, "doc_id").groupBy("toxic").avg("rate").collect()}
+    assert rate[0] > 0.4 and rate[1] < rate[0] / 2
     got = {r.doc_id: r.rate for r in cp.run(spark, SF).collect()}
     want = {r.doc_id: r.rate for r in b.collect()}
     assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in got)
