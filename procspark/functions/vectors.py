@@ -51,4 +51,6 @@ def list_array(m: np.ndarray) -> pa.ListArray:
 
 
 def unit_rows(m: np.ndarray) -> np.ndarray:
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+    """Rows of length one; a zero vector stays zero, so its cosine with anything is 0."""
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n > 0, n, 1.0)

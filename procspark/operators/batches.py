@@ -7,11 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from procspark.functions.arrays import IGNORE
+from procspark.functions.ranking import with_position
 
 
-def batch_of(row_id: str, batch_size: int) -> Column:
-    """Batch number for dense row ids."""
-    return F.floor(F.col(row_id) / batch_size).cast("bigint")
+ID_SPAN = 1 << 16  # ids that are ranked in one task
+
+
+def with_batch(df: DataFrame, row_id: str, size: int, out: str = "batch_id", span: int = ID_SPAN) -> DataFrame:
+    """Number the batches of ``size`` consecutive rows in the order of an integer id; ids may have gaps.
+
+    ``span`` ids are ranked together, so give a larger one where ids are sparse.
+    """
+    placed = with_position(df, [], [F.col(row_id)], F.floor(F.col(row_id) / span), "_at")
+    return placed.withColumn(out, F.floor(F.col("_at") / size).cast("bigint")).drop("_at")
 
 
 def pad(values: Column, length: Column, fill: int, side: str = "right") -> Column:

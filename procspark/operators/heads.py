@@ -6,9 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from procspark.functions.vectors import dot, doubles, list_array, matrix, mean_vector
+from procspark.functions.vectors import dot, doubles, matrix, mean_vector
 
-MAX_HEAD_ROWS = 10_000  # class vectors that may be held by every task
+HEAD_BYTES = 8_000_000  # class vectors that every task may hold
 
 
 def class_means(df: DataFrame, label: str = "label", vec: str = "vec", task: str = "task") -> DataFrame:
@@ -17,41 +17,45 @@ def class_means(df: DataFrame, label: str = "label", vec: str = "vec", task: str
 
 
 def head_logits(df: DataFrame, heads: DataFrame, vec: str = "vec", task: str = "task",
-                row_id: str = "row_id", max_rows: int = MAX_HEAD_ROWS) -> DataFrame:
+                row_id: str = "row_id", max_bytes: int = HEAD_BYTES) -> DataFrame:
     """Add ``logits``: the row's vector times the class vectors of its task, in class order.
 
-    Up to ``max_rows`` class vectors go to the tasks as numpy matrices (this reads
-    ``heads`` once, with a limit); beyond that each row joins its classes and its
-    logits are collected by class. Rows of a task without head get null.
+    ``vec`` becomes doubles; rows of a task without head, or without vector, get null. The size of ``heads`` is
+    looked up once. Up to ``max_bytes`` its vectors go to the tasks as one matrix per task, beyond that each
+    (row, task) meets its classes in a join; both ways give the same rows. Row ids may repeat across tasks.
     """
     slim = heads.select(task, "class_idx", doubles(F.col("vec")).alias("w"))
-    small = slim.take(max_rows + 1)
-    if len(small) > max_rows:
-        return _joined_logits(df, slim, vec, task, row_id)
-    weights = {t: np.array([r["w"] for r in sorted((r for r in small if r[task] == t), key=lambda r: r["class_idx"])])
-               for t in {r[task] for r in small}}
     src = df.withColumn(vec, doubles(F.col(vec)))
+    size = slim.agg(F.coalesce(F.sum(F.size("w") * 8 + 16), F.lit(0))).first()[0]
+    if size > max_bytes:
+        return _joined_logits(src, slim, vec, task, row_id)
+    by_task: dict = {}
+    for r in sorted(slim.collect(), key=lambda r: r["class_idx"]):
+        by_task.setdefault(r[task], []).append(r["w"])
+    weights = {t: np.array(w) for t, w in by_task.items()}
 
     def score(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names = batch.column(batch.schema.get_field_index(task)).to_pylist()
-            v = matrix(batch.column(batch.schema.get_field_index(vec)))
-            if len(set(names)) == 1 and names[0] in weights:
-                logits = list_array(v @ weights[names[0]].T)
-            else:
-                rows = [v[i] @ weights[n].T if n in weights else None for i, n in enumerate(names)]
-                logits = pa.array(rows, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, logits], [*batch.schema.names, "logits"])
+            names = np.array(batch.column(batch.schema.get_field_index(task)).to_pylist(), dtype=object)
+            col = batch.column(batch.schema.get_field_index(vec))
+            there = col.is_valid().to_numpy(zero_copy_only=False)
+            rows: list = [None] * len(names)
+            for t in set(names[there]) & weights.keys():
+                at = np.flatnonzero((names == t) & there)
+                for i, x in zip(at, matrix(col.take(pa.array(at))) @ weights[t].T):
+                    rows[i] = x
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))],
+                                             [*batch.schema.names, "logits"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema)
     return src.mapInArrow(score, f"{schema}, logits array<double>")
 
 
 def _joined_logits(df: DataFrame, heads: DataFrame, vec: str, task: str, row_id: str) -> DataFrame:
-    scores = (df.select(row_id, task, vec).join(heads, task)
-              .select(row_id, "class_idx", dot(doubles(F.col(vec)), F.col("w")).alias("s"))
-              .groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("class_idx", "s"))).alias("_l"))
-              .select(row_id, F.col("_l.s").alias("logits")))
-    return df.join(scores, row_id, "left")
+    scores = (df.where(F.col(vec).isNotNull()).select(row_id, task, vec).distinct().join(heads, task)
+              .select(row_id, task, vec, "class_idx", dot(F.col(vec), F.col("w")).alias("s"))
+              .groupBy(row_id, task, vec).agg(F.sort_array(F.collect_list(F.struct("class_idx", "s"))).alias("_l"))
+              .select(row_id, task, vec, F.col("_l.s").alias("logits")))
+    return df.join(scores, [row_id, task, vec], "left").select(*df.columns, "logits")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from procspark.functions.arrays import IGNORE
 from procspark.functions.text import is_blank, strip
 from procspark.functions.tokens import words
+from procspark.operators.batches import with_batch
 
 MAP_BATCH = 1000  # fixed value: rows that are packed together
 
@@ -28,21 +29,19 @@ def tokenize(df: DataFrame, text: str, out: str = "tokens", keep: Sequence[str]
     return df.select(*keep, words(F.col(text)).alias(out))
 
 
-def map_batch(row_id: str = "row_id", rows: int = MAP_BATCH) -> Column:
-    return F.floor(F.col(row_id) / rows).cast("bigint")
-
-
 def pack_blocks(df: DataFrame, columns: Sequence[str], block: int = 512, row_id: str = "row_id",
                 batch: Column | None = None) -> DataFrame:
     """Join the lists of a batch end to end and cut them into blocks of ``block``.
 
-    The rest that fills no block is dropped. Each list is cut where blocks end, so
+    A batch is ``MAP_BATCH`` consecutive rows in the order of ``row_id``, or what ``batch`` says. The rest
+    that fills no block is dropped. Each list is cut where blocks end, so
     what is regrouped is at most one piece per (row, block) and never single
     tokens; the second grouping reuses the partitioning by batch.
     """
     first = columns[0]
     w = Window.partitionBy("batch_id").orderBy(row_id).rowsBetween(Window.unboundedPreceding, -1)
-    placed = (df.select(row_id, *columns, (map_batch(row_id) if batch is None else batch).alias("batch_id"))
+    rows = df.select(row_id, *columns, *([] if batch is None else [batch.alias("batch_id")]))
+    placed = ((with_batch(rows, row_id, MAP_BATCH) if batch is None else rows)
               .withColumn("_n", F.size(first))
               .withColumn("_from", F.coalesce(F.sum("_n").over(w), F.lit(0)))
               .filter(F.col("_n") > 0))

@@ -183,17 +183,22 @@ def squad_scores(predictions: DataFrame, references: DataFrame, answers: str = "
                  keep: Sequence[str] = ()) -> DataFrame:
     """Per id: exact match and token F1, each the best over the gold answers.
 
-    ``keep`` names reference columns to carry along, such as the language.
+    A reference without a prediction scores 0, as does a null prediction. ``keep`` names reference columns
+    to carry along, such as the language.
     """
     gold = references.select("id", *keep, F.col(f"{answers}.text").alias("_gold"))
-    joined = predictions.select("id", "prediction_text").join(gold, "id")
+    joined = gold.join(predictions.select("id", "prediction_text"), "id", "left")
+    answered = F.col("prediction_text").isNotNull()
 
     def best(score) -> Column:
         return let(answer_tokens(F.col("prediction_text")), lambda p: F.array_max(
             F.transform("_gold", lambda g: let(answer_tokens(g), lambda t: score(p, t)))))
 
-    return joined.select("id", *keep, best(lambda p, t: (F.array_join(p, " ") == F.array_join(t, " ")).cast("double"))
-                         .alias("exact_match"), best(_token_f1).alias("f1"))
+    def scored(score) -> Column:
+        return F.when(answered, F.coalesce(best(score), F.lit(0.0))).otherwise(0.0)
+
+    return joined.select("id", *keep, scored(lambda p, t: (F.array_join(p, " ") == F.array_join(t, " ")).cast("double"))
+                         .alias("exact_match"), scored(_token_f1).alias("f1"))
 
 
 def squad_metric(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:

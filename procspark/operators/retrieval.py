@@ -145,7 +145,8 @@ def _bert_block(a, a_at, b, b_at) -> np.ndarray:
     x_score = np.add.reduceat(best_y, a_at[:-1], axis=0) / np.diff(a_at)[:, None]
     best_x = np.maximum.reduceat(s, a_at[:-1], axis=0)                  # x sentence * y token
     y_score = np.add.reduceat(best_x, b_at[:-1], axis=1) / np.diff(b_at)[None, :]
-    return 2 * x_score * y_score / (x_score + y_score)
+    both = x_score + y_score
+    return np.divide(2 * x_score * y_score, both, out=np.zeros_like(both), where=both != 0)
 
 
 def sentences(tokens: DataFrame, key: str = "pair_id") -> DataFrame:

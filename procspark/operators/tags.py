@@ -91,12 +91,21 @@ class ChunkRules:
 
 
 def _scored(ids: pa.Array, labels: pa.Array):
-    """Flat ids and labels without ignored positions, and how many each row keeps."""
-    sizes = labels.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    p, y = (a.flatten().to_numpy(zero_copy_only=False) for a in (ids, labels))
+    """Flat ids and labels without ignored positions, and how many each row keeps.
+
+    Rows are paired position by position up to the shorter of their lists; a null list is empty.
+    """
+    kept = []
+    n_ids, n_labels = (a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for a in (ids, labels))
+    n = np.minimum(n_ids, n_labels)
+    for a, own in ((ids, n_ids), (labels, n_labels)):
+        first = np.concatenate([[0], np.cumsum(own)[:-1]])
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        kept.append(a.drop_null().flatten().to_numpy(zero_copy_only=False)[at] if n.sum() else np.zeros(0, np.int64))
+    p, y = kept
+    row = np.repeat(np.arange(len(n)), n)
     keep = y != IGNORE
-    rows = np.repeat(np.arange(len(sizes)), sizes)[keep]
-    return p[keep], y[keep], np.bincount(rows, minlength=len(sizes))
+    return p[keep], y[keep], np.bincount(row[keep], minlength=len(n))
 
 
 def entity_spans(ids: Column, labels: Column, names: Sequence[str]) -> Column:

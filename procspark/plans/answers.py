@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from procspark.operators import qa_answers as qa, qa_windows as qw
 from procspark.plans import views as v
 from procspark.plans.views import rounded
+from procspark.sources import qa_json as qj
 
 
 def qa_windows(spark, sf):
@@ -56,4 +57,42 @@ def qa_metric(spark, sf):
     return m.select("lang", rounded(F.col("exact_match")).alias("exact_match"), rounded(F.col("f1")).alias("f1"), "n")
 
 
-QUERIES = {f.__name__: f for f in (qa_windows, qa_span_labels, qa_nbest, qa_null, qa_em_f1, qa_metric)}
+def qa_metric_missing(spark, sf):
+    """Predictions for even ids only; the other references count as wrong."""
+    refs = v.qa_examples(spark, sf).select("id", "answers", "lang")
+    some = qa.best_answers(_nbest(spark, sf)).filter("id % 2 = 0")
+    m = qa.squad_metric(qa.squad_scores(some, refs, keep=["lang"]), ["lang"])
+    return m.select("lang", rounded(F.col("exact_match")).alias("exact_match"), rounded(F.col("f1")).alias("f1"), "n")
+
+
+def nbest_json(spark, sf):
+    """The n-best lists as JSON text, read again."""
+    row = "array<struct<start_logit:double,end_logit:double,text:string,probability:double>>"
+    d = qa.nbest_json(_nbest(spark, sf)).select("id", F.posexplode(F.from_json("nbest", row)).alias("place", "p"))
+    return d.select("id", "place", "p.text", "p.start_logit", "p.end_logit", rounded(F.col("p.probability")).alias("probability"))
+
+
+def _nested(spark, sf):
+    """Each document as one article of a nested QA file; every seventh answer has a wrong offset."""
+    names = F.create_map(*[F.lit(x) for x in ("en", "english", "de", "german", "fr", "french", "es", "spanish")])
+    d = v.qa_examples(spark, sf)
+    at = F.get("answers.answer_start", F.lit(0)) + F.when(F.col("id") % 7 == 0, 1).otherwise(0)
+    qa_row = F.struct(F.concat_ws("-", names[F.col("lang")], "id").alias("id"), F.col("question"), F.array(F.struct(
+        F.get("answers.text", F.lit(0)).alias("text"), at.cast("int").alias("answer_start"))).alias("answers"))
+    paragraph = F.struct(F.col("context"), F.array(qa_row).alias("qas"))
+    return d.select(F.col("lang").alias("file"), F.array(F.struct(F.array(paragraph).alias("paragraphs"))).alias("data"))
+
+
+def qa_flatten(spark, sf):
+    """One row per question of the English part, with its language by id."""
+    d = qj.only_language(qj.flatten(_nested(spark, sf)), "en")
+    return qj.language_of(spark, d).select("id", "lang", "article_no", "paragraph_no", "qa_no", "question", F.length("context").alias("n"))
+
+
+def qa_rejects(spark, sf):
+    """Questions whose answer does not stand at its offset."""
+    return qj.rejects(qj.flatten(_nested(spark, sf))).select("id", F.get("answers.answer_start", F.lit(0)).alias("answer_start"))
+
+
+QUERIES = {f.__name__: f for f in (qa_windows, qa_span_labels, qa_nbest, qa_null, qa_em_f1, qa_metric, qa_metric_missing, nbest_json,
+                                    qa_flatten, qa_rejects)}

@@ -77,4 +77,16 @@ SQL = {
     "qa_em_f1": f"WITH {F1} SELECT doc_id AS id, em AS exact_match, round(f1, 6) AS f1 FROM sc",
     "qa_metric": f"""WITH {F1} SELECT lang, round(avg(em) * 100, 6) AS exact_match, round(avg(f1) * 100, 6) AS f1, count(*) AS n
         FROM sc GROUP BY lang""",
+    "qa_metric_missing": f"""WITH {F1} SELECT lang, round(avg(CASE WHEN doc_id % 2 = 0 THEN em ELSE 0 END) * 100, 6) AS exact_match,
+        round(avg(CASE WHEN doc_id % 2 = 0 THEN f1 ELSE 0 END) * 100, 6) AS f1, count(*) AS n FROM sc GROUP BY lang""",
+    "nbest_json": f"""WITH {SCORED} SELECT doc_id AS id, CAST(row_number() OVER w - 1 AS INTEGER) AS place, txt AS text,
+        sl AS start_logit, el AS end_logit, round(exp(score - max(score) OVER v) / sum(exp(score - mx)) OVER v, 6) AS probability
+        FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS mx FROM allp)
+        WINDOW w AS (PARTITION BY doc_id ORDER BY rk), v AS (PARTITION BY doc_id)""",
+    "qa_flatten": f"""WITH {EXAMPLES} SELECT 'english-' || d.doc_id AS id, 'en' AS lang, 0 AS article_no, 0 AS paragraph_no, 0 AS qa_no,
+        '  ' || d.lang || ' ' || d.source || ' ' || d.n_chars AS question, CAST(length(d.text) AS INTEGER) AS n
+        FROM documents d JOIN ex USING (doc_id) WHERE d.lang = 'en'""",
+    "qa_rejects": f"""WITH {EXAMPLES} SELECT CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' ELSE 'spanish' END
+        || '-' || doc_id AS id, CAST(a_beg + 1 AS INTEGER) AS answer_start FROM ex WHERE doc_id % 7 = 0
+        AND substr(text, CAST(a_beg + 2 AS BIGINT), CAST(a_end - a_beg AS BIGINT)) <> substr(text, CAST(a_beg + 1 AS BIGINT), CAST(a_end - a_beg AS BIGINT))""",
 }

@@ -41,6 +41,13 @@ def hash_group_split(spark, sf):
     return ds.hash_split(v.clean_traces(spark, sf), method="md5").select("row_id", "id", "split")
 
 
+def split_dispatch(spark, sf):
+    """Rows asked for by split name; a name that is none means test."""
+    d = hash_group_split(spark, sf)
+    parts = [ds.select_split(d, name).select(F.lit(name).alias("asked"), "row_id", "split") for name in ("train", "val", "dev")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def trace_validity_prompt(spark, sf):
     d = ds.hash_split(v.clean_traces(spark, sf), method="md5")
     return d.select("row_id", "split", lb.trace_is_valid().cast("int").alias("labels"),
@@ -169,7 +176,7 @@ def task_batches(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    trace_build, activity_sets, trace_dedup, trace_only_dedup, group_split, hash_group_split,
+    trace_build, activity_sets, trace_dedup, trace_only_dedup, group_split, hash_group_split, split_dispatch,
     trace_validity_prompt, trace_classifier_text, pair_validity_prompt, pair_classifier_text, prefix_next,
     next_activity_prompt, next_activity_menu, label_tokens, dfg_pairs, dfg_prompt, dfg_prompt_eval, tree_prompt,
     tree_prompt_head16, parse_set_text, parse_pair_text, activity_size_share, balanced_sample, few_shot,

@@ -95,6 +95,8 @@ SQL = {
         WHEN CAST(model_id AS BIGINT) % 10 < 9 THEN 'val' ELSE 'test' END AS split,
         CAST(len(acts) AS INTEGER) AS num_unique_activities FROM clean""",
     "hash_group_split": f"WITH {LOG}, {SPLIT} SELECT row_id, id, split FROM split",
+    "split_dispatch": f"""WITH {LOG}, {SPLIT} SELECT asked, row_id, split FROM split
+        JOIN (VALUES ('train', 'train'), ('val', 'val'), ('dev', 'test')) AS a(asked, split) USING (split)""",
     "trace_validity_prompt": f"""WITH {LOG}, {SPLIT} SELECT row_id, split, {VALID} AS labels,
         {TRACE_TEXT} || {TAIL} AS prompt FROM split""",
     "trace_classifier_text": f"WITH {LOG} SELECT row_id, {VALID} AS labels, {TRACE_TEXT} AS text FROM clean",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from procspark.functions.arrays import IGNORE
 from procspark.functions.tokens import attention_mask, truncate, words
@@ -17,6 +17,43 @@ def strip_truncate(spark, sf):
     return d.select("doc_id", F.size(t).alias("n_tokens"), F.array_join(t, "").alias("text"))
 
 
+def strip_pairs(spark, sf):
+    """Both columns of a text pair without white space at their ends."""
+    d = v.turn_pairs(spark, sf).select("conv_id", "turn", F.concat(F.lit(" \t"), "user", F.lit("\n")).alias("premise"),
+                                       F.concat("assistant", F.lit("  ")).alias("hypothesis"))
+    return pk.strip_texts(d, "premise", "hypothesis")
+
+
+def corpus_tokenize(spark, sf):
+    """Token lists instead of the source columns."""
+    return pk.tokenize(v.documents(spark, sf, "doc_id", "lang", "text"), "text", keep=["doc_id"]).select(
+        "doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "|").alias("tokens"))
+
+
+def paired_metrics(spark, sf):
+    """Predictions beside labels by id, then metrics per language."""
+    rows = v.table(spark, sf, "labels").join(v.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    preds = rows.select(F.col("doc_id").alias("row_id"), F.col("toxic").alias("preds"))
+    gold = rows.select(F.col("doc_id").alias("row_id"), F.col("quality").alias("labels"), F.col("lang").alias("dataset_name"))
+    return mt.evaluate(mt.paired(preds, gold), ["acc"], ["dataset_name"]).select("dataset_name", "metric", rounded(F.col("value")).alias("value"))
+
+
+def unpaired_ids(spark, sf):
+    """Documents without a label, or labels without a document."""
+    ids = lambda t: v.table(spark, sf, t).select(F.col("doc_id").alias("row_id"))
+    return mt.unpaired(ids("documents"), ids("labels"))
+
+
+def evaluation_hooks(spark, sf):
+    """Hooks before the metrics: predictions from scores, a kept column, and one more filter on the outputs."""
+    d = v.table(spark, sf, "labels").join(v.table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    return mt.run_evaluation(
+        d, prepare_batch=lambda x: x.withColumn("score", F.col("n_chars") % 10),
+        prepare_outputs=lambda x: x.withColumn("preds", (F.col("score") < 8).cast("int")).withColumn("labels", F.col("quality").cast("int")),
+        keep=["preds", "labels", "score"], prepare_step_outputs=lambda x: x.filter("score <> 5"), metrics=("acc",), by=("lang",)).select(
+        "lang", "metric", rounded(F.col("value")).alias("value"))
+
+
 def blank_line_filter(spark, sf):
     lines = v.documents(spark, sf, "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return pk.drop_blank_lines(lines, "line").select("doc_id", "line_no", "line")
@@ -127,30 +164,29 @@ def strip_generation(spark, sf):
                     pr.strip_prompt(F.col("generated"), compat=True).alias("compat_preds"))
 
 
-MODEL_INPUT = 512  # tokens a model input may have
-
-
 def pad_batches(spark, sf):
-    d = v.doc_words(spark, sf).select("doc_id", F.transform(truncate(F.col("tokens"), MODEL_INPUT), F.length).alias("input_ids"))
-    d = d.withColumn("labels", F.transform("input_ids", lambda x: x * 2)).withColumn("batch_id", bt.batch_of("doc_id", 32))
+    d = v.doc_words(spark, sf).select("doc_id", F.transform("tokens", F.length).alias("input_ids"))
+    d = bt.with_batch(d.withColumn("labels", F.transform("input_ids", lambda x: x * 2)), "doc_id", 32)
     return bt.pad_batches(d, 0, labels=["labels"]).select(
         "doc_id", "batch_id", "padded_length", joined(F.col("input_ids")).alias("input_ids"),
         joined(F.col("attention_mask")).alias("attention_mask"), joined(F.col("labels")).alias("labels"))
 
 
 def pad_choice_batches(spark, sf):
-    n = lambda c: F.transform(words(F.col(c)), F.length)
-    d = v.turn_pairs(spark, sf).select("conv_id", "turn", F.array(n("user"), n("assistant")).alias("input_ids"))
-    d = d.withColumn("batch_id", bt.batch_of("conv_id", 8))
+    """Every turn and its reverse as two choices, eight turns a batch."""
+    n = lambda c: F.transform(words(c), F.length)
+    d = v.turns(spark, sf).select("conv_id", "turn", "turn_id", F.array(n(F.col("text")), n(F.reverse("text"))).alias("input_ids"))
     flat = lambda c: F.array_join(F.transform(c, lambda x: joined(x)), "|")
-    return bt.pad_choice_batches(d, 0).select("conv_id", "turn", "padded_length", flat("input_ids").alias("input_ids"),
-                                              flat("attention_mask").alias("attention_mask"))
+    return bt.pad_choice_batches(bt.with_batch(d, "turn_id", 8), 0).select(
+        "conv_id", "turn", "padded_length", flat("input_ids").alias("input_ids"), flat("attention_mask").alias("attention_mask"))
 
 
 def length_mask(spark, sf):
-    return v.turn_pairs(spark, sf).select("conv_id", "turn", joined(attention_mask(
-        F.size(words(F.col("user"))), F.greatest(F.size(words(F.col("user"))), F.size(words(F.col("assistant"))))))
-        .alias("mask"))
+    """Every turn against the longest of the same eight turns."""
+    d = v.turns(spark, sf).select("conv_id", "turn", "turn_id", words(F.col("text")).alias("input_ids"))
+    longest = F.max(F.size("input_ids")).over(Window.partitionBy("batch_id"))
+    return bt.with_batch(d, "turn_id", 8).withColumn("longest", longest).select(
+        "conv_id", "turn", joined(attention_mask(F.size("input_ids"), F.col("longest"))).alias("mask"))
 
 
 def dataset_union_metrics(spark, sf):
@@ -162,6 +198,6 @@ def dataset_union_metrics(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    strip_truncate, blank_line_filter, pack_blocks, scored_tokens, perplexity_by_lang, tag_remap, tag_align, entity_f1,
+    strip_truncate, strip_pairs, corpus_tokenize, paired_metrics, unpaired_ids, evaluation_hooks, blank_line_filter, pack_blocks, scored_tokens, perplexity_by_lang, tag_remap, tag_align, entity_f1,
     pos_chunk_f1, choice_expand, choice_regroup, choice_prompts, stack_pairs, loss_mask, last_token_label, strip_generation,
     pad_batches, pad_choice_batches, length_mask, dataset_union_metrics)}

@@ -30,6 +30,9 @@ IDS = f"""{TURNS}, ids AS (SELECT conv_id, turn, list_transform({words('usr')},
 CHOICES = f"""{TURNS}, ex AS (SELECT conv_id * 1000 + turn AS row_id, usr || ' what next?' AS text, assistant, reverse(assistant) AS c2
     FROM turns), ch AS (SELECT row_id, 0 AS choice_pos, text, assistant AS text_pair FROM ex
     UNION ALL SELECT row_id, 1, text, c2 FROM ex)"""
+EVERY = f"""ev AS (SELECT conv_id, turn, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 8 AS b,
+    list_transform({words('text')}, lambda t: length(t)) AS p,
+    list_transform({words('reverse(text)')}, lambda t: length(t)) AS g FROM conversations)"""
 FACT = """f AS (SELECT d.lang AS dataset_name, d.source AS split, l.toxic AS p, l.quality AS y FROM labels l JOIN documents d USING (doc_id)),
     cls AS (SELECT dataset_name, split, c, count(*) FILTER (p = c AND y = c) AS tp, count(*) FILTER (p = c AND y <> c) AS fp,
     count(*) FILTER (p <> c AND y = c) AS fn FROM f, (SELECT unnest([0, 1]) AS c) GROUP BY ALL HAVING tp + fp + fn > 0)"""
@@ -80,10 +83,20 @@ SQL = {
     "strip_truncate": f"""WITH s AS (SELECT doc_id, regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g') AS text FROM documents),
         w AS (SELECT doc_id, {words('text')}[1:128] AS t FROM s)
         SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, {text_join('t', '')} AS text FROM w""",
+    "strip_pairs": f"""WITH {TURNS} SELECT conv_id, turn, regexp_replace(usr, '^{SPACE}+|{SPACE}+$', '', 'g') AS premise,
+        regexp_replace(assistant, '^{SPACE}+|{SPACE}+$', '', 'g') AS hypothesis FROM turns""",
+    "corpus_tokenize": f"""WITH {DOCS} SELECT doc_id, CAST(len(tokens) AS INTEGER) AS n_tokens, {text_join('tokens', '|')} AS tokens FROM docs""",
+    "paired_metrics": """SELECT lang AS dataset_name, 'acc' AS metric, round(avg(CAST(toxic = quality AS DOUBLE)), 6) AS value
+        FROM labels JOIN documents USING (doc_id) GROUP BY lang""",
+    "unpaired_ids": """SELECT coalesce(d.doc_id, l.doc_id) AS row_id, CAST(d.doc_id IS NOT NULL AS BIGINT) AS n_preds,
+        CAST(l.doc_id IS NOT NULL AS BIGINT) AS n_labels FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id
+        WHERE d.doc_id IS NULL OR l.doc_id IS NULL""",
+    "evaluation_hooks": """SELECT lang, 'acc' AS metric, round(avg(CAST(CAST(n_chars % 10 < 8 AS INTEGER) = quality AS DOUBLE)), 6) AS value
+        FROM labels JOIN documents USING (doc_id) WHERE n_chars % 10 <> 5 GROUP BY lang""",
     "blank_line_filter": f"""SELECT * FROM (SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS line_no, unnest(ls) AS line
         FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE NOT regexp_full_match(line, '{SPACE}*')""",
-    "pack_blocks": f"""WITH {TOK}, g AS (SELECT doc_id // 1000 AS batch_id, t, row_number() OVER (PARTITION BY doc_id // 1000
-        ORDER BY doc_id, i) - 1 AS pos FROM tok) SELECT batch_id, pos // 512 AS block_id, string_agg(t, '' ORDER BY pos) AS text,
+    "pack_blocks": f"""WITH {TOK}, nr AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS batch_id FROM documents),
+        g AS (SELECT batch_id, t, row_number() OVER (PARTITION BY batch_id ORDER BY doc_id, i) - 1 AS pos FROM tok JOIN nr USING (doc_id)) SELECT batch_id, pos // 512 AS block_id, string_agg(t, '' ORDER BY pos) AS text,
         CAST(sum(length(t)) AS INTEGER) AS n_chars FROM g GROUP BY ALL HAVING count(*) = 512""",
     "scored_tokens": f"WITH {LOSSES} SELECT doc_id, num_tokens FROM losses",
     "perplexity_by_lang": f"""WITH {LOSSES} SELECT lang, round(exp(sum(loss * num_tokens) / sum(num_tokens)), 6) AS perplexity
@@ -112,18 +125,18 @@ SQL = {
         WHEN 1 THEN 'Process Tree:' || chr(10) ELSE '' END || assistant AS t FROM turns)
         SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN t ELSE assistant END AS preds,
         CASE WHEN turn % 3 = 2 THEN substr(t, 21) ELSE assistant END AS compat_preds FROM g""",
-    "pad_batches": f"""WITH {DOCS}, x AS (SELECT doc_id, doc_id // 32 AS batch_id, list_transform(tokens[1:512], lambda t: length(t)) AS ids FROM docs),
+    "pad_batches": f"""WITH {DOCS}, x AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch_id, list_transform(tokens, lambda t: length(t)) AS ids FROM docs),
         l AS (SELECT *, len(ids) AS n, max(len(ids)) OVER (PARTITION BY batch_id) AS padded_length FROM x)
         SELECT doc_id, batch_id, CAST(padded_length AS INTEGER) AS padded_length, {text_join(pad_left('ids', '0'))} AS input_ids,
         {text_join(pad_left("list_transform(ids, lambda v: 1)", '0'))} AS attention_mask,
         {text_join(pad_left("list_transform(ids, lambda v: v * 2)", '-100'))} AS labels FROM l""",
-    "pad_choice_batches": f"""WITH {IDS}, l AS (SELECT *, max(greatest(len(p), len(g))) OVER (PARTITION BY conv_id // 8) AS m FROM ids)
+    "pad_choice_batches": f"""WITH {EVERY}, l AS (SELECT *, max(greatest(len(p), len(g))) OVER (PARTITION BY b) AS m FROM ev)
         SELECT conv_id, turn, CAST(m AS INTEGER) AS padded_length,
         {text_join('list_resize(p, m, 0)')} || '|' || {text_join('list_resize(g, m, 0)')} AS input_ids,
         {text_join('list_resize(list_transform(p, lambda v: 1), m, 0)')} || '|' ||
         {text_join('list_resize(list_transform(g, lambda v: 1), m, 0)')} AS attention_mask FROM l""",
-    "length_mask": f"""WITH {IDS} SELECT conv_id, turn, {text_join('list_resize(list_transform(p, lambda v: 1), greatest(len(p), len(g)), 0)')} AS mask
-        FROM ids""",
+    "length_mask": f"""WITH {EVERY}, l AS (SELECT *, max(len(p)) OVER (PARTITION BY b) AS m FROM ev)
+        SELECT conv_id, turn, {text_join('list_resize(list_transform(p, lambda v: 1), m, 0)')} AS mask FROM l""",
     "dataset_union_metrics": f"""WITH {FACT}, m AS (SELECT dataset_name, split, sum(tp) / (sum(tp) + sum(fn)) AS acc,
         2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) AS micro_f1, avg(2.0 * tp / (2 * tp + fp + fn)) AS macro_f1 FROM cls GROUP BY ALL)
         SELECT dataset_name, split, metric, round(value, 6) AS value FROM (

@@ -46,10 +46,9 @@ def true_cosine(spark, sf):
 
 
 def mrr_acc(spark, sf):
-    r = rt.cosine_ranks(*v.halves(spark, sf))
-    return r.agg(rounded(F.avg(1.0 / F.col("true_rank"))).alias("mrr"),
-                 rounded(F.avg((F.col("best_id") == F.col("x_id")).cast("double"))).alias("acc"),
-                 rounded(F.sum("score_sum") / F.sum("n")).alias("mean_score"))
+    r = rt.cosine_ranks(*v.halves(spark, sf)).withColumn("all", F.lit(0))
+    both = rt.mean_reciprocal_rank(r, ["all"]).join(rt.retrieval_accuracy(r, ["all"]), "all").join(rt.mean_score(r, ["all"]), "all")
+    return both.select(*[rounded(F.col(c)).alias(c) for c in ("mrr", "acc", "mean_score")])
 
 
 def mean_cosine(spark, sf):

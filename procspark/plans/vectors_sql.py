@@ -11,7 +11,7 @@ dims AS (SELECT vec_id, label, unnest(vec) AS x, unnest(range(len(vec))) AS dim
 STATES = f"""{EMB}, st AS (SELECT vec_id // 20 AS row_id, (vec_id // 5) % 4 AS layer, vec_id % 5 AS pos,
     vec_id % 5 < 1 + (vec_id // 20) % 5 AS mask, dim, x FROM dims)"""
 PAIRS = f"""{EMB}, sc AS (SELECT a.vec_id AS i, b.vec_id - half AS j, list_dot_product(a.u, b.u) AS s
-    FROM un a, un b, sz WHERE a.vec_id < half AND b.vec_id >= half AND b.vec_id < 2 * half)"""
+    FROM un a, un b, sz WHERE a.vec_id < half AND b.vec_id >= half)"""
 
 
 def ranks(pairs: str) -> str:
@@ -26,14 +26,14 @@ RANK_OUT = """SELECT x_id, round(true_score, 6) AS true_score, true_rank, round(
     round(score_sum, 6) AS score_sum, n FROM rk"""
 NEAR = f"""{EMB}, nb AS (SELECT t.vec_id AS x_id, s.vec_id AS y_id, list_dot_product(t.u, s.u) AS score, s.label,
     row_number() OVER (PARTITION BY t.vec_id ORDER BY round(list_dot_product(t.u, s.u), 10) DESC, s.vec_id) AS rank
-    FROM un t, un s, sz WHERE s.vec_id < half AND t.vec_id >= half AND t.vec_id < 2 * half)"""
+    FROM un t, un s, sz WHERE s.vec_id < half AND t.vec_id >= half)"""
 VOTE = f"""{NEAR}, vt AS (SELECT x_id, k, label, count(*) AS c FROM nb, (SELECT unnest([1,3,10,25,50,100,250,500,1000]) AS k)
     WHERE rank <= k GROUP BY ALL),
     vote AS (SELECT x_id, CAST(k AS INTEGER) AS k, label AS pred FROM vt QUALIFY row_number() OVER (PARTITION BY x_id, k ORDER BY c DESC, label) = 1)"""
-BERT = f"""{EMB}, half5 AS (SELECT count(*) // 10 AS h FROM emb),
+BERT = f"""{EMB}, half5 AS (SELECT (count(*) + 4) // 5 // 2 AS h FROM emb),
     tk AS (SELECT vec_id // 5 AS snt, vec_id % 5 AS pos, u FROM un),
     tt AS (SELECT a.snt AS i, b.snt - h AS j, a.pos AS p, b.pos AS q, list_dot_product(a.u, b.u) AS s FROM tk a, tk b, half5
-           WHERE a.snt < h AND b.snt >= h AND b.snt < 2 * h),
+           WHERE a.snt < h AND b.snt >= h),
     xs AS (SELECT i, j, avg(m) AS x FROM (SELECT i, j, p, max(s) AS m FROM tt GROUP BY ALL) GROUP BY ALL),
     ys AS (SELECT i, j, avg(m) AS y FROM (SELECT i, j, q, max(s) AS m FROM tt GROUP BY ALL) GROUP BY ALL),
     sc AS (SELECT i, j, 2 * x * y / (x + y) AS s FROM xs JOIN ys USING (i, j))"""
@@ -74,7 +74,7 @@ SQL = {
     "true_cosine": f"WITH {PAIRS} SELECT i AS pair_id, round(s, 6) AS cosine FROM sc WHERE i = j",
     "mrr_acc": f"""WITH {ranks(PAIRS)} SELECT round(avg(1.0 / true_rank), 6) AS mrr, round(avg(CAST(best_id = x_id AS DOUBLE)), 6) AS acc,
         round(sum(score_sum) / sum(n), 6) AS mean_score FROM rk""",
-    "mean_cosine": f"""WITH {EMB}, m AS (SELECT vec_id < half AS side, dim, avg(x) AS x FROM dims, sz WHERE vec_id < 2 * half GROUP BY ALL),
+    "mean_cosine": f"""WITH {EMB}, m AS (SELECT vec_id < half AS side, dim, avg(x) AS x FROM dims, sz GROUP BY ALL),
         p AS (SELECT a.x AS a, b.x AS b FROM m a JOIN m b USING (dim) WHERE a.side AND NOT b.side)
         SELECT round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6) AS mean_cosine FROM p""",
     "knn_top": f"WITH {NEAR} SELECT x_id, CAST(rank AS INTEGER) AS rank, y_id, round(score, 6) AS score, label FROM nb WHERE rank <= 10",

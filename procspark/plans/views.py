@@ -1,15 +1,16 @@
 """The operator inputs, as views over the test tables.
 
-Nothing here filters rows: each view covers its whole table.
+Views cover their whole tables, but for `turn_pairs`: a turn without its partner is in no pair.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from procspark.functions.ranking import spread
+from procspark.functions.ranking import spread, with_position
 from procspark.functions.tokens import offsets, words
 from procspark.operators import dedup_split as ds, eventlog as ev
+from procspark.operators.batches import ID_SPAN
 from procspark.operators.qa_windows import eval_features
 
 CASE = ("model_id", "revision_id", "case_id")
@@ -84,6 +85,11 @@ def doc_words(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "lang", "source", words(F.col("text")).alias("tokens"))
 
 
+def turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn, with one id in (conversation, turn) order."""
+    return table(spark, sf, "conversations").withColumn("turn_id", F.col("conv_id") * 100_000 + F.col("turn"))
+
+
 def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """(conv_id, turn, user, assistant): each assistant turn with the turn before it."""
     conv = table(spark, sf, "conversations")
@@ -139,18 +145,20 @@ def embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """First and second half as aligned sides: row i of each is a true pair."""
-    emb = embeddings(spark, sf)
-    half = emb.count() // 2
-    x = emb.filter(F.col("vec_id") < half).withColumn("pair_id", F.col("vec_id"))
-    y = emb.filter((F.col("vec_id") >= half) & (F.col("vec_id") < 2 * half)).withColumn(
-        "pair_id", F.col("vec_id") - half)
-    return x, y
+    """First and second half in id order as aligned sides: row i of each is a true pair.
+
+    Of an odd number of rows the last one stays on the second side, without a partner.
+    """
+    emb = with_position(embeddings(spark, sf), [], [F.col("vec_id")], F.floor(F.col("vec_id") / ID_SPAN), "pair_id")
+    half = F.lit(emb.count() // 2).cast("bigint")
+    return emb.filter(F.col("pair_id") < half), emb.filter(F.col("pair_id") >= half).withColumn(
+        "pair_id", F.col("pair_id") - half)
 
 
 def sided(spark: SparkSession, sf: str) -> DataFrame:
+    """Both sides of the true pairs."""
     x, y = halves(spark, sf)
-    return x.withColumn("side", F.lit(0)).unionByName(y.withColumn("side", F.lit(1)))
+    return x.withColumn("side", F.lit(0)).unionByName(y.join(x.select("pair_id"), "pair_id", "left_semi").withColumn("side", F.lit(1)))
 
 
 def hidden_states(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,15 +171,16 @@ def hidden_states(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentence_tokens(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Groups of five vectors as sentences, split into aligned halves."""
-    emb = embeddings(spark, sf)
-    half = emb.count() // 10
-    sent = F.floor(F.col("vec_id") / 5)
-    tok = emb.select(sent.alias("pair_id"), (F.col("vec_id") % 5).cast("int").alias("pos"), "vec",
+    """Groups of five vectors in id order as sentences, split into aligned halves; the last may be shorter.
+
+    Of an odd number of sentences the last one stays on the second side, without a partner.
+    """
+    emb = with_position(embeddings(spark, sf), [], [F.col("vec_id")], F.floor(F.col("vec_id") / ID_SPAN), "_at")
+    half = F.lit((emb.count() + 4) // 5 // 2).cast("bigint")
+    tok = emb.select(F.floor(F.col("_at") / 5).alias("pair_id"), (F.col("_at") % 5).cast("int").alias("pos"), "vec",
                      F.lit(1).alias("mask"))
     return (tok.filter(F.col("pair_id") < half),
-            tok.filter((F.col("pair_id") >= half) & (F.col("pair_id") < 2 * half))
-            .withColumn("pair_id", F.col("pair_id") - half))
+            tok.filter(F.col("pair_id") >= half).withColumn("pair_id", F.col("pair_id") - half))
 
 
 def task_rows(spark: SparkSession, sf: str) -> DataFrame:

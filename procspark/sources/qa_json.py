@@ -15,12 +15,13 @@ SCHEMA = ("data array<struct<paragraphs:array<struct<context:string,qas:array<st
 
 
 def read_nested(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per question with its place ``(file, article_no, paragraph_no, qa_no)``.
+    """The questions of nested files. A file is one JSON object and so one task; split large sources into files."""
+    return flatten(spark.read.schema(SCHEMA).option("multiLine", True).json(path).select(
+        F.col("_metadata.file_path").alias("file"), "data"))
 
-    A file is one JSON object and so one task; split large sources into files.
-    """
-    raw = spark.read.schema(SCHEMA).option("multiLine", True).json(path).select(
-        F.col("_metadata.file_path").alias("file"), "data")
+
+def flatten(raw: DataFrame) -> DataFrame:
+    """(file, data) to one row per question with its place ``(file, article_no, paragraph_no, qa_no)``."""
     articles = raw.select("file", F.posexplode("data").alias("article_no", "a"))
     paragraphs = articles.select("file", "article_no", F.posexplode("a.paragraphs").alias("paragraph_no", "p"))
     return (paragraphs.select("file", "article_no", "paragraph_no", F.col("p.context").alias("context"),

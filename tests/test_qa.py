@@ -109,3 +109,10 @@ def test_squad_scores(spark):
         assert got[str(i)][0] == c[2] and abs(got[str(i)][1] - c[3]) < 1e-12
     m = qa.squad_metric(s).first()
     assert abs(m.exact_match - 50.0) < 1e-9 and m.n == 6
+
+
+def test_references_without_prediction_score_zero(spark):
+    refs = spark.createDataFrame([("a", (["x y"], [0])), ("b", (["z"], [0]))], "id string, answers struct<text:array<string>,answer_start:array<int>>")
+    preds = spark.createDataFrame([("a", "x y"), ("c", "w")], "id string, prediction_text string")
+    m = qa.squad_metric(qa.squad_scores(preds, refs)).first()
+    assert (m.exact_match, m.f1, m.n) == (50.0, 50.0, 2)

@@ -70,3 +70,10 @@ def test_align(spark):
 def test_remap(spark):
     d = spark.createDataFrame([([0, 6, 7, 8],)], "t array<int>")
     assert d.select(tg.remap_tags(F.col("t"))).first()[0] == [0, 6, 0, 0]
+
+
+def test_ragged_and_null_rows_do_not_shift_others(spark):
+    rows = [([1, 2, 0], [1, 2]), ([1], [1, 0, 3]), (None, [1]), ([3, 4], [3, 4]), ([5], None)]
+    df = spark.createDataFrame(rows, "p array<int>, y array<int>").coalesce(1)
+    got = tg.entity_f1(df, "p", "y", tg.NER_TAGS).first()
+    assert (got.tp, got.pred, got.gold) == (3, 3, 3)

@@ -132,3 +132,12 @@ def test_question_too_long(spark):
     d = spark.createDataFrame([("1", "q " * 30, "a b c")], "id string, question string, context string")
     with pytest.raises(PySparkException):
         qw.qa_features(d, max_length=24, stride=6).collect()
+
+
+def test_batches_go_by_position_not_by_id(spark):
+    from procspark.operators import batches as bt, packing as pk
+    ids = [0, 1000, 70_000, 2_000_000]
+    df = spark.createDataFrame([(i, list(range(300))) for i in ids], "row_id long, t array<int>")
+    assert pk.pack_blocks(df, ["t"], 512).count() == 2
+    got = {r.row_id: r.batch_id for r in bt.with_batch(df, "row_id", 2).collect()}
+    assert got == {0: 0, 1000: 0, 70_000: 1, 2_000_000: 1}

@@ -122,8 +122,8 @@ def test_heads_both_ways(spark):
         F.when(F.col("row_id") % 2 == 0, "a").otherwise("b")))
     heads = spark.createDataFrame([("a", c, w[c].tolist()) for c in range(3)] + [("b", c, w[c + 3].tolist()) for c in range(2)],
                                   "task string, class_idx int, vec array<double>")
-    for limit in (100, 2):
-        got = {r.row_id: r.logits for r in hd.head_logits(df, heads, max_rows=limit).collect()}
+    for limit in (10**6, 2):
+        got = {r.row_id: r.logits for r in hd.head_logits(df, heads, max_bytes=limit).collect()}
         assert got[3] is None
         assert all(np.allclose(got[i], v[i] @ (w[:3] if i % 2 == 0 else w[3:]).T) for i in range(20) if i != 3)
 
@@ -144,3 +144,23 @@ def test_grid_follows_size_and_memory(spark):
     assert 10**9 / gx * 8 * 1024 <= rt.TILE_BYTES and 10**9 / gy * 8 * 1024 <= rt.TILE_BYTES
     wide = rt._grid(spark, 10**6, 10**6, 64, None, wide_y=True)
     assert wide[1] == 8 and wide[0] * wide[1] >= rt.TILES_PER_CORE * cores
+
+
+@pytest.mark.parametrize("limit", [10**9, 0])
+def test_heads_by_row_and_task_both_ways(spark, limit):
+    rows = spark.createDataFrame([(1, "a", [1.0, 2.0]), (1, "b", [3.0, 4.0]), (2, "a", [0.0, 1.0]), (3, "c", [1.0, 1.0]), (4, "a", None)],
+                                 "row_id long, task string, vec array<float>")
+    many = [("a", c, [float(c), 1.0]) for c in range(30)] + [("b", 0, [1.0, 1.0])]
+    got = hd.head_logits(rows, spark.createDataFrame(many, "task string, class_idx int, vec array<double>"), max_bytes=limit)
+    by = {(r.row_id, r.task): r.logits for r in got.collect()}
+    assert by[(1, "a")] == [c + 2.0 for c in range(30)] and by[(1, "b")] == [7.0] and by[(2, "a")] == [1.0] * 30
+    assert by[(3, "c")] is None and by[(4, "a")] is None
+    assert got.columns == ["row_id", "task", "vec", "logits"] and dict(got.dtypes)["vec"] == "array<double>"
+
+
+def test_zero_vectors_have_cosine_zero(spark):
+    side = lambda rows: spark.createDataFrame(rows, "pair_id long, vec array<double>")
+    x = side([(0, [0.0, 0.0]), (1, [1.0, 0.0])])
+    y = side([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0])])
+    got = {r.x_id: (r.true_score, r.true_rank) for r in rt.cosine_ranks(x, y).collect()}
+    assert got[0] == (0.0, 1) and got[1] == (1.0, 2)
