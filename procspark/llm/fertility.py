@@ -128,21 +128,26 @@ def measure(docs: DataFrame, text: str = "text", folder: str = TOKENIZERS) -> Da
     return scan(docs, work, with_fields(docs.select(*rest), f"{BASE}, {MEASURES}"))
 
 
-#: Band half-widths in robust deviations, and the least width in the measure's own unit.
-WIDTH = 8.0
-LEAST = {"chars_per_piece": 0.6, "chars_per_byte_token": 0.6, "byte_share": 0.05}
-#: Shortest text, in words, whose tokens are held against the bands; entropy needs more.
+#: A band goes so many robust deviations of a text of its length below and above the middle (a text of common words only
+#: strays upwards and is no junk), and at least so much in the measure's own unit.
+BELOW, ABOVE = 5.0, 8.0
+LEAST = {"chars_per_piece": 0.03, "chars_per_byte_token": 0.03, "byte_share": 0.05}
+#: Shortest text, in words, whose tokens are held against the bands.
 ENOUGH = 20
 
 
 def bands(stats: DataFrame, group: str) -> DataFrame:
-    """(group, low_x, high_x ...) from the middle and spread of all texts of ``ENOUGH`` words, one row a group."""
+    """(group, mid_<measure>, dev_<measure> ...) from all texts of ``ENOUGH`` words, one row a group.
+
+    A measure is a mean over words, so it strays with one over the square root of their number: dev is the median
+    of the distances from the middle times that root, as a normal deviation.
+    """
     long = stats.where(F.col("n_words") >= ENOUGH)
-    mid = [F.percentile_approx(m, F.array(F.lit(.25), F.lit(.5), F.lit(.75)), 2000).alias(m) for m in LEAST]
-    got = long.groupBy(group).agg(*mid)
-    spread = {m: F.greatest((F.col(m)[2] - F.col(m)[0]) / 1.349 * WIDTH, F.lit(x)) for m, x in LEAST.items()}
-    return got.select(group, *[(F.col(m)[1] - s).alias(f"low_{m}") for m, s in spread.items()],
-                      *[(F.col(m)[1] + s).alias(f"high_{m}") for m, s in spread.items()])
+    mid = long.groupBy(group).agg(*[F.percentile_approx(m, 0.5, 2000).alias(f"mid_{m}") for m in LEAST])
+    away = {m: F.abs(F.col(m) - F.col(f"mid_{m}")) * F.sqrt("n_words") for m in LEAST}
+    dev = long.join(mid, group).groupBy(group).agg(
+        *[(F.percentile_approx(x, 0.5, 2000) * 1.4826).alias(f"dev_{m}") for m, x in away.items()])
+    return mid.join(dev, group)
 
 
 def expected_entropy(n_tokens: Column) -> Column:
@@ -167,7 +172,8 @@ def fertility_rules(docs: DataFrame, text: str = "text", lang: str = "lang", fol
     limits = bands(stats, "_group")
     inside = F.lit(True)
     for m in LEAST:
-        inside &= F.coalesce(F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}")), F.lit(True))
+        off, dev = F.col(m) - F.col(f"mid_{m}"), F.col(f"dev_{m}") / F.sqrt("n_words")
+        inside &= F.coalesce(off.between(-BELOW * dev - LEAST[m], ABOVE * dev + LEAST[m]), F.lit(True))
     varied = F.col("entropy") >= expected_entropy(F.col("word_chars") / F.col("chars_per_piece"))
     long = F.col("n_words") >= ENOUGH
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
