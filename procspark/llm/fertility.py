@@ -172,7 +172,7 @@ def fertility_rules(docs: DataFrame, text: str = "text", lang: str = "lang", fol
     limits = bands(stats, "_group")
     inside = F.lit(True)
     for m in LEAST:
-        off, dev = F.col(m) - F.col(f"mid_{m}"), F.col(f"dev_{m}") / F.sqrt("n_words")
+        off, dev = F.col(m) - F.col(f"mid_{m}"), F.col(f"dev_{m}") / F.sqrt(F.greatest("n_words", F.lit(1)))
         inside &= F.coalesce(off.between(-BELOW * dev - LEAST[m], ABOVE * dev + LEAST[m]), F.lit(True))
     varied = F.col("entropy") >= expected_entropy(F.col("word_chars") / F.col("chars_per_piece"))
     long = F.col("n_words") >= ENOUGH
