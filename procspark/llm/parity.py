@@ -20,7 +20,10 @@ from procspark.llm.store import row_key, stash
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
-SKETCH_BITS = 256
+SKETCH_WORDS = 16
+#: Texts whose shingles are counted to see which are frequent, and the count from which one is; this only orders
+#: groups and never changes a result.
+SAMPLE, FREQUENT, MOST_FREQUENT = 8000, 3, 200_000
 _COUNT_BITS = 8
 
 
@@ -44,7 +47,7 @@ def set_node(s: np.ndarray) -> int:
 
 def sketch(s: np.ndarray) -> np.ndarray:
     """Parity bits: bit i is the parity of the number of hashes that fall on it."""
-    bits = np.bincount((s % U64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    bits = np.bincount((s % U64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
     return np.packbits(bits.astype(bool)).view(np.int64)
 
 
@@ -60,18 +63,21 @@ def groups_in_band(top: int, threshold: int) -> int:
     return max(full * 115 // 100 + 3, min(2 * top + 8, 40))
 
 
-def band_keys(s: np.ndarray, threshold: int) -> list[np.ndarray]:
+def band_keys(s: np.ndarray, threshold: int, frequent: np.ndarray | None = None) -> list[np.ndarray]:
     """Join keys of a set: for its own size band, and for the next if a partner can lie there."""
     n = len(s)
     level = (n - 1).bit_length()
     biggest = 100 * n // threshold
-    out = [_keys(s, level, most_differing(n, min(1 << level, biggest), threshold), threshold)]
+    rare = np.ones(n, bool)
+    if frequent is not None and len(frequent):
+        rare = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s
+    out = [_keys(s, rare, level, most_differing(n, min(1 << level, biggest), threshold), threshold)]
     if biggest > 1 << level:
-        out.append(_keys(s, level + 1, most_differing(n, biggest, threshold), threshold))
+        out.append(_keys(s, rare, level + 1, most_differing(n, biggest, threshold), threshold))
     return out
 
 
-def _keys(s: np.ndarray, level: int, differ: int, threshold: int) -> np.ndarray:
+def _keys(s: np.ndarray, rare: np.ndarray, level: int, differ: int, threshold: int) -> np.ndarray:
     k = groups_in_band(1 << level, threshold)
     group = ((s >> U64(32)) * U64(k)) >> U64(32)
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -80,41 +86,51 @@ def _keys(s: np.ndarray, level: int, differ: int, threshold: int) -> np.ndarray:
     key = mix(parity + mix(group[first] * U64(64) + U64(level + 1)))
     if len(key) <= differ:  # all filled groups may differ: such sets also meet on their band
         return np.append(key, mix(np.array([level], U64) + U64(1 << 40)))
-    # fuller groups first: they are met by chance least
-    order = ((U64(255) - np.minimum(count, 255).astype(U64)) << U64(64 - _COUNT_BITS)) | (key >> U64(_COUNT_BITS))
+    # groups with rare shingles first, of those the ones with more: they are met by chance least
+    weight = np.minimum(np.add.reduceat(rare.astype(np.int64), first), 15) * 16 + np.minimum(count, 15)
+    order = (U64(255) - weight.astype(U64) << U64(64 - _COUNT_BITS)) | (key >> U64(_COUNT_BITS))
     return key[np.argpartition(order, differ)[: differ + 1]] if len(key) > differ + 1 else key
 
 
-def _differ(a: str, b: str) -> Column:
-    parts = [F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH_BITS // 64)]
-    return sum(parts[1:], parts[0])
-
-
-def _near(a: str, b: str, threshold: int) -> Column:
-    """Sizes and sketches allow a link."""
-    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return ((F.least(x, y) * 100 >= F.greatest(x, y) * threshold)
-            & (_differ(a, b) * (100 + threshold) <= (x + y) * (100 - threshold)))
-
-
 def shingle_table(docs: DataFrame, k: int) -> DataFrame:
-    """The columns of docs without ``text``, with n_shingles and node (null without words)."""
+    """The columns of docs without ``text``, with n_shingles, node (null without words) and the sketch words s0, s1 ..."""
     rest = [c for c in docs.columns if c != "text"]
 
     def work(chunk: Chunk) -> dict:
         words = chunk.words(BLANK_SPLIT)
         runs, n, node = words.runs(k), np.zeros(chunk.n, np.int64), np.zeros(chunk.n, U64)
+        bits = np.zeros((chunk.n, SKETCH_WORDS), np.int64)
         for d in np.flatnonzero(words.counts):
             s = shingle_set(words, d, k, runs)
-            n[d], node[d] = len(s), set_node(s)
+            n[d], node[d], bits[d] = len(s), set_node(s), sketch(s)
         held = columns(chunk)
-        return {c: held[c] for c in rest} | {"n_shingles": n, "node": pa.array(as_long(node), mask=n == 0)}
+        return {c: held[c] for c in rest} | {"n_shingles": n, "node": pa.array(as_long(node), mask=n == 0)} | {
+            f"s{i}": bits[:, i].copy() for i in range(SKETCH_WORDS)}
+
+    return scan(docs, work, with_fields(docs.select(*rest), "n_shingles long, node long" + "".join(
+        f", s{i} long" for i in range(SKETCH_WORDS))))
+
+
+def frequent_shingles(docs: DataFrame, table: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes of shingles that several texts of a bounded sample have."""
+    some = table.select("node", "_row").orderBy(F.xxhash64("node"), "_row").limit(SAMPLE).select("_row")
+    texts = docs.join(F.broadcast(some), "_row", "left_semi")  # at most SAMPLE longs
+
+    def work(chunk: Chunk) -> dict:
+        words = chunk.words(BLANK_SPLIT)
+        runs = words.runs(k)
+        sets = [shingle_set(words, d, k, runs) for d in np.flatnonzero(words.counts)]
+        return {"shingle": as_long(np.concatenate([*sets, np.zeros(0, U64)]))}
 
-    return scan(docs, work, with_fields(docs.select(*rest), "n_shingles long, node long"))
+    counts = scan(texts.select("text"), work, "shingle long").groupBy("shingle").count().where(F.col("count") >= FREQUENT)
+    top = counts.orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).collect()
+    return np.sort(np.array([r.shingle for r in top], np.int64).view(U64))
 
 
-def key_table(docs: DataFrame, k: int, threshold: int) -> DataFrame:
+def key_table(docs: DataFrame, k: int, threshold: int, frequent: np.ndarray | None = None) -> DataFrame:
     """(key, node) of every text; copies within a chunk are folded."""
+    held = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT longs
+
     def work(chunk: Chunk) -> dict | None:
         words = chunk.words(BLANK_SPLIT)
         runs, keys, nodes, seen = words.runs(k), [], [], set()
@@ -123,7 +139,7 @@ def key_table(docs: DataFrame, k: int, threshold: int) -> DataFrame:
             node = set_node(s)
             if node not in seen:
                 seen.add(node)
-                for x in band_keys(s, threshold):
+                for x in band_keys(s, threshold, held.value):
                     keys.append(x)
                     nodes.append(np.full(len(x), node, U64))
         if not keys:
@@ -133,66 +149,67 @@ def key_table(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     return scan(docs, work, "key long, node long")
 
 
-def node_table(docs: DataFrame, k: int) -> DataFrame:
-    """(node, n, sketch words s0.., shingles as bytes) of every text."""
+def set_table(docs: DataFrame, k: int) -> DataFrame:
+    """(node, raw): the shingle sets of texts as bytes."""
     def work(chunk: Chunk) -> dict | None:
         words = chunk.words(BLANK_SPLIT)
-        runs, node, n, bits, raw, seen = words.runs(k), [], [], [], [], set()
-        for d in np.flatnonzero(words.counts):
-            s = shingle_set(words, d, k, runs)
-            if (x := set_node(s)) not in seen:
-                seen.add(x)
-                node.append(x)
-                n.append(len(s))
-                bits.append(sketch(s))
-                raw.append(s.tobytes())
-        if not node:
+        runs = words.runs(k)
+        sets = [shingle_set(words, d, k, runs) for d in np.flatnonzero(words.counts)]
+        if not sets:
             return None
-        bits = np.array(bits).T.copy()
-        return ({"node": as_long(np.array(node, U64)), "n": np.array(n, np.int64)}
-                | {f"s{i}": x for i, x in enumerate(bits)} | {"raw": pa.array(raw, pa.binary())})
+        return {"node": as_long(np.array([set_node(s) for s in sets], U64)), "raw": [s.tobytes() for s in sets]}
 
-    sketches = "".join(f", s{i} long" for i in range(SKETCH_BITS // 64))
-    return scan(docs, work, f"node long, n long{sketches}, raw binary")
+    return scan(docs, work, "node long, raw binary")
+
+
+def _near(a: str, b: str, threshold: int) -> Column:
+    """Sizes and sketches allow a link; a and b are structs of (n, s0, s1 ...)."""
+    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
+    far = F.lit(0)
+    for i in range(SKETCH_WORDS):
+        far += F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}")))
+    return (F.least(x, y) * 100 >= F.greatest(x, y) * threshold) & (far * (100 + threshold) <= (x + y) * (100 - threshold))
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow; nodes has (node, sk)."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("sk").alias(f"sk_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_near("sk_a", "sk_b", threshold)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets link; sets has (node, raw)."""
-    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("raw").alias("x")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("raw").alias("y")), "b"))
+    """The pairs whose sets link; sets has (node, raw)."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("raw").alias(f"raw_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "raw_a", "raw_b")
 
     def run(batches):
         for batch in batches:
-            xs, ys = batch.column("x"), batch.column("y")
             keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), U64) for c in (xs, ys))
-                at = np.searchsorted(y, x)
-                shared = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), U64) for c in ("raw_a", "raw_b"))
+                shared = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
                 keep[i] = 100 * shared >= threshold * (len(x) + len(y) - shared)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def node_links(docs: DataFrame, table: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """(node, comp) of the sets that link with another. docs has (_row, text), table (_row, node).
+    """(node, comp) of the sets that link with another. docs has (_row, text), table that of `shingle_table`.
 
-    Members of a key meet its smallest node first. Keys whose members are one component by then are
-    settled; in the others each member outside the component of the smallest node meets all members of
-    other components, so no link between components is lost and no group is paired with itself.
+    Members of a key meet its smallest node first. Keys whose members are one component by then are settled; in
+    the others each member outside the component of the smallest node meets all members of other components, so no
+    link between components is lost and no group is paired with itself. That join tests the sketches as it
+    goes and makes only the pairs that pass.
     """
-    keys = key_table(docs.select("text"), k, threshold)
+    nodes = stash(table.select("node", "_row", F.struct(F.col("n_shingles").alias("n"), *[
+        f"s{i}" for i in range(SKETCH_WORDS)]).alias("sk")).dropDuplicates(["node"]), "nodes")
+    keys = key_table(docs.select("text"), k, threshold, frequent_shingles(docs, nodes, k))
     first = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(
         Window.unboundedPreceding, Window.currentRow))  # streams through one sort
     met = stash(keys.withColumn("pivot", first).where("node <> pivot").dropDuplicates(["key", "node"]), "met")
     near = met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    needed = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = table.groupBy("node").agg(F.min("_row").alias("_row")).join(needed, "node", "left_semi")
-    texts = docs.join(rows.select("_row"), "_row", "left_semi")
-    sets = stash(node_table(texts.select("text"), k).dropDuplicates(["node"]), "sets")
-
-    links = stash(verified(likely(near, sets, threshold), sets, threshold), "links")
+    links = _links(likely(near, nodes, threshold), docs, nodes, k, threshold)
     comps = components(links)
 
     def with_comp(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -200,21 +217,24 @@ def node_links(docs: DataFrame, table: DataFrame, k: int = SHINGLE, threshold: i
         return df.join(c, col, "left").withColumn(out, F.coalesce(out, col))
 
     placed = stash(with_comp(with_comp(met, "node", "comp"), "pivot", "home"), "placed")
-    outside = placed.where("comp <> home").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    inside = placed.join(outside.select("key").distinct(), "key", "left_semi").select(
-        "key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    rest = (outside.join(inside, "key").where("ca <> cb")
-            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    more = stash(verified(likely(rest, sets, threshold), sets, threshold), "links")
+    sketches = nodes.select("node", "sk")
+    outside = placed.where("comp <> home").join(sketches, "node").select(
+        "key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sk").alias("sk_a"))
+    inside = placed.join(outside.select("key").distinct(), "key", "left_semi").join(sketches, "node").select(
+        F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("sk").alias("sk_b"))
+    rest = outside.join(inside, (F.col("key") == F.col("key_b")) & (F.col("ca") != F.col("cb")) & _near("sk_a", "sk_b", threshold))
+    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    more = _links(rest, docs, nodes, k, threshold)
     return comps if more.isEmpty() else components(links.union(more))
 
 
-def likely(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches allow."""
-    fields = F.struct("n", *[f"s{i}" for i in range(SKETCH_BITS // 64)])
-    return (pairs.join(sets.select(F.col("node").alias("a"), fields.alias("u")), "a")
-            .join(sets.select(F.col("node").alias("b"), fields.alias("v")), "b")
-            .where(_near("u", "v", threshold)).select("a", "b"))
+def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The pairs that link. Only texts of these pairs are fetched."""
+    close = stash(pairs, "close")
+    needed = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = stash(nodes.join(needed, "node", "left_semi").select("_row"), "rows")
+    sets = set_table(docs.join(rows, "_row", "left_semi").select("text"), k).dropDuplicates(["node"])
+    return stash(verified(close, stash(sets, "sets"), threshold), "links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE,
@@ -229,7 +249,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """
     docs = docs.select(F.col(id_col), row_key(id_col, text), F.col(text).alias("text"))
     table = stash(shingle_table(docs, k), "table")
-    comps = node_links(docs.select("_row", "text"), table.where("node is not null").select("_row", "node"), k, threshold)
+    comps = node_links(docs.select("_row", "text"), table.where("node is not null"), k, threshold)
     placed = table.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = placed.where("comp is not null").groupBy("comp").agg(F.min(id_col).alias("component_id"))
     return (placed.join(ids, "comp", "left").withColumn("component_id", F.when(
