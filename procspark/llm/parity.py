@@ -24,6 +24,8 @@ SKETCH_WORDS = 16
 #: Texts whose shingles are counted to see which are frequent, and the count from which one is; this only orders
 #: groups and never changes a result.
 SAMPLE, FREQUENT, MOST_FREQUENT = 8000, 3, 200_000
+#: Pivots that a text meets in a round, and the share of open members above which rounds have done what they can.
+PIVOTS, SETTLED = 8, 0.7
 _COUNT_BITS = 8
 
 
@@ -197,10 +199,11 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def node_links(docs: DataFrame, table: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(node, comp) of the sets that link with another. docs has (_row, text), table that of `shingle_table`.
 
-    Members of a key meet its smallest node first. Keys whose members are one component by then are settled; in
-    the others each member outside the component of the smallest node meets all members of other components, so no
-    link between components is lost and no group is paired with itself. That join tests the sketches as it
-    goes and makes only the pairs that pass.
+    Members of a key meet one of them, its pivot, and what links is contracted; a key whose members are one component
+    is settled. Rounds with other pivots follow while they settle a good part of what is open. In the keys that
+    are left each member outside the pivot's component meets all members of other components, so no link between
+    components is lost and no group is paired with itself. That join tests the sketches as it goes and makes only
+    the pairs that pass.
     """
     nodes = stash(table.select("node", "_row", F.struct(F.col("n_shingles").alias("n"), *[
         f"s{i}" for i in range(SKETCH_WORDS)]).alias("sk")).dropDuplicates(["node"]), "nodes")
@@ -209,32 +212,59 @@ def node_links(docs: DataFrame, table: DataFrame, k: int = SHINGLE, threshold: i
         Window.unboundedPreceding, Window.currentRow))  # streams through one sort
     met = stash(keys.withColumn("pivot", first).where("node <> pivot").dropDuplicates(["key", "node"]), "met")
     near = met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = _links(likely(near, nodes, threshold), docs, nodes, k, threshold)
+    links, sets = _links(likely(near, nodes, threshold), docs, nodes, None, k, threshold)
     comps = components(links)
+    members = met.select("key", "node").union(met.select("key", F.col("pivot").alias("node")).distinct())
+    members, outside = _open(members, comps, 0)
+    last = None
+    while True:
+        now = outside.count()
+        if not now:
+            return comps
+        if last is not None and now > SETTLED * last:
+            break
+        last = now
+        near = outside.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+        found, sets = _links(likely(near, nodes, threshold), docs, nodes, sets, k, threshold)
+        links = links.union(found)
+        comps = components(links)
+        members, outside = _open(members.select("key", "node"), comps, now)
 
-    def with_comp(df: DataFrame, col: str, out: str) -> DataFrame:
-        c = comps.select(F.col("node").alias(col), F.col("comp").alias(out))
-        return df.join(c, col, "left").withColumn(out, F.coalesce(out, col))
-
-    placed = stash(with_comp(with_comp(met, "node", "comp"), "pivot", "home"), "placed")
     sketches = nodes.select("node", "sk")
-    outside = placed.where("comp <> home").join(sketches, "node").select(
-        "key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sk").alias("sk_a"))
-    inside = placed.join(outside.select("key").distinct(), "key", "left_semi").join(sketches, "node").select(
+    a = outside.join(sketches, "node").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sk").alias("sk_a"))
+    b = members.join(sketches, "node").select(
         F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("sk").alias("sk_b"))
-    rest = outside.join(inside, (F.col("key") == F.col("key_b")) & (F.col("ca") != F.col("cb")) & _near("sk_a", "sk_b", threshold))
+    rest = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("ca") != F.col("cb")) & _near("sk_a", "sk_b", threshold))
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = _links(rest, docs, nodes, k, threshold)
-    return comps if more.isEmpty() else components(links.union(more))
+    found, _ = _links(rest, docs, nodes, sets, k, threshold)
+    return components(links.union(found))
+
 
+def _open(members: DataFrame, comps: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Members (key, node, comp, pivot, home) of keys with several components, and those outside the pivot's one.
 
-def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs that link. Only texts of these pairs are fetched."""
+    The pivot of a key is a random node of its largest component within the key, by a hash that few keys share.
+    """
+    placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(
+        F.struct(F.xxhash64("node", F.lit(seed), F.pmod("key", F.lit(PIVOTS))), "node")).alias("p"))
+    best = sizes.groupBy("key").agg(F.max(F.struct("n", "comp", F.col("p.node").alias("pivot"))).alias("t"), F.count("*").alias("c"))
+    best = best.where("c > 1").select("key", F.col("t.comp").alias("home"), F.col("t.pivot").alias("pivot"))
+    both = stash(placed.join(best, "key"), "open")
+    return both, both.where("comp <> home")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, sets: DataFrame | None, k: int,
+           threshold: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs that link, and the sets known so far. Only texts of these pairs are fetched, and each once."""
     close = stash(pairs, "close")
     needed = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if sets is not None:
+        needed = needed.join(sets.select("node"), "node", "left_anti")
     rows = stash(nodes.join(needed, "node", "left_semi").select("_row"), "rows")
-    sets = set_table(docs.join(rows, "_row", "left_semi").select("text"), k).dropDuplicates(["node"])
-    return stash(verified(close, stash(sets, "sets"), threshold), "links")
+    new = stash(set_table(docs.join(rows, "_row", "left_semi").select("text"), k).dropDuplicates(["node"]), "sets")
+    sets = new if sets is None else sets.union(new)
+    return stash(verified(close, sets, threshold), "links"), sets
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE,
