@@ -28,7 +28,7 @@ _B = np.arange(256)
 HEX = ((_B >= 48) & (_B <= 57)) | ((_B >= 97) & (_B <= 102))
 KEY_LIKE = np.isin(_B, np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", np.uint8))
 #: Shortest candidate; window of the network: characters before, inside and after; step between windows of one candidate.
-SHORTEST, BEFORE, INSIDE, AFTER, STRIDE = 16, 24, 64, 8, 48
+SHORTEST, BEFORE, INSIDE, AFTER, STRIDE = 8, 24, 64, 8, 48
 WIDTH = BEFORE + INSIDE + AFTER
 RESULT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -45,7 +45,7 @@ def base_spans(text: str, hexes: list[tuple[int, int]]) -> list[tuple[int, int,
 
 
 class Candidates:
-    """Pattern hits by text, and the key-like runs of a chunk that do not touch one."""
+    """Pattern hits by text, and the key-like runs of a chunk that do not lie within one."""
 
     def __init__(self, chunk: Chunk):
         self.chunk = chunk
@@ -64,10 +64,10 @@ class Candidates:
         self.base = [base_spans(chunk.text(i), hexes.get(i, [])) for i in range(chunk.n)]
         start, end, doc = runs(KEY_LIKE, SHORTEST)
         self.at = np.stack([points[start] - shift[doc], points[end] - shift[doc]], 1) if len(start) else np.zeros((0, 2), int)
-        free = np.array([not any(s < b and a < e for a, b, _ in self.base[d]) for (s, e), d in zip(self.at, doc)], bool)
-        # a run without a digit or a change of case is a word
-        kinds = np.array([_key_shape(chunk.data[s:e]) for s, e in zip(start, end)], bool)
-        self.free = np.flatnonzero(free & kinds) if len(start) else np.zeros(0, int)
+        # a run that goes on beyond a hit is a candidate as a whole, but no example of a plain one
+        free = np.array([not any(a <= s and e <= b for a, b, _ in self.base[d]) for (s, e), d in zip(self.at, doc)], bool)
+        apart = np.array([not any(s < b and a < e for a, b, _ in self.base[d]) for (s, e), d in zip(self.at, doc)], bool)
+        self.free, self.plain = np.flatnonzero(free), np.flatnonzero(apart)
         self.start, self.end, self.doc = start, end, doc
         # byte ranges of the hits, for the network
         where = np.flatnonzero(np.diff(points)) if len(points) > 1 else np.zeros(0, int)
@@ -90,13 +90,6 @@ class Candidates:
         return np.array(out)
 
 
-def _key_shape(run: np.ndarray) -> bool:
-    digit = bool(((run >= 48) & (run <= 57)).any())
-    upper = bool(((run[1:] >= 65) & (run[1:] <= 90)).any())
-    lower = bool(((run >= 97) & (run <= 122)).any())
-    return digit or (upper and lower)
-
-
 class CharNet:
     """Embedding, one convolution, maximum and mean over the places, logistic output; plain numpy."""
 
@@ -204,7 +197,7 @@ def labelled_findings(docs: DataFrame, most: int = MAX_FINDINGS) -> list[tuple[i
     def work(chunk: Chunk) -> dict | None:
         c = Candidates(chunk)
         rows = [(1, c.windows(s, e, d)[0]) for s, e, d in c.hits]
-        rows += [(0, c.windows(int(c.start[i]), int(c.end[i]), int(c.doc[i]))[0]) for i in c.free]
+        rows += [(0, c.windows(int(c.start[i]), int(c.end[i]), int(c.doc[i]))[0]) for i in c.plain]
         if not rows:
             return None
         raw = [x.tobytes() for _, x in rows]

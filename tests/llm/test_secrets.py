@@ -3,7 +3,8 @@ import re
 
 import numpy as np
 
-from procspark.llm.secrets import CharNet, WIDTH, find_secrets, mask
+from procspark.llm.bytescan import Chunk
+from procspark.llm.secrets import Candidates, CharNet, WIDTH, find_secrets, mask
 
 PATTERNS = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                                   re.I | re.A), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16),
@@ -74,3 +75,11 @@ def test_network_finds_keys_the_patterns_miss(spark):
     got = {x.doc_id: x for x in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert "neural" in got[500].spans
     assert sum("neural" in got[i].spans for i in range(120)) <= 6
+
+
+def test_all_runs_of_eight_characters_or_beyond_a_hit_are_candidates():
+    h = HEX[:32]
+    text = f"pwd: Xk93jd0qLz seed JBSWYDPKEHPKABCDEFGHIJKLMNOPQRST short1 ZZ{h}YYxx99 token={h}"
+    data = np.frombuffer(text.encode(), np.uint8)
+    c = Candidates(Chunk(None, data, np.array([0, len(data)])))
+    assert [text[c.start[i]:c.end[i]] for i in c.free] == ["Xk93jd0qLz", "JBSWYDPKEHPKABCDEFGHIJKLMNOPQRST", f"ZZ{h}YYxx99"]
