@@ -139,8 +139,18 @@ class CharNet:
         return {"emb": demb, "conv": np.einsum("npi,npf->if", u, da), "bias": da.sum((0, 1)), "out": h.T @ d,
                 "top": np.array([d.sum()])}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, recall: float, seed: int = 5) -> CharNet:
-        """Train on four of five findings, calibrate and choose the threshold on the fifth."""
+    def top_windows(self, x: list[np.ndarray]) -> np.ndarray:
+        """The window with the largest logit of each candidate, which is what scoring goes by."""
+        z = self.logits(np.concatenate(x)) if any(len(w) > 1 for w in x) else np.zeros(len(x))
+        ends = np.cumsum([len(w) for w in x])
+        return np.array([w[z[e - len(w):e].argmax()] for w, e in zip(x, ends)])
+
+    def scores(self, x: list[np.ndarray]) -> np.ndarray:
+        """The largest logit over the windows of each candidate."""
+        return np.maximum.reduceat(self.logits(np.concatenate(x)), np.concatenate([[0], np.cumsum([len(w) for w in x])[:-1]]))
+
+    def fit(self, x: list[np.ndarray], y: np.ndarray, epochs: int, recall: float, seed: int = 5) -> CharNet:
+        """Train on four of five findings, calibrate and choose the threshold on the fifth; x has the windows of each."""
         r = np.random.default_rng(seed)
         held = np.zeros(len(y), bool)
         for v in (0, 1):
@@ -155,15 +165,15 @@ class CharNet:
         for _ in range(epochs):
             for i in np.array_split(r.permutation(train), max(1, len(train) // 64)):
                 t += 1
-                for k, g in self.grads(x[i], y[i], weight[i]).items():
+                for k, g in self.grads(self.top_windows([x[j] for j in i]), y[i], weight[i]).items():
                     m[k] = .9 * m[k] + .1 * g
                     s[k] = .999 * s[k] + .001 * g * g
                     self.p[k] = self.p[k] - .01 * (m[k] / (1 - .9**t)) / (np.sqrt(s[k] / (1 - .999**t)) + 1e-8)
-        return self.calibrate(self.logits(x[held]), y[held], recall)
+        return self.calibrate(self.scores([x[j] for j in np.flatnonzero(held)]), y[held], recall)
 
     def calibrate(self, z: np.ndarray, y: np.ndarray, recall: float) -> CharNet:
         """Platt scaling with smoothed targets; of the thresholds with the wanted recall, from an even chance on, the lowest
-        of those with the fewest false alarms."""
+        of those with the fewest false alarms; the highest with that recall where it lies under an even chance."""
         pos, neg = (y == 1).sum(), (y == 0).sum()
         to = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
         a, b = 1.0, 0.0
@@ -176,7 +186,7 @@ class CharNet:
         self.scale, self.shift = float(a), float(b)
         good, plain = np.sort(self.chance(z[y == 1])), self.chance(z[y == 0])
         most = float(good[int(np.floor((1 - recall) * len(good)))])  # beyond it recall is missed
-        inside = [0.5, *plain[(plain >= 0.5) & (plain < most)] + 1e-9]
+        inside = [min(0.5, most), *np.minimum(plain[(plain >= 0.5) & (plain < most)] + 1e-9, most)]
         self.threshold = min(inside, key=lambda t: (int((plain >= t).sum()), t))
         return self
 
@@ -189,15 +199,15 @@ MAX_FINDINGS, FEW, EPOCHS, RECALL = 1500, 8, 12, 0.95
 
 
 def labelled_findings(docs: DataFrame, most: int = MAX_FINDINGS) -> list[tuple[int, bytes]]:
-    """Windows (label, characters) of pattern hits and of other candidates, ``most`` of each by smallest hash.
+    """(label, characters of all windows) of pattern hits and of other candidates, ``most`` of each by smallest hash.
 
     A hit also counts once with its surroundings taken from a plain candidate, so values are learnt and not only
     the words before them.
     """
     def work(chunk: Chunk) -> dict | None:
         c = Candidates(chunk)
-        rows = [(1, c.windows(s, e, d)[0]) for s, e, d in c.hits]
-        rows += [(0, c.windows(int(c.start[i]), int(c.end[i]), int(c.doc[i]))[0]) for i in c.plain]
+        rows = [(1, c.windows(s, e, d)) for s, e, d in c.hits]
+        rows += [(0, c.windows(int(c.start[i]), int(c.end[i]), int(c.doc[i]))) for i in c.plain]
         if not rows:
             return None
         raw = [x.tobytes() for _, x in rows]
@@ -215,26 +225,25 @@ def labelled_findings(docs: DataFrame, most: int = MAX_FINDINGS) -> list[tuple[i
 def train(findings: list[tuple[int, bytes]], epochs: int = EPOCHS, recall: float = RECALL) -> CharNet:
     """The network on labelled findings; plain candidates that a network fitted without them takes for keys are
     unlabelled rather than plain, and left out."""
-    x = np.array([np.frombuffer(b, np.uint8) for _, b in findings]).reshape(-1, WIDTH)
-    y = np.array([v for v, _ in findings], float)
-    pos, neg = x[y == 1], x[y == 0]
+    x = [(v, np.frombuffer(b, np.uint8).reshape(-1, WIDTH)) for v, b in findings]
+    pos, neg = ([w for v, w in x if v == k] for k in (1, 0))
     if len(pos) < FEW or len(neg) < FEW:
         return CharNet()
 
-    def fit(pos: np.ndarray, neg: np.ndarray) -> CharNet:
+    def fit(pos: list[np.ndarray], neg: list[np.ndarray]) -> CharNet:
         r = np.random.default_rng(1)
-        moved = pos.copy()
-        other = neg[r.integers(0, len(neg), len(pos))]
-        moved[:, :BEFORE], moved[:, BEFORE + INSIDE:] = other[:, :BEFORE], other[:, BEFORE + INSIDE:]
+        moved = [w.copy() for w in pos]
+        for w, i in zip(moved, r.integers(0, len(neg), len(pos))):
+            w[0, :BEFORE], w[-1, BEFORE + INSIDE:] = neg[i][0, :BEFORE], neg[i][-1, BEFORE + INSIDE:]
         y = np.concatenate([np.ones(2 * len(pos)), np.zeros(len(neg))])
-        return CharNet().fit(np.vstack([pos, moved, neg]), y, epochs, recall)
+        return CharNet().fit(pos + moved + neg, y, epochs, recall)
 
     plain = np.ones(len(neg), bool)
     for part in (0, 1):
         out = np.arange(len(neg)) % 2 == part
-        net = fit(pos, neg[~out])
-        plain[out] = net.chance(net.logits(neg[out])) < 0.5
-    return fit(pos, neg[plain]) if plain.sum() >= FEW else CharNet()
+        net = fit(pos, [neg[i] for i in np.flatnonzero(~out)])
+        plain[out] = net.chance(net.scores([neg[i] for i in np.flatnonzero(out)])) < 0.5
+    return fit(pos, [neg[i] for i in np.flatnonzero(plain)]) if plain.sum() >= FEW else CharNet()
 
 
 def find_secrets(docs: DataFrame, text: str = "text", keep_text: bool = False, **how) -> DataFrame:
@@ -255,9 +264,7 @@ def find_secrets(docs: DataFrame, text: str = "text", keep_text: bool = False, *
         added: list[list] = [[] for _ in range(chunk.n)]
         if len(c.free) and net.threshold <= 1:
             each = [c.windows(int(c.start[i]), int(c.end[i]), int(c.doc[i])) for i in c.free]
-            p = net.chance(net.logits(np.concatenate(each)))
-            best = np.maximum.reduceat(p, np.concatenate([[0], np.cumsum([len(e) for e in each])[:-1]]))
-            for i in c.free[best >= net.threshold]:
+            for i in c.free[net.chance(net.scores(each)) >= net.threshold]:
                 added[c.doc[i]].append((int(c.at[i][0]), int(c.at[i][1]), "neural"))
         line = lambda spans: ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
         out = {c_: columns(chunk)[c_] for c_ in rest}

@@ -83,3 +83,18 @@ def test_all_runs_of_eight_characters_or_beyond_a_hit_are_candidates():
     data = np.frombuffer(text.encode(), np.uint8)
     c = Candidates(Chunk(None, data, np.array([0, len(data)])))
     assert [text[c.start[i]:c.end[i]] for i in c.free] == ["Xk93jd0qLz", "JBSWYDPKEHPKABCDEFGHIJKLMNOPQRST", f"ZZ{h}YYxx99"]
+
+
+def test_threshold_meets_the_recall_under_an_even_chance():
+    r = np.random.default_rng(2)
+    z, y = np.concatenate([r.normal(.3, 1, 400), r.normal(0, 1, 400)]), np.repeat([1, 0], 400)
+    net = CharNet().calibrate(z, y, .95)
+    assert net.threshold < .5 and (net.chance(z[y == 1]) >= net.threshold).mean() >= .95
+
+
+def test_candidates_count_by_their_largest_window():
+    x = np.random.default_rng(3).integers(0, 129, (5, WIDTH)).astype(np.uint8)
+    net, parts = CharNet(), [x[:1], x[1:4], x[4:]]
+    z = net.logits(x)
+    assert np.allclose(net.scores(parts), [z[0], z[1:4].max(), z[4]])
+    assert np.allclose(net.logits(net.top_windows(parts)), net.scores(parts))
