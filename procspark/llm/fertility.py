@@ -132,7 +132,7 @@ def measure(docs: DataFrame, text: str = "text", folder: str = TOKENIZERS) -> Da
 #: strays upwards and is no junk), and at least so much in the measure's own unit.
 BELOW, ABOVE = 5.0, 8.0
 LEAST = {"chars_per_piece": 0.03, "chars_per_byte_token": 0.03, "byte_share": 0.05}
-#: Shortest text, in words, whose tokens are held against the bands.
+#: Shortest text, in words, of those that form the bands; all texts are held against them.
 ENOUGH = 20
 
 
@@ -175,9 +175,8 @@ def fertility_rules(docs: DataFrame, text: str = "text", lang: str = "lang", fol
         off, dev = F.col(m) - F.col(f"mid_{m}"), F.col(f"dev_{m}") / F.sqrt(F.greatest("n_words", F.lit(1)))
         inside &= F.coalesce(off.between(-BELOW * dev - LEAST[m], ABOVE * dev + LEAST[m]), F.lit(True))
     varied = F.col("entropy") >= expected_entropy(F.col("word_chars") / F.col("chars_per_piece"))
-    long = F.col("n_words") >= ENOUGH
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = [c for c in stats.columns if c != "_group"]
     return (stats.join(limits, "_group", "left").withColumn("base_failed", failed)
-            .withColumn("kept", ~failed & (~long | (inside & F.coalesce(varied, F.lit(True)))))
+            .withColumn("kept", ~failed & inside & F.coalesce(varied, F.lit(True)))
             .select(*out, "base_failed", "kept"))

@@ -66,3 +66,13 @@ def test_good_documents_stay(spark, name):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     got = fertility_rules(docs).join(labels, "doc_id").where(f"lang = '{name}' and quality = 1 and not base_failed")
     assert got.where("not kept").count() == 0
+
+
+def test_short_texts_are_held_against_the_bands(spark):
+    vocab = "river mill people walked home after long day work house garden table window street market evening".split()
+    clean = [(i, " ".join(vocab[(i * 7 + j * (i % 5 + 2)) % len(vocab)] + ("s" if (i + j) % 3 else "") for j in range(25)), "en")
+             for i in range(60)]
+    odd = [(100, " ".join(chr(0x12000 + i) * 3 for i in range(15)), "en")]
+    got = {r.doc_id: r for r in fertility_rules(
+        spark.createDataFrame(clean + odd, "doc_id long, text string, lang string")).collect()}
+    assert not got[100].base_failed and not got[100].kept
