@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HASH_RANGE = 1 << 32
 BUCKETS = 4096
+RANGE_ROWS = 1 << 16   # rows of a sampled range
+MAX_RANGES = 4096      # ranges of a table, however large: their sizes are read on the driver
+RANGE_SAMPLES = 32     # sampled keys for each range
+FAN = 64               # bounds that one row is held against at a time
 SMALL_TOP_N = 1000  # Spark prunes row_number() <= n before the shuffle up to this n
 
 
@@ -60,6 +65,72 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column], b
     return ranked if below is None else ranked.filter(F.col(out) < below)
 
 
+def range_bounds(df: DataFrame, key: Column, rows: int = RANGE_ROWS, n: int | None = None, seed: int = 11) -> list:
+    """Ascending keys that cut df into ranges of about ``rows`` rows, however its keys are spread.
+
+    Quantiles of a sample of ``RANGE_SAMPLES`` keys for each range; there are at least twice as many ranges
+    as cores and at most ``MAX_RANGES``, so the sample is bounded. One job counts, unless ``n`` is known, and
+    one samples; they read the key only.
+    """
+    keys = df.select(key.alias("k")).where("k is not null")
+    n = keys.count() if n is None else n
+    ranges = min(MAX_RANGES, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n // rows)))
+    drawn = keys if n <= ranges * RANGE_SAMPLES else keys.sample(ranges * RANGE_SAMPLES / n, seed)
+    found = sorted(drawn.toArrow().column(0).to_pylist())
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
+
+
+def range_number(key: Column, bounds: Sequence, kind: str = "bigint") -> Column:
+    """How many of the ascending ``bounds`` (of the SQL type ``kind``) are at most ``key``, plus 1; 0 for a null key.
+
+    Up to ``FAN`` bounds are compared at once; more are looked up in two steps. They are one folded literal.
+    """
+    def fixed(values: list, of: str) -> Column:
+        return F.from_json(F.lit(json.dumps(values, default=str)), f"array<{of}>")
+
+    below = lambda some: F.size(F.filter(some, lambda b: b <= key))
+    if len(bounds) <= FAN:
+        number = below(fixed(list(bounds), kind))
+    else:
+        parts = [list(bounds[i:i + FAN]) for i in range(0, len(bounds), FAN)]
+        part = below(fixed([p[0] for p in parts[1:]], kind))
+        number = part * FAN + below(F.get(fixed(parts, f"array<{kind}>"), part))
+    return F.when(key.isNull(), 0).otherwise(number + 1)
+
+
+def with_range_position(df: DataFrame, order: Sequence[Column], out: str = "position", keys: Sequence[str] = (),
+                        rows: int = RANGE_ROWS, bounds: Sequence | None = None) -> DataFrame:
+    """0-based position of each row in ``order``, inside its ``keys`` if there are any.
+
+    The first column of ``order`` (ascending, nulls first, any orderable type) is cut into ranges by ``bounds``,
+    sampled from df if not given, so gaps, negative and hashed values cost nothing. Rows are shuffled once by
+    range; the sizes of the ranges come from that same shuffle and are added up per key, or without keys (at
+    most ``MAX_RANGES`` + 1 numbers) in one array. Rows with equal first columns share a range; rows
+    equal in all of ``order`` take their positions in any order.
+    """
+    bounds = range_bounds(df, order[0], rows) if bounds is None else bounds
+    kind = df.select(order[0]).schema[0].dataType.simpleString()
+    dealt = df.withColumn("_range", range_number(order[0], bounds, kind)).repartition(*keys, "_range")
+    # the sizes read all columns, so that Spark sees the same shuffle below both and runs it once
+    whole = F.max(F.xxhash64(*[f.name for f in df.schema if f.dataType.typeName() != "map"]))
+    sizes = dealt.groupBy(*keys, "_range").agg(F.when(whole.isNull(), 0).otherwise(F.count(F.lit(1))).alias("_n"))
+    w = Window.partitionBy(*keys, "_range").orderBy(*order)
+    ranked = dealt.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
+    if keys:
+        ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"),
+                              F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+        same = F.col("_range") == F.col("_r")
+        for k in keys:
+            same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        return ranked.join(starts, same).withColumn(out, F.col(out) + F.col("_before")).select(*df.columns, out)
+    by_range = F.map_from_entries(F.collect_list(F.struct("_range", "_n")))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(len(bounds) + 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
+    running = F.aggregate(filled, F.array(F.lit(0).cast("bigint")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    starts = sizes.agg(by_range.alias("m")).select(running.alias("starts")).scalar()
+    return ranked.withColumn(out, F.col(out) + F.get(starts, F.col("_range"))).drop("_range")
+
+
 def top_n(df: DataFrame, keys: Sequence[str], order: Column, tie: Column, n: int,
           bucket: Column | None = None) -> DataFrame:
     """First ``n`` rows of every group by (order, tie), all groups at once."""

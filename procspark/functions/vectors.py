@@ -19,6 +19,11 @@ def norm(a: Column) -> Column:
     return F.sqrt(fsum(F.transform(a, lambda x: x * x)))
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors; 0 where one of them is zero, as in ``unit_rows``."""
+    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.when(a.isNotNull() & b.isNotNull(), 0.0))
+
+
 def doubles(a: Column) -> Column:
     return a.cast("array<double>")
 

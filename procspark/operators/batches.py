@@ -7,18 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from procspark.functions.arrays import IGNORE
-from procspark.functions.ranking import with_position
+from procspark.functions.ranking import with_range_position
 
 
-ID_SPAN = 1 << 16  # ids that are ranked in one task
+def with_batch(df: DataFrame, row_id: str, size: int, out: str = "batch_id", bounds: Sequence | None = None) -> DataFrame:
+    """Number the batches of ``size`` consecutive rows in the order of an id; ids may have gaps and need not be dense.
 
-
-def with_batch(df: DataFrame, row_id: str, size: int, out: str = "batch_id", span: int = ID_SPAN) -> DataFrame:
-    """Number the batches of ``size`` consecutive rows in the order of an integer id; ids may have gaps.
-
-    ``span`` ids are ranked together, so give a larger one where ids are sparse.
+    ``bounds``: ids that cut the rows into ranges, where they are known more cheaply than from df.
     """
-    placed = with_position(df, [], [F.col(row_id)], F.floor(F.col(row_id) / span), "_at")
+    placed = with_range_position(df, [F.col(row_id)], "_at", bounds=bounds)
     return placed.withColumn(out, F.floor(F.col("_at") / size).cast("bigint")).drop("_at")
 
 

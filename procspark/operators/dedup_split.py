@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from procspark.functions.ranking import HASH_RANGE, hash_order, top_n, with_position
+from procspark.functions.ranking import HASH_RANGE, hash_order, top_n, with_range_position
 
 DEDUP_BASE = ("revision_id", "model_id", "unique_activities")
 DEDUP_OPTIONAL = ("trace", "eventually_follows", "prefix")
@@ -110,8 +110,10 @@ def epoch_shuffle(df: DataFrame, epoch: int, seed: int = 0, row_id: str = "row_i
 
 
 def task_batches(df: DataFrame, batch_size: int, task: str = "task", row_id: str = "row_id",
-                 rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """``batch_id`` per task; batches of all tasks with one id form a training step."""
-    bucket = F.floor(F.col(row_id) / rows_per_bucket)
-    return (with_position(df, [task], [F.col(row_id)], bucket, "_pos")
+                 bounds: Sequence | None = None) -> DataFrame:
+    """``batch_id`` per task; batches of all tasks with one id form a training step.
+
+    ``bounds``: keys that cut the row ids into ranges, where they are known without computing df twice.
+    """
+    return (with_range_position(df, [F.col(row_id)], "_pos", [task], bounds=bounds)
             .withColumn("batch_id", F.floor(F.col("_pos") / batch_size).cast("bigint")).drop("_pos"))

@@ -30,10 +30,10 @@ def tokenize(df: DataFrame, text: str, out: str = "tokens", keep: Sequence[str]
 
 
 def pack_blocks(df: DataFrame, columns: Sequence[str], block: int = 512, row_id: str = "row_id",
-                batch: Column | None = None) -> DataFrame:
+                batch: Column | None = None, bounds: Sequence | None = None) -> DataFrame:
     """Join the lists of a batch end to end and cut them into blocks of ``block``.
 
-    A batch is ``MAP_BATCH`` consecutive rows in the order of ``row_id``, or what ``batch`` says. The rest
+    A batch is ``MAP_BATCH`` consecutive rows in the order of ``row_id`` (see ``with_batch``), or what ``batch`` says. The rest
     that fills no block is dropped. Each list is cut where blocks end, so
     what is regrouped is at most one piece per (row, block) and never single
     tokens; the second grouping reuses the partitioning by batch.
@@ -41,7 +41,7 @@ def pack_blocks(df: DataFrame, columns: Sequence[str], block: int = 512, row_id:
     first = columns[0]
     w = Window.partitionBy("batch_id").orderBy(row_id).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.select(row_id, *columns, *([] if batch is None else [batch.alias("batch_id")]))
-    placed = ((with_batch(rows, row_id, MAP_BATCH) if batch is None else rows)
+    placed = ((with_batch(rows, row_id, MAP_BATCH, bounds=bounds) if batch is None else rows)
               .withColumn("_n", F.size(first))
               .withColumn("_from", F.coalesce(F.sum("_n").over(w), F.lit(0)))
               .filter(F.col("_n") > 0))

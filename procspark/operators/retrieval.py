@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from procspark.functions.vectors import dot, doubles, matrix, mean_vector, norm, unit_rows
+from procspark.functions.vectors import cosine, doubles, matrix, mean_vector, unit_rows
 
 TILE_BYTES = 64 << 20    # vectors per side of a tile, as doubles
 MIN_BLOCK = 1024         # smaller blocks are not worth a task
@@ -25,6 +25,7 @@ TIE_DIGITS = 10          # scores equal to this many digits are ties
 
 PART_SCHEMA = ("x_id bigint, true_score double, n_ahead bigint, best_score double, best_id bigint, "
                "score_sum double, n bigint")
+Shape = tuple[int, int, int]
 TOP_SCHEMA = "x_id bigint, y_id bigint, score double, label int"
 
 
@@ -52,10 +53,12 @@ def _grid(spark: SparkSession, n_x: int, n_y: int, dims: int, per_block: int | N
     return gx, gy
 
 
-def _size(df: DataFrame, n: Column, dims: Column) -> tuple[int, int]:
-    """Row (or token) count and vector length of one side: two numbers."""
-    got = df.agg(F.sum(n).alias("n"), F.max(dims).alias("d")).first()
-    return got.n or 0, got.d or 1
+def _shape(x: DataFrame, y: DataFrame, n: Column, dims: Column) -> Shape:
+    """Rows (or tokens) of both sides and vector length: three numbers from one job."""
+    side = lambda df, i: df.select(F.lit(i).alias("i"), n.alias("n"), dims.alias("d"))
+    got = side(x, 0).unionByName(side(y, 1)).agg(
+        *[F.sum(F.when(F.col("i") == i, F.col("n"))).alias(f"n{i}") for i in (0, 1)], F.max("d").alias("d")).first()
+    return got.n0 or 0, got.n1 or 0, got.d or 1
 
 
 def _chunk(width: int) -> int:
@@ -97,15 +100,14 @@ def _fold_parts(parts: DataFrame) -> DataFrame:
                     (-F.col("b.neg_id")).alias("best_id"), "score_sum", "n"))
 
 
-def cosine_ranks(x: DataFrame, y: DataFrame, tile_rows: int | None = None) -> DataFrame:
+def cosine_ranks(x: DataFrame, y: DataFrame, tile_rows: int | None = None, shape: Shape | None = None) -> DataFrame:
     """Cosine of every x against every y, folded to one row per x.
 
     Inputs: ``(pair_id, vec)`` per side; equal ``pair_id`` is the true match. Output:
-    ``x_id, true_score, true_rank, best_score, best_id, score_sum, n``. Counts both
-    sides first to size the tiles.
+    ``x_id, true_score, true_rank, best_score, best_id, score_sum, n``. The tiles are sized by
+    ``shape`` (rows of x, rows of y, dimensions), which is counted first if not given.
     """
-    one = F.lit(1)
-    (n_x, dims), (n_y, _) = _size(x, one, F.size("vec")), _size(y, one, F.size("vec"))
+    n_x, n_y, dims = shape or _shape(x, y, F.lit(1), F.size("vec"))
     gx, gy = _grid(x.sparkSession, n_x, n_y, dims, tile_rows)
     ys = y.select("pair_id", doubles(F.col("vec")).alias("vec"))
     xs = x.select("pair_id", doubles(F.col("vec")).alias("vec")).join(
@@ -160,14 +162,13 @@ def _pair_score(a: np.ndarray, b: np.ndarray) -> float:
     return _bert_block(a, np.array([0, len(a)]), b, np.array([0, len(b)]))[0, 0]
 
 
-def bert_score_ranks(x: DataFrame, y: DataFrame, tile_tokens: int | None = None) -> DataFrame:
+def bert_score_ranks(x: DataFrame, y: DataFrame, tile_tokens: int | None = None, shape: Shape | None = None) -> DataFrame:
     """As ``cosine_ranks`` with token-level BERTScore F as the score.
 
-    Inputs: ``(pair_id, vecs)`` with at least one token per sentence.
+    Inputs: ``(pair_id, vecs)`` with at least one token per sentence; ``shape`` counts tokens.
     """
-    tokens, dims = F.size("vecs"), F.size(F.get("vecs", F.lit(0)))
-    (n_x, d), (n_y, _) = _size(x, tokens, dims), _size(y, tokens, dims)
-    gx, gy = _grid(x.sparkSession, n_x, n_y, d, tile_tokens)
+    n_x, n_y, dims = shape or _shape(x, y, F.size("vecs"), F.size(F.get("vecs", F.lit(0))))
+    gx, gy = _grid(x.sparkSession, n_x, n_y, dims, tile_tokens)
     ys = y.select("pair_id", "vecs")
     xs = x.select("pair_id", "vecs").join(ys.select("pair_id", F.col("vecs").alias("true_vecs")), "pair_id")
 
@@ -207,27 +208,44 @@ def bert_score_pairs(pairs: DataFrame, x: str = "x_vecs", y: str = "y_vecs") ->
     return pairs.mapInArrow(score, f"{schema}, bert_score double")
 
 
+def _mrr() -> Column:
+    return F.avg(1.0 / F.col("true_rank")).alias("mrr")
+
+
+def _acc() -> Column:
+    return F.avg((F.col("best_id") == F.col("x_id")).cast("double")).alias("acc")
+
+
+def _mean() -> Column:
+    return F.try_divide(F.sum("score_sum"), F.sum("n")).alias("mean_score")
+
+
 def mean_reciprocal_rank(ranks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return ranks.groupBy(*by).agg(F.avg(1.0 / F.col("true_rank")).alias("mrr"))
+    return ranks.groupBy(*by).agg(_mrr())
 
 
 def retrieval_accuracy(ranks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return ranks.groupBy(*by).agg(F.avg((F.col("best_id") == F.col("x_id")).cast("double")).alias("acc"))
+    return ranks.groupBy(*by).agg(_acc())
 
 
 def mean_score(ranks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean of the whole score matrix."""
-    return ranks.groupBy(*by).agg((F.sum("score_sum") / F.sum("n")).alias("mean_score"))
+    return ranks.groupBy(*by).agg(_mean())
+
+
+def retrieval_report(ranks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``mrr``, ``acc`` and ``mean_score`` from one pass over the ranks."""
+    return ranks.groupBy(*by).agg(_mrr(), _acc(), _mean())
 
 
 def mean_cosine(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Cosine of the two side means, both from one aggregate over the stacked sides."""
+    """Cosine of the two side means, both from one aggregate over the stacked sides; 0 where a mean is zero."""
     def side(df: DataFrame, wx: float) -> DataFrame:
         return df.select(doubles(F.col("vec")).alias("vec"), F.lit(wx).alias("wx"), F.lit(1.0 - wx).alias("wy"))
 
     means = side(x, 1.0).unionByName(side(y, 0.0)).agg(
         mean_vector(F.col("vec"), F.col("wx")).alias("a"), mean_vector(F.col("vec"), F.col("wy")).alias("b"))
-    return means.select((dot(F.col("a"), F.col("b")) / (norm(F.col("a")) * norm(F.col("b")))).alias("mean_cosine"))
+    return means.select(cosine(F.col("a"), F.col("b")).alias("mean_cosine"))
 
 
 def _k_largest(s: np.ndarray, k: int) -> np.ndarray:
@@ -238,16 +256,15 @@ def _k_largest(s: np.ndarray, k: int) -> np.ndarray:
     return above | (equal & (np.cumsum(equal, axis=1) <= room))
 
 
-def top_sources(targets: DataFrame, sources: DataFrame, k: int,
-                tile_rows: int | None = None) -> DataFrame:
+def top_sources(targets: DataFrame, sources: DataFrame, k: int, tile_rows: int | None = None,
+                shape: Shape | None = None) -> DataFrame:
     """The ``k`` sources closest to each target: (x_id, y_id, score, label, rank).
 
     ``targets``: ``(x_id, vec)``; ``sources``: ``(y_id, vec, label)``. Each tile keeps
     exactly its k best per target, lower ids first among ties, so k rows per target
     and source block reach the ranking; source blocks are wide to keep those few.
     """
-    one = F.lit(1)
-    (n_x, dims), (n_y, _) = _size(targets, one, F.size("vec")), _size(sources, one, F.size("vec"))
+    n_x, n_y, dims = shape or _shape(targets, sources, F.lit(1), F.size("vec"))
     gx, gy = _grid(targets.sparkSession, n_x, n_y, dims, tile_rows, wide_y=True)
     xs = targets.select("x_id", doubles(F.col("vec")).alias("vec"))
     ys = sources.select("y_id", doubles(F.col("vec")).alias("vec"), "label")

@@ -86,7 +86,7 @@ def _nested(spark, sf):
 def qa_flatten(spark, sf):
     """One row per question of the English part, with its language by id."""
     d = qj.only_language(qj.flatten(_nested(spark, sf)), "en")
-    return qj.language_of(spark, d).select("id", "lang", "article_no", "paragraph_no", "qa_no", "question", F.length("context").alias("n"))
+    return qj.language_of(d).select("id", "lang", "article_no", "paragraph_no", "qa_no", "question", F.length("context").alias("n"))
 
 
 def qa_rejects(spark, sf):

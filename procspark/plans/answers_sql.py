@@ -86,7 +86,11 @@ SQL = {
     "qa_flatten": f"""WITH {EXAMPLES} SELECT 'english-' || d.doc_id AS id, 'en' AS lang, 0 AS article_no, 0 AS paragraph_no, 0 AS qa_no,
         '  ' || d.lang || ' ' || d.source || ' ' || d.n_chars AS question, CAST(length(d.text) AS INTEGER) AS n
         FROM documents d JOIN ex USING (doc_id) WHERE d.lang = 'en'""",
-    "qa_rejects": f"""WITH {EXAMPLES} SELECT CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' ELSE 'spanish' END
-        || '-' || doc_id AS id, CAST(a_beg + 1 AS INTEGER) AS answer_start FROM ex WHERE doc_id % 7 = 0
-        AND substr(text, CAST(a_beg + 2 AS BIGINT), CAST(a_end - a_beg AS BIGINT)) <> substr(text, CAST(a_beg + 1 AS BIGINT), CAST(a_end - a_beg AS BIGINT))""",
+    "qa_rejects": rf"""WITH d AS MATERIALIZED (SELECT doc_id, lang, text, {words('text')} AS tokens FROM documents WHERE doc_id % 7 = 0),
+        c AS (SELECT *, len(tokens) AS n, (doc_id * 31) % len(tokens) AS k FROM d WHERE len(tokens) > 0),
+        ex AS MATERIALIZED (SELECT doc_id, lang, text, length(array_to_string(tokens[1:k + 1], '')) - length(regexp_replace(tokens[k + 1], '^\s+', '')) AS a_beg,
+            length(array_to_string(tokens[1:least(k + 3, n)], '')) AS a_end FROM c)
+        SELECT CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' ELSE 'spanish' END
+        || '-' || doc_id AS id, CAST(a_beg + 1 AS INTEGER) AS answer_start FROM ex
+        WHERE substr(text, a_beg + 2, a_end - a_beg) <> substr(text, a_beg + 1, a_end - a_beg)""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from procspark.functions.ranking import hash_bucket, hash_order, with_position
+from procspark.functions.ranking import hash_bucket, hash_order, range_bounds, with_position
 from procspark.functions.text import parse_pairs, parse_set, py_list_repr
 from procspark.operators import dedup_split as ds, eventlog as ev, labels as lb, metrics as mt, prompts as pr
 from procspark.plans import views as v
@@ -172,7 +172,7 @@ def epoch_order(spark, sf):
 def task_batches(spark, sf):
     t = v.clean_traces(spark, sf).select("row_id", F.lit("trace").alias("task"))
     e = v.log(spark, sf).select(F.col("event_id").alias("row_id"), F.lit("activity").alias("task"))
-    return ds.task_batches(t.unionByName(e), 32, rows_per_bucket=4096)
+    return ds.task_batches(t.unionByName(e), 32, bounds=range_bounds(e, F.col("row_id")))
 
 
 QUERIES = {f.__name__: f for f in (

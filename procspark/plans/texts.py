@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from procspark.functions.arrays import IGNORE
+from procspark.functions.ranking import range_bounds
 from procspark.functions.tokens import attention_mask, truncate, words
 from procspark.operators import batches as bt, choices as ch, labels as lb, metrics as mt, packing as pk, prompts as pr, tags as tg
 from procspark.plans import views as v
@@ -59,9 +60,13 @@ def blank_line_filter(spark, sf):
     return pk.drop_blank_lines(lines, "line").select("doc_id", "line_no", "line")
 
 
+def _doc_bounds(spark, sf):
+    return range_bounds(v.table(spark, sf, "documents"), F.col("doc_id"))
+
+
 def pack_blocks(spark, sf):
     d = v.doc_words(spark, sf).withColumn("lens", F.transform("tokens", F.length))
-    return pk.pack_blocks(d, ["tokens", "lens"], 512, "doc_id").select(
+    return pk.pack_blocks(d, ["tokens", "lens"], 512, "doc_id", bounds=_doc_bounds(spark, sf)).select(
         "batch_id", "block_id", F.array_join("tokens", "").alias("text"),
         F.aggregate("lens", F.lit(0), lambda a, x: a + x).alias("n_chars"))
 
@@ -166,7 +171,7 @@ def strip_generation(spark, sf):
 
 def pad_batches(spark, sf):
     d = v.doc_words(spark, sf).select("doc_id", F.transform("tokens", F.length).alias("input_ids"))
-    d = bt.with_batch(d.withColumn("labels", F.transform("input_ids", lambda x: x * 2)), "doc_id", 32)
+    d = bt.with_batch(d.withColumn("labels", F.transform("input_ids", lambda x: x * 2)), "doc_id", 32, bounds=_doc_bounds(spark, sf))
     return bt.pad_batches(d, 0, labels=["labels"]).select(
         "doc_id", "batch_id", "padded_length", joined(F.col("input_ids")).alias("input_ids"),
         joined(F.col("attention_mask")).alias("attention_mask"), joined(F.col("labels")).alias("labels"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from procspark.functions.vectors import dot, norm
+from procspark.functions.vectors import cosine
 from procspark.operators import alignment as al, heads as hd, metrics as mt, pooling as pl, retrieval as rt, tags as tg
 from procspark.plans import views as v
 from procspark.plans.views import rounded
@@ -32,7 +32,8 @@ def last_state(spark, sf):
 
 
 def cosine_ranks(spark, sf):
-    r = rt.cosine_ranks(*v.halves(spark, sf))
+    x, y, shape = v.halves(spark, sf)
+    r = rt.cosine_ranks(x, y, shape=shape)
     return r.select("x_id", rounded(F.col("true_score")).alias("true_score"), "true_rank",
                     rounded(F.col("best_score")).alias("best_score"), "best_id",
                     rounded(F.col("score_sum")).alias("score_sum"), "n")
@@ -40,25 +41,25 @@ def cosine_ranks(spark, sf):
 
 def true_cosine(spark, sf):
     """Cosine of the true pairs only."""
-    x, y = v.halves(spark, sf)
+    x, y, _ = v.halves(spark, sf)
     pairs = x.select("pair_id", F.col("vec").alias("a")).join(y.select("pair_id", F.col("vec").alias("b")), "pair_id")
-    return pairs.select("pair_id", rounded(dot(F.col("a"), F.col("b")) / (norm(F.col("a")) * norm(F.col("b")))).alias("cosine"))
+    return pairs.select("pair_id", rounded(cosine(F.col("a"), F.col("b"))).alias("cosine"))
 
 
 def mrr_acc(spark, sf):
-    r = rt.cosine_ranks(*v.halves(spark, sf)).withColumn("all", F.lit(0))
-    both = rt.mean_reciprocal_rank(r, ["all"]).join(rt.retrieval_accuracy(r, ["all"]), "all").join(rt.mean_score(r, ["all"]), "all")
-    return both.select(*[rounded(F.col(c)).alias(c) for c in ("mrr", "acc", "mean_score")])
+    x, y, shape = v.halves(spark, sf)
+    r = rt.retrieval_report(rt.cosine_ranks(x, y, shape=shape))
+    return r.select(*[rounded(F.col(c)).alias(c) for c in ("mrr", "acc", "mean_score")])
 
 
 def mean_cosine(spark, sf):
-    return rt.mean_cosine(*v.halves(spark, sf)).select(rounded(F.col("mean_cosine")).alias("mean_cosine"))
+    return rt.mean_cosine(*v.halves(spark, sf)[:2]).select(rounded(F.col("mean_cosine")).alias("mean_cosine"))
 
 
 def _neighbours(spark, sf, k=max(rt.KNN_SIZES)):
-    x, y = v.halves(spark, sf)
+    x, y, (n_x, n_y, dims) = v.halves(spark, sf)
     return rt.top_sources(y.select(F.col("vec_id").alias("x_id"), "vec"),
-                          x.select(F.col("vec_id").alias("y_id"), "vec", "label"), k)
+                          x.select(F.col("vec_id").alias("y_id"), "vec", "label"), k, shape=(n_y, n_x, dims))
 
 
 def knn_top(spark, sf):
@@ -82,14 +83,14 @@ def knn_entity_f1(spark, sf):
 
 def bert_score_pairs(spark, sf):
     """Token-level score of the true sentence pairs."""
-    x, y = (rt.sentences(s) for s in v.sentence_tokens(spark, sf))
+    x, y = (rt.sentences(s) for s in v.sentence_tokens(spark, sf)[:2])
     pairs = x.withColumnRenamed("vecs", "x_vecs").join(y.withColumnRenamed("vecs", "y_vecs"), "pair_id")
     return rt.bert_score_pairs(pairs).select("pair_id", rounded(F.col("bert_score")).alias("bert_score"))
 
 
 def bert_score_ranks(spark, sf):
-    x, y = (rt.sentences(s) for s in v.sentence_tokens(spark, sf))
-    r = rt.bert_score_ranks(x, y)
+    *sides, shape = v.sentence_tokens(spark, sf)
+    r = rt.bert_score_ranks(*map(rt.sentences, sides), shape=shape)
     return r.select("x_id", rounded(F.col("true_score")).alias("true_score"), "true_rank",
                     rounded(F.col("best_score")).alias("best_score"), "best_id",
                     rounded(F.col("score_sum")).alias("score_sum"), "n")
@@ -100,7 +101,7 @@ def cka_2d(spark, sf):
 
 
 def cka_3d(spark, sf):
-    x, y = v.halves(spark, sf)
+    x, y, _ = v.halves(spark, sf)
     pairs = x.select("pair_id", F.col("vec").alias("x")).join(y.select("pair_id", F.col("vec").alias("y")), "pair_id")
     pairs = pairs.withColumns({"a": F.floor(F.col("pair_id") / 5), "b": F.col("pair_id") % 5})
     return al.cka_grouped(pairs, reduction=None).select("a", rounded(F.col("cka")).alias("cka"))

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from procspark.functions.ranking import spread, with_position
+from procspark.functions.ranking import range_bounds, spread, with_range_position
 from procspark.functions.tokens import offsets, words
 from procspark.operators import dedup_split as ds, eventlog as ev
-from procspark.operators.batches import ID_SPAN
 from procspark.operators.qa_windows import eval_features
+from procspark.operators.retrieval import Shape
 
 CASE = ("model_id", "revision_id", "case_id")
 
@@ -144,20 +144,27 @@ def embeddings(spark: SparkSession, sf: str) -> DataFrame:
         "vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
 
 
-def halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """First and second half in id order as aligned sides: row i of each is a true pair.
+def placed_embeddings(spark: SparkSession, sf: str, out: str) -> tuple[DataFrame, int, int]:
+    """Vectors with their place in id order, how many there are, and their length."""
+    n, dims = table(spark, sf, "embeddings").agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    emb = embeddings(spark, sf)
+    return with_range_position(emb, [F.col("vec_id")], out, bounds=range_bounds(emb, F.col("vec_id"), n=n)), n, dims
+
+
+def halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Shape]:
+    """First and second half in id order as aligned sides, and their shape: row i of each is a true pair.
 
     Of an odd number of rows the last one stays on the second side, without a partner.
     """
-    emb = with_position(embeddings(spark, sf), [], [F.col("vec_id")], F.floor(F.col("vec_id") / ID_SPAN), "pair_id")
-    half = F.lit(emb.count() // 2).cast("bigint")
+    emb, n, dims = placed_embeddings(spark, sf, "pair_id")
+    half = F.lit(n // 2).cast("bigint")
     return emb.filter(F.col("pair_id") < half), emb.filter(F.col("pair_id") >= half).withColumn(
-        "pair_id", F.col("pair_id") - half)
+        "pair_id", F.col("pair_id") - half), (n // 2, n - n // 2, dims)
 
 
 def sided(spark: SparkSession, sf: str) -> DataFrame:
     """Both sides of the true pairs."""
-    x, y = halves(spark, sf)
+    x, y, _ = halves(spark, sf)
     return x.withColumn("side", F.lit(0)).unionByName(y.join(x.select("pair_id"), "pair_id", "left_semi").withColumn("side", F.lit(1)))
 
 
@@ -170,17 +177,19 @@ def hidden_states(spark: SparkSession, sf: str) -> DataFrame:
         F.when(v % 5 < 1 + F.floor(v / 20) % 5, 1).otherwise(0).alias("mask"))
 
 
-def sentence_tokens(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def sentence_tokens(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Shape]:
     """Groups of five vectors in id order as sentences, split into aligned halves; the last may be shorter.
 
     Of an odd number of sentences the last one stays on the second side, without a partner.
     """
-    emb = with_position(embeddings(spark, sf), [], [F.col("vec_id")], F.floor(F.col("vec_id") / ID_SPAN), "_at")
-    half = F.lit((emb.count() + 4) // 5 // 2).cast("bigint")
+    emb, n, dims = placed_embeddings(spark, sf, "_at")
+    first = (n + 4) // 5 // 2
+    half = F.lit(first).cast("bigint")
     tok = emb.select(F.floor(F.col("_at") / 5).alias("pair_id"), (F.col("_at") % 5).cast("int").alias("pos"), "vec",
                      F.lit(1).alias("mask"))
     return (tok.filter(F.col("pair_id") < half),
-            tok.filter(F.col("pair_id") >= half).withColumn("pair_id", F.col("pair_id") - half))
+            tok.filter(F.col("pair_id") >= half).withColumn("pair_id", F.col("pair_id") - half),
+            (5 * first, n - 5 * first, dims))
 
 
 def task_rows(spark: SparkSession, sf: str) -> DataFrame:

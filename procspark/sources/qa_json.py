@@ -32,11 +32,10 @@ def flatten(raw: DataFrame) -> DataFrame:
                              F.col("q.answers.answer_start").alias("answer_start")).alias("answers")))
 
 
-def language_of(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Add ``lang`` from the id prefix; the dimension is the fixed table above."""
-    dim = spark.createDataFrame(list(LANGUAGES.items()), "lang string, _language string")
-    return (df.withColumn("_language", F.substring_index("id", "-", 1))
-            .join(F.broadcast(dim), "_language").drop("_language"))
+def language_of(df: DataFrame) -> DataFrame:
+    """Add ``lang`` from the id prefix; questions of other languages go."""
+    codes = F.create_map(*[F.lit(x) for code, name in LANGUAGES.items() for x in (name, code)])
+    return df.withColumn("lang", F.try_element_at(codes, F.substring_index("id", "-", 1))).where("lang is not null")
 
 
 def only_language(df: DataFrame, lang: str) -> DataFrame:

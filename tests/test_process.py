@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from procspark.functions.ranking import hash_bucket, hash_order, spread, top_n, with_position
+from procspark.functions.ranking import hash_bucket, hash_order, range_bounds, range_number, spread, top_n, with_position, with_range_position
 from procspark.operators import dedup_split as ds, eventlog as ev, labels as lb, prompts as pr
 
 CASE = ["model_id", "revision_id", "case_id"]
@@ -130,6 +130,32 @@ def test_positions_in_a_hot_group(spark):
         assert [x[1:] for x in sorted(g)] == sorted(x[1:] for x in g)
 
 
+@pytest.mark.parametrize("ids", [
+    range(500), [i * 10**15 - 3 * 10**17 for i in range(700)], [(i * 0x9E3779B97F4A7C15) % 2**64 - 2**63 for i in range(900)],
+    [0] * 300 + [7, 5], [None, -4, None, 9], []], ids=["dense", "sparse", "hashed", "equal", "nulls", "empty"])
+def test_range_positions(spark, ids):
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(ids)], "v long, tie long")
+    order = [F.col("v"), F.col("tie")]
+    got = {r.tie: r.position for r in with_range_position(df, order, rows=40).collect()}
+    want = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, i))
+    assert got == {i: n for n, i in enumerate(want)}
+    keyed = with_range_position(df.withColumn("k", F.when(F.col("tie") % 3 > 0, "hot")), order, keys=["k"], rows=40).collect()
+    for part in (0, 1):
+        mine = [i for i in want if (i % 3 > 0) == part]
+        assert {r.tie: r.position for r in keyed if (r.k is not None) == part} == {i: n for n, i in enumerate(mine)}
+
+
+def test_many_ranges(spark):
+    df = spark.range(0, 30_000, 3).select(F.col("id"), F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("t"))
+    for c, kind in (("id", "bigint"), ("t", "string")):
+        bounds = range_bounds(df, F.col(c), rows=50)
+        assert len(bounds) > 128
+        sizes = df.groupBy(range_number(F.col(c), bounds, kind).alias("r")).count().collect()
+        assert {r.r for r in sizes} == set(range(1, len(bounds) + 2)) and max(r["count"] for r in sizes) < 250
+        got = with_range_position(df, [F.col(c)], rows=50).collect()
+        assert all(r.position * 3 == r.id for r in got)
+
+
 @pytest.mark.parametrize("n", [10, 1500])
 def test_top_n_small_and_large(spark, n):
     df = spark.range(9000).select("id", (F.col("id") % 2).alias("k")).withColumn("h", hash_order(F.col("id"), seed=2))
@@ -146,7 +172,7 @@ def test_sampling(spark):
     assert [r.row_id for r in ds.head(df).collect()] == list(range(16))
     one, two = (([r.row_id for r in ds.epoch_shuffle(df, e).collect()]) for e in (0, 1))
     assert one != two and sorted(one) == sorted(two)
-    b = ds.task_batches(df.withColumn("task", F.lit("t")), 32, rows_per_bucket=50)
+    b = ds.task_batches(df.withColumn("task", F.lit("t")), 32)
     assert Counter(r.batch_id for r in b.collect()) == {i: 32 if i < 6 else 8 for i in range(7)}
 
 

@@ -43,7 +43,7 @@ def test_nested_json(spark, qa_file):
         ("english-1", "q1", "日本"), ("english-2-x", "q3", "b"), ("english-3", "q4", "d")]
     every = qj.read_nested(spark, qa_file)
     assert [(r.article_no, r.paragraph_no, r.qa_no) for r in every.collect()] == [(0, 0, 0), (0, 0, 1), (0, 1, 0), (1, 0, 0)]
-    assert {r.lang for r in qj.language_of(spark, every).collect()} == {"en", "fi"}
+    assert {r.lang for r in qj.language_of(every).collect()} == {"en", "fi"}
     assert qj.load_qa(spark, {"dev": qa_file}, "dev", None).count() == 4
 
 
