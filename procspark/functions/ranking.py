@@ -69,12 +69,13 @@ def range_bounds(df: DataFrame, key: Column, rows: int = RANGE_ROWS, n: int | No
     """Ascending keys that cut df into ranges of about ``rows`` rows, however its keys are spread.
 
     Quantiles of a sample of ``RANGE_SAMPLES`` keys for each range; there are at least twice as many ranges
-    as cores and at most ``MAX_RANGES``, so the sample is bounded. One job counts, unless ``n`` is known, and
+    as cores, as many as shuffle partitions, and at most ``MAX_RANGES``, so the sample is bounded. One job counts, unless ``n`` is known, and
     one samples; they read the key only.
     """
     keys = df.select(key.alias("k")).where("k is not null")
     n = keys.count() if n is None else n
-    ranges = min(MAX_RANGES, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n // rows)))
+    spark = df.sparkSession
+    ranges = min(MAX_RANGES, max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows)))
     drawn = keys if n <= ranges * RANGE_SAMPLES else keys.sample(ranges * RANGE_SAMPLES / n, seed)
     found = sorted(drawn.toArrow().column(0).to_pylist())
     return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
