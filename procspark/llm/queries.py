@@ -11,10 +11,12 @@ from procspark.llm.chains import repeated_passages
 from procspark.llm.crf import score_quality
 from procspark.llm.fertility import fertility_rules
 from procspark.llm.licenses import scan_licenses
+from procspark.llm.manifest import merkle_manifest, without_newlines
 from procspark.llm.mixing import mix_documents
 from procspark.llm.parity import jaccard_components
 from procspark.llm.pii import find_pii
 from procspark.llm.secrets import find_secrets
+from procspark.llm.shards import shard_documents
 from procspark.llm.store import shared_folder
 from procspark.llm.warc import read_archive, write_archive
 from procspark.llm.winnow import decontaminate
@@ -69,5 +71,14 @@ def op10_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
     return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_license_index, op3_weak_pii, op4_fertility, op5_chained_passages, op6_winnowing, op7_parity_sketch, op8_line_crf, op9_secret_cnn, op10_warc_archive)}
+def op12_sampled_splitters(spark: SparkSession, sf: str) -> DataFrame:
+    return shard_documents(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def op13_level_strings(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf, "documents"), without_newlines())
+
+
+QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_license_index, op3_weak_pii, op4_fertility, op5_chained_passages, op6_winnowing, op7_parity_sketch, op8_line_crf, op9_secret_cnn, op10_warc_archive,
+                                    op12_sampled_splitters, op13_level_strings)}
 SQL = oracle.SQL

@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one on a local master, whose only machine
+    this is; on a cluster an error, as other machines would not see the folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="procspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
