@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from procspark.llm import oracle
 from procspark.llm.chains import repeated_passages
@@ -19,6 +19,7 @@ from procspark.llm.secrets import find_secrets
 from procspark.llm.shards import shard_documents
 from procspark.llm.store import shared_folder
 from procspark.llm.warc import read_archive, write_archive
+from procspark.llm.whitening import whiten
 from procspark.llm.winnow import decontaminate
 
 
@@ -71,6 +72,10 @@ def op10_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
     return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_jacobi_davidson(spark: SparkSession, sf: str) -> DataFrame:
+    return whiten(table(spark, sf, "embeddings").select("vec_id", "embedding")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op12_sampled_splitters(spark: SparkSession, sf: str) -> DataFrame:
     return shard_documents(table(spark, sf, "documents").select("doc_id", "text"))
 
@@ -80,5 +85,5 @@ def op13_level_strings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_license_index, op3_weak_pii, op4_fertility, op5_chained_passages, op6_winnowing, op7_parity_sketch, op8_line_crf, op9_secret_cnn, op10_warc_archive,
-                                    op12_sampled_splitters, op13_level_strings)}
+                                    op11_jacobi_davidson, op12_sampled_splitters, op13_level_strings)}
 SQL = oracle.SQL
