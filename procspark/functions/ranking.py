@@ -86,22 +86,23 @@ def range_number(key: Column, bounds: Sequence, kind: str = "bigint") -> Column:
 
     Up to ``FAN`` bounds are compared at once; more are looked up in two steps. They are one folded literal.
     """
-    def fixed(values: list, of: str) -> Column:
-        return F.from_json(F.lit(json.dumps(values, default=str)), f"array<{of}>")
+    def fixed(values: list, depth: int = 1) -> Column:
+        kinds = ["array<" * depth + k + ">" * depth for k in ("string", kind)]
+        return F.from_json(F.lit(json.dumps(values, default=str)), kinds[0]).cast(kinds[1])
 
     below = lambda some: F.size(F.filter(some, lambda b: b <= key))
     if len(bounds) <= FAN:
-        number = below(fixed(list(bounds), kind))
+        number = below(fixed(list(bounds)))
     else:
         parts = [list(bounds[i:i + FAN]) for i in range(0, len(bounds), FAN)]
-        part = below(fixed([p[0] for p in parts[1:]], kind))
-        number = part * FAN + below(F.get(fixed(parts, f"array<{kind}>"), part))
+        part = below(fixed([p[0] for p in parts[1:]]))
+        number = part * FAN + below(F.get(fixed(parts, 2), part))
     return F.when(key.isNull(), 0).otherwise(number + 1)
 
 
 def with_range_position(df: DataFrame, order: Sequence[Column], out: str = "position", keys: Sequence[str] = (),
-                        rows: int = RANGE_ROWS, bounds: Sequence | None = None) -> DataFrame:
-    """0-based position of each row in ``order``, inside its ``keys`` if there are any.
+                        rows: int = RANGE_ROWS, bounds: Sequence | None = None, total: str | None = None) -> DataFrame:
+    """0-based position of each row in ``order``, inside its ``keys`` if there are any; ``total`` names a column for their number.
 
     The first column of ``order`` (ascending, nulls first, any orderable type) is cut into ranges by ``bounds``,
     sampled from df if not given, so gaps, negative and hashed values cost nothing. Rows are shuffled once by
@@ -120,16 +121,19 @@ def with_range_position(df: DataFrame, order: Sequence[Column], out: str = "posi
     if keys:
         ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
         starts = sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"),
-                              F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+                              F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"),
+                              *([F.sum("_n").over(Window.partitionBy(*keys)).alias(total)] if total else []))
         same = F.col("_range") == F.col("_r")
         for k in keys:
             same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        return ranked.join(starts, same).withColumn(out, F.col(out) + F.col("_before")).select(*df.columns, out)
+        return ranked.join(starts, same).withColumn(out, F.col(out) + F.col("_before")).select(*df.columns, out, *([total] if total else []))
     by_range = F.map_from_entries(F.collect_list(F.struct("_range", "_n")))
     filled = F.transform(F.sequence(F.lit(0), F.lit(len(bounds) + 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
     running = F.aggregate(filled, F.array(F.lit(0).cast("bigint")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
     starts = sizes.agg(by_range.alias("m")).select(running.alias("starts")).scalar()
-    return ranked.withColumn(out, F.col(out) + F.get(starts, F.col("_range"))).drop("_range")
+    if total:
+        ranked = ranked.withColumn(total, F.element_at(starts, -1))
+    return ranked.withColumn(out, F.col(out) + F.get(starts, F.col("_range"))).select(*df.columns, out, *([total] if total else []))
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Column, tie: Column, n: int,

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from procspark.functions.ranking import HASH_RANGE, hash_order, top_n, with_range_position
+from procspark.functions.ranking import HASH_RANGE, MAX_RANGES, hash_order, top_n, with_range_position
 
 DEDUP_BASE = ("revision_id", "model_id", "unique_activities")
 DEDUP_OPTIONAL = ("trace", "eventually_follows", "prefix")
@@ -103,10 +103,24 @@ def head(df: DataFrame, n: int = 16, row_id: str = "row_id") -> DataFrame:
     return df.orderBy(row_id).limit(n)
 
 
+def epoch_key(epoch: int, seed: int = 0, row_id: str = "row_id", method: str = "xxhash64") -> Column:
+    """What an epoch sorts its rows by, before the row id."""
+    return hash_order(F.col(row_id), F.lit(epoch), seed=seed, method=method)
+
+
 def epoch_shuffle(df: DataFrame, epoch: int, seed: int = 0, row_id: str = "row_id",
                   method: str = "xxhash64") -> DataFrame:
     """Training order of one epoch: a range-partitioned sort on a seeded hash."""
-    return df.orderBy(hash_order(F.col(row_id), F.lit(epoch), seed=seed, method=method), F.col(row_id))
+    return df.orderBy(epoch_key(epoch, seed, row_id, method), F.col(row_id))
+
+
+def epoch_positions(df: DataFrame, epoch: int, seed: int = 0, row_id: str = "row_id", method: str = "xxhash64",
+                    out: str = "position") -> DataFrame:
+    """The place of each row in the order of ``epoch_shuffle``; a hash needs no sampled bounds."""
+    key = df.withColumn("_h", epoch_key(epoch, seed, row_id, method))
+    n = min(MAX_RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = [HASH_RANGE * i // n for i in range(1, n)]
+    return with_range_position(key, [F.col("_h"), F.col(row_id)], out, bounds=bounds).drop("_h")
 
 
 def task_batches(df: DataFrame, batch_size: int, task: str = "task", row_id: str = "row_id",

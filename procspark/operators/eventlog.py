@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from procspark.functions.ranking import range_bounds, range_number
+
 END = "[END]"  # fixed value: what follows the last event
 MODEL = ("model_id", "revision_id")
 
@@ -67,11 +69,13 @@ def follow_edges(log: DataFrame, case: Sequence[str], model: Sequence[str] = MOD
                  bucket: Column | None = None) -> DataFrame:
     """Each pair of neighbouring events in a case as (model, src, dst), with repeats.
 
-    ``bucket`` (default: the hour; it must not decrease with time) cuts a case into
-    pieces that sort on their own, so no case has to fit one task. Only the ends of
-    the pieces are then lined up per case, for the pairs over the cuts.
+    ``bucket`` (it must not decrease with time) cuts a case into pieces that sort on their own, so no case has to
+    fit one task; by default ranges of time with about equal numbers of events, from a sample of the log, so a busy hour is many
+    pieces. Only the first and last event of a piece are then lined up per case, for the pairs over the cuts.
     """
-    cut = log.withColumn("_bucket", F.date_trunc("hour", "ts") if bucket is None else bucket)
+    if bucket is None:
+        bucket = range_number(F.col("ts"), range_bounds(log, F.col("ts")), log.schema["ts"].dataType.simpleString())
+    cut = log.withColumn("_bucket", bucket)
     piece = Window.partitionBy(*case, "_bucket").orderBy("ts", "event_id")
     marked = (cut.withColumn("dst", F.lead("activity").over(piece))
               .withColumn("_head", F.row_number().over(piece) == 1))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from procspark.functions.arrays import fsum, let
 from procspark.functions.tokens import SPACE
@@ -13,57 +16,97 @@ from procspark.functions.tokens import SPACE
 PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 ARTICLES = r"(?U)\b(a|an|the)\b"
 NO_ANSWER = "empty"
-
-
-def _top_positions(logits: Column, n: int) -> Column:
-    """Positions of the n largest logits, best first; of equal logits the later one first."""
-    ranked = F.sort_array(F.transform(logits, lambda x, i: F.struct(
-        (-x).alias("neg"), (-i).alias("neg_i"))))
-    return F.transform(F.slice(ranked, 1, n), lambda s: F.struct(
-        (-s["neg_i"]).alias("i"), (-s["neg"]).alias("logit")))
+WINDOWS = 512  # windows scored at a time
+
+
+CANDIDATES = ("array<struct<neg:double,window_no:int,start_rank:int,end_rank:int,start_logit:double,end_logit:double,"
+              "begin:int,finish:int,text:string>>")
+
+
+def _best_columns(x: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n largest of the first ``size`` values of each row, best first; of equal values the later one first."""
+    flipped = np.where(np.arange(x.shape[1]) < size[:, None], -x, np.inf)[:, ::-1]
+    return x.shape[1] - 1 - np.argsort(flipped, axis=1, kind="stable")[:, :n]
+
+
+def _padded(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) values of a list column, and the lengths."""
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(size), max(int(size.max(initial=1)), 1)))
+    out[np.arange(out.shape[1]) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out, size
+
+
+def _window_spans(batch: pa.RecordBatch, n_best: int, max_answer_length: int, with_text: bool) -> pa.ListArray:
+    """CANDIDATES of each window of a batch, the n best, from all pairs of its n best starts and ends at once."""
+    col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+    (s, size), (e, size_e) = _padded(col["start_logits"]), _padded(col["end_logits"])
+    rows = np.arange(len(s))[:, None]
+    i, j = _best_columns(s, size, n_best), _best_columns(e, size_e, n_best)
+    offs = col["offset_mapping"]
+    first = offs.offsets.to_numpy()[:-1, None] - offs.offsets[0].as_py()
+    n_offs = offs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)[:, None]
+    spans = offs.values.slice(offs.offsets[0].as_py(), offs.offsets[-1].as_py() - offs.offsets[0].as_py())
+    there = spans.is_valid().to_numpy(zero_copy_only=False)
+    begins, ends = (spans.field(k).fill_null(0).to_numpy(zero_copy_only=False) for k in (0, 1))
+
+    def at(values: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return values[np.minimum(first + p, len(values) - 1)] if len(values) else np.zeros(p.shape, values.dtype)
+
+    usable_i = (i < size[:, None]) & (i < n_offs) & at(there, i)
+    usable_j = (j < size_e[:, None]) & (j < n_offs) & at(there, j)
+    if "max_context" in col:  # a null map allows all, a place it does not name is out
+        for k in np.flatnonzero(col["max_context"].is_valid().to_numpy(zero_copy_only=False)):
+            flags = dict(col["max_context"][k].as_py())
+            usable_i[k] &= [bool(flags.get(str(p))) for p in i[k]]
+    reach = j[:, None, :] - i[:, :, None]
+    good = usable_i[:, :, None] & usable_j[:, None, :] & (reach >= 0) & (reach < max_answer_length)
+    neg = np.where(good, -(s[rows, i][:, :, None] + e[rows, j][:, None, :]), np.inf).reshape(len(s), -1)
+    best = np.argsort(neg, axis=1, kind="stable")[:, :n_best]  # equal scores by start rank, then end rank
+    kept = np.take_along_axis(good.reshape(len(s), -1), best, 1)
+    row, _ = np.nonzero(kept)
+    pick = best[kept]
+    si, ej = pick // j.shape[1], pick % j.shape[1]
+    begin, finish = at(begins, i)[row, si], at(ends, j)[row, ej]
+    text = _texts(col, row, begin, finish, at(ends, col["context_pos"].to_numpy()[:, None])[:, 0]) if with_text else [None] * len(row)
+    fields = {"neg": neg[row, pick], "window_no": col["window_no"].to_numpy()[row], "start_rank": si.astype("int32"), "end_rank": ej.astype("int32"),
+              "start_logit": s[row, i[row, si]], "end_logit": e[row, j[row, ej]], "begin": begin, "finish": finish}
+    found = pa.StructArray.from_arrays([*[pa.array(v) for v in fields.values()], pa.array(text, pa.string())], [*fields, "text"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept.sum(1))]).astype("int32")), found)
+
+
+def _texts(col: dict, row: np.ndarray, begin: np.ndarray, finish: np.ndarray, first_end: np.ndarray) -> list[str]:
+    """Answers cut from the windows' own tokens; ``first_end``: where the first token of each window ends in the context."""
+    tokens = col["context_tokens"]
+    whole = pc.binary_join(tokens, "").to_pylist()
+    at = tokens.offsets.to_numpy()
+    sizes = pc.utf8_length(tokens.values).fill_null(0).to_numpy(zero_copy_only=False)
+    first = np.where(np.diff(at) > 0, sizes[np.minimum(at[:-1], len(sizes) - 1)], 0) if len(sizes) else np.zeros(len(at) - 1, int)
+    start = first_end - first
+    return [whole[r][a - start[r]:b - start[r]].lstrip(SPACE) if b > a else "" for r, a, b in zip(row, begin, finish)]
 
 
 def feature_candidates(features: DataFrame, n_best: int = 20, max_answer_length: int = 30,
                        max_context: str | None = None, with_text: bool = False) -> DataFrame:
-    """Best ``n_best`` valid (start, end) spans of each feature, one row each.
+    """(example_id, spans): the best ``n_best`` valid (start, end) spans of each feature as one sorted list.
 
-    Input: ``example_id, window_no, start_logits, end_logits, offset_mapping``.
-    All of it happens inside the feature's row; only its best spans leave it, and
-    no other span of the feature can be among the example's best. ``with_text``
-    adds the answer text from the window's own ``context_tokens``; a feature
-    without any valid span then keeps one row of nulls.
+    Input: ``example_id, window_no, start_logits, end_logits, offset_mapping``. Batches of features are scored as
+    matrices; only a feature's best spans leave it, and no other span of it can be among the example's best.
+    ``with_text`` adds the answer text from the window's own ``context_tokens``. A feature without any
+    valid span has an empty list.
     """
-    def text_of(c: Column) -> Column:
-        first = (c["start_pos"] - F.col("context_pos") + 1).cast("int")
-        piece = F.slice("context_tokens", first, (c["end_pos"] - c["start_pos"] + 1).cast("int"))
-        return F.ltrim(F.array_join(piece, ""), F.lit(SPACE))
-
-    def pairs(starts: Column, ends: Column, offs: Column) -> Column:
-        def for_start(s: Column, a: Column) -> Column:
-            usable = F.filter(ends, lambda e: (e["i"] >= s["i"]) & (e["i"] - s["i"] < max_answer_length)
-                              & F.get(offs, e["i"]).isNotNull())
-            out = F.transform(usable, lambda e: F.struct(
-                (-(s["logit"] + e["logit"])).alias("neg"), a.alias("start_rank"),
-                F.array_position(ends, e).alias("end_rank"), s["logit"].alias("start_logit"),
-                e["logit"].alias("end_logit"), F.get(offs, s["i"])["start"].alias("begin"),
-                F.get(offs, e["i"])["end"].alias("finish"), s["i"].alias("start_pos"), e["i"].alias("end_pos")))
-            valid = F.get(offs, s["i"]).isNotNull()
-            if max_context is not None:
-                flag = F.coalesce(F.try_element_at(F.col(max_context), s["i"].cast("string")), F.lit(False))
-                valid = valid & (F.col(max_context).isNull() | flag)
-            return F.when(valid, out).otherwise(F.slice(out, 1, 0))
-        return F.slice(F.sort_array(F.flatten(F.transform(starts, for_start))), 1, n_best)
-
-    spans = let(_top_positions(F.col("start_logits"), n_best), lambda s: let(
-        _top_positions(F.col("end_logits"), n_best), lambda e: let(
-            F.col("offset_mapping"), lambda o: pairs(s, e, o))))
-    if with_text:
-        spans = F.transform(spans, lambda c: F.struct(
-            *[c[f].alias(f) for f in ("neg", "start_rank", "end_rank", "start_logit", "end_logit", "begin", "finish")],
-            text_of(c).alias("text")))
-    rows = features.select("example_id", "window_no", (F.explode_outer if with_text else F.explode)(spans).alias("c"))
-    return rows.select("example_id", "window_no", (-F.col("c.neg")).alias("score"), "c.start_rank", "c.end_rank",
-                       "c.start_logit", "c.end_logit", "c.begin", "c.finish", *(["c.text"] if with_text else []))
+    more = [F.col(max_context).alias("max_context")] if max_context is not None else []
+    logits = [F.col(c).cast("array<double>").alias(c) for c in ("start_logits", "end_logits")]
+    src = features.select("example_id", F.col("window_no").cast("int").alias("window_no"), *logits, "offset_mapping", *more,
+                          *(["context_tokens", F.col("context_pos").cast("int").alias("context_pos")] if with_text else []))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, WINDOWS):
+                part = batch.slice(i, WINDOWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), _window_spans(part, n_best, max_answer_length, with_text)], ["example_id", "spans"])
+
+    return src.mapInArrow(run, f"example_id {src.schema['example_id'].dataType.simpleString()}, spans {CANDIDATES}")
 
 
 def min_null(features: DataFrame) -> DataFrame:
@@ -81,27 +124,20 @@ def nbest(features: DataFrame, examples: DataFrame | None = None, negatives: boo
 
     Without ``examples`` the answer texts come from the windows' ``context_tokens``
     and ``context_pos``, so no context is shuffled. With ``examples``
-    (``example_id``, ``context``) they are cut from the contexts by offset, and
-    examples without any feature get the fallback answer. With ``negatives`` the
+    (``example_id``, ``context``) they are cut from the contexts by offset,
+    examples without any feature get the fallback answer, and features of other examples go (``unmatched`` lists both). With ``negatives`` the
     best null joins the list, last among equals, and is put back when the cut
     removed it.
     """
     own_text = examples is None
     cand = feature_candidates(features, n_best, max_answer_length, max_context, with_text=own_text)
-    order = [F.col("score").desc(), "window_no", "start_rank", "end_rank"]
-    top = (cand.withColumn("rank", F.row_number().over(Window.partitionBy("example_id").orderBy(*order)))
-           .filter(F.col("rank") <= n_best))
-    text = F.col("text") if own_text else F.lit(None).cast("string")
-    row = F.when(F.col("score").isNotNull(), F.struct(
-        (-F.col("score")).alias("neg"), "rank", "start_logit", "end_logit", "begin", "finish", text.alias("text")))
-    best = top.groupBy("example_id").agg(F.sort_array(F.collect_list(row)).alias("spans"))
+    best = cand.groupBy("example_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("spans"))), 1, n_best).alias("spans"))
     out = best if own_text else examples.join(best, "example_id", "left")
-    out = out.withColumn("spans", F.coalesce(
-        "spans", F.expr("cast(array() as array<struct<neg:double,rank:int,start_logit:double,"
-                        "end_logit:double,begin:int,finish:int,text:string>>)")))
+    out = out.withColumn("spans", F.coalesce("spans", F.array().cast(CANDIDATES)))
     if negatives:
         out = out.join(min_null(features), "example_id", "left")
-        null = F.struct((-F.col("null_score")).alias("neg"), F.lit(n_best + 1).alias("rank"),
+        last = F.lit(2**31 - 1)
+        null = F.struct((-F.col("null_score")).alias("neg"), last.alias("window_no"), last.alias("start_rank"), last.alias("end_rank"),
                         F.col("null_start").alias("start_logit"), F.col("null_end").alias("end_logit"),
                         F.lit(0).alias("begin"), F.lit(0).alias("finish"), F.lit("").alias("text"))
         with_null = F.when(F.col("null_score").isNull(), F.col("spans")).otherwise(
@@ -138,6 +174,14 @@ def nbest(features: DataFrame, examples: DataFrame | None = None, negatives: boo
     return out.select("example_id", *extra, let(filled, with_prob).alias("predictions"))
 
 
+def unmatched(features: DataFrame, examples: DataFrame) -> DataFrame:
+    """(example_id, n_features, n_examples) of the examples without a feature, or with several rows, and of features without example."""
+    counts = features.select("example_id", F.lit(1).alias("f"), F.lit(0).alias("e")).unionByName(
+        examples.select("example_id", F.lit(0).alias("f"), F.lit(1).alias("e")))
+    return (counts.groupBy("example_id").agg(F.sum("f").alias("n_features"), F.sum("e").alias("n_examples"))
+            .where("n_features = 0 or n_examples <> 1"))
+
+
 def best_answers(nbest_df: DataFrame, negatives: bool = False, null_threshold: float = 0.0) -> DataFrame:
     """(id, prediction_text); with ``negatives`` also score_diff and no_answer_probability.
 

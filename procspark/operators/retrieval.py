@@ -8,74 +8,20 @@ k best per x. The n * n score matrix is never a table.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from procspark.functions.tiles import CHUNK_CELLS, Shape, chunk_rows, grid, shape_of, tiles
 from procspark.functions.vectors import cosine, doubles, matrix, mean_vector, unit_rows
 
-TILE_BYTES = 64 << 20    # vectors per side of a tile, as doubles
-MIN_BLOCK = 1024         # smaller blocks are not worth a task
-TILES_PER_CORE = 4
-CHUNK_CELLS = 4_000_000  # scores in memory at once
 TIE_DIGITS = 10          # scores equal to this many digits are ties
 
 PART_SCHEMA = ("x_id bigint, true_score double, n_ahead bigint, best_score double, best_id bigint, "
                "score_sum double, n bigint")
-Shape = tuple[int, int, int]
-TOP_SCHEMA = "x_id bigint, y_id bigint, score double, label int"
-
-
-def _blocks(n_rows: int, per_block: int) -> int:
-    return max(1, -(-n_rows // per_block))
-
-
-def _per_block(n_rows: int, dims: int, blocks: int) -> int:
-    """Rows per block for about ``blocks`` blocks, inside the byte bound."""
-    return min(max(1, TILE_BYTES // (8 * max(dims, 1))), max(MIN_BLOCK, _blocks(n_rows, blocks)))
-
-
-def _grid(spark: SparkSession, n_x: int, n_y: int, dims: int, per_block: int | None,
-          wide_y: bool = False) -> tuple[int, int]:
-    """Blocks per side: a few tiles per core, each within the byte bound.
-
-    ``wide_y`` makes the y blocks as large as the bound allows and splits x instead.
-    """
-    if per_block:
-        return _blocks(n_x, per_block), _blocks(n_y, per_block)
-    tiles = TILES_PER_CORE * spark.sparkContext.defaultParallelism
-    square = math.isqrt(tiles) + 1
-    gy = _blocks(n_y, _per_block(n_y, dims, 1 if wide_y else square))
-    gx = _blocks(n_x, _per_block(n_x, dims, _blocks(tiles, gy) if wide_y else square))
-    return gx, gy
-
-
-def _shape(x: DataFrame, y: DataFrame, n: Column, dims: Column) -> Shape:
-    """Rows (or tokens) of both sides and vector length: three numbers from one job."""
-    side = lambda df, i: df.select(F.lit(i).alias("i"), n.alias("n"), dims.alias("d"))
-    got = side(x, 0).unionByName(side(y, 1)).agg(
-        *[F.sum(F.when(F.col("i") == i, F.col("n"))).alias(f"n{i}") for i in (0, 1)], F.max("d").alias("d")).first()
-    return got.n0 or 0, got.n1 or 0, got.d or 1
-
-
-def _chunk(width: int) -> int:
-    return max(1, CHUNK_CELLS // max(width, 1))
-
-
-def _tiles(x: DataFrame, y: DataFrame, x_key: str, y_key: str, gx: int, gy: int):
-    """Co-groups (x block, y block); each side is repeated once per block of the other."""
-    def block(key: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(n))
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-
-    xs = x.withColumn("_bx", block(x_key, gx)).withColumn("_by", every(gy))
-    ys = y.withColumn("_by", block(y_key, gy)).withColumn("_bx", every(gx))
-    return xs.groupBy("_bx", "_by").cogroup(ys.groupBy("_bx", "_by"))
+TOP_SCHEMA = "x_id bigint, y_ids array<bigint>, scores array<double>, labels array<int>"
 
 
 def _part_rows(ids, true_scores, y_ids, scores) -> pa.Table:
@@ -107,24 +53,25 @@ def cosine_ranks(x: DataFrame, y: DataFrame, tile_rows: int | None = None, shape
     ``x_id, true_score, true_rank, best_score, best_id, score_sum, n``. The tiles are sized by
     ``shape`` (rows of x, rows of y, dimensions), which is counted first if not given.
     """
-    n_x, n_y, dims = shape or _shape(x, y, F.lit(1), F.size("vec"))
-    gx, gy = _grid(x.sparkSession, n_x, n_y, dims, tile_rows)
+    n_x, n_y, dims = shape or shape_of(x, y, F.lit(1), F.size("vec"))
+    gx, gy = grid(x.sparkSession, n_x, n_y, dims, tile_rows)
     ys = y.select("pair_id", doubles(F.col("vec")).alias("vec"))
-    xs = x.select("pair_id", doubles(F.col("vec")).alias("vec")).join(
+    pairs = x.select("pair_id", doubles(F.col("vec")).alias("vec")).join(
         ys.select("pair_id", F.col("vec").alias("true_vec")), "pair_id")
+    xs = pairs.select("pair_id", "vec", cosine(F.col("vec"), F.col("true_vec")).alias("own"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _empty(PART_SCHEMA)
         right = right.sort_by("pair_id")
         ids, y_ids = left["pair_id"].to_numpy(), right["pair_id"].to_numpy()
-        a, t, b = (unit_rows(matrix(c)) for c in (left["vec"], left["true_vec"], right["vec"]))
-        own = np.einsum("id,id->i", a, t)
-        step = _chunk(len(y_ids))
+        a, b = (unit_rows(matrix(c)) for c in (left["vec"], right["vec"]))
+        own = left["own"].to_numpy()
+        step = chunk_rows(len(y_ids))
         return pa.concat_tables([_part_rows(ids[i:i + step], own[i:i + step], y_ids, a[i:i + step] @ b.T)
                                  for i in range(0, len(ids), step)])
 
-    return _fold_parts(_tiles(xs, ys, "pair_id", "pair_id", gx, gy).applyInArrow(score, PART_SCHEMA))
+    return _fold_parts(tiles(xs, ys, "pair_id", "pair_id", gx, gy).applyInArrow(score, PART_SCHEMA))
 
 
 def _empty(ddl: str) -> pa.Table:
@@ -158,8 +105,32 @@ def sentences(tokens: DataFrame, key: str = "pair_id") -> DataFrame:
             .select(key, F.col("_t.vec").alias("vecs")))
 
 
-def _pair_score(a: np.ndarray, b: np.ndarray) -> float:
-    return _bert_block(a, np.array([0, len(a)]), b, np.array([0, len(b)]))[0, 0]
+def _padded(m: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sentence, token, dimension) of some sentences and which of the tokens are there."""
+    size = at[rows + 1] - at[rows]
+    there = np.arange(size.max(initial=1)) < size[:, None]
+    return m[np.where(there, at[rows][:, None] + np.arange(there.shape[1]), at[rows][:, None])], there
+
+
+def _pair_scores(a, a_at, b, b_at) -> np.ndarray:
+    """BERTScore F of sentence k of a with sentence k of b, for sentences of like lengths at a time."""
+    n, out = len(a_at) - 1, np.zeros(len(a_at) - 1)
+    longest = np.maximum(np.diff(a_at), np.diff(b_at))
+    order = np.argsort(longest, kind="stable")
+    i = 0
+    while i < n:
+        j = i + 1  # sentences of up to twice the length of the first, within the cells
+        top = int(np.searchsorted(longest[order], 2 * longest[order[i]], side="right"))
+        width = int(longest[order[top - 1]])
+        j = min(top, max(i + 1, i + CHUNK_CELLS // max(1, width * max(width, a.shape[1]))))
+        rows = order[i:j]
+        (x, in_x), (y, in_y) = _padded(a, a_at, rows), _padded(b, b_at, rows)
+        s = np.where(in_x[:, :, None] & in_y[:, None, :], x @ y.transpose(0, 2, 1), -np.inf)
+        best_y, best_x = np.where(in_x, s.max(2), 0).sum(1) / in_x.sum(1), np.where(in_y, s.max(1), 0).sum(1) / in_y.sum(1)
+        both = best_y + best_x
+        out[rows] = np.divide(2 * best_y * best_x, both, out=np.zeros_like(both), where=both != 0)
+        i = j
+    return out
 
 
 def bert_score_ranks(x: DataFrame, y: DataFrame, tile_tokens: int | None = None, shape: Shape | None = None) -> DataFrame:
@@ -167,20 +138,20 @@ def bert_score_ranks(x: DataFrame, y: DataFrame, tile_tokens: int | None = None,
 
     Inputs: ``(pair_id, vecs)`` with at least one token per sentence; ``shape`` counts tokens.
     """
-    n_x, n_y, dims = shape or _shape(x, y, F.size("vecs"), F.size(F.get("vecs", F.lit(0))))
-    gx, gy = _grid(x.sparkSession, n_x, n_y, dims, tile_tokens)
+    n_x, n_y, dims = shape or shape_of(x, y, F.size("vecs"), F.size(F.get("vecs", F.lit(0))))
+    gx, gy = grid(x.sparkSession, n_x, n_y, dims, tile_tokens)
     ys = y.select("pair_id", "vecs")
-    xs = x.select("pair_id", "vecs").join(ys.select("pair_id", F.col("vecs").alias("true_vecs")), "pair_id")
+    pairs = x.select("pair_id", F.col("vecs").alias("x_vecs")).join(ys.select("pair_id", F.col("vecs").alias("y_vecs")), "pair_id")
+    xs = bert_score_pairs(pairs, keep_x=True).select("pair_id", F.col("x_vecs").alias("vecs"), F.col("bert_score").alias("own"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _empty(PART_SCHEMA)
         right = right.sort_by("pair_id")
         ids, y_ids = left["pair_id"].to_numpy(), right["pair_id"].to_numpy()
-        (a, a_at), (t, t_at), (b, b_at) = (
-            _token_matrix(c) for c in (left["vecs"], left["true_vecs"], right["vecs"]))
-        own = np.array([_pair_score(a[a_at[k]:a_at[k + 1]], t[t_at[k]:t_at[k + 1]]) for k in range(len(ids))])
-        out, i, step = [], 0, _chunk(len(b))
+        (a, a_at), (b, b_at) = (_token_matrix(c) for c in (left["vecs"], right["vecs"]))
+        own = left["own"].to_numpy()
+        out, i, step = [], 0, chunk_rows(len(b))
         while i < len(ids):  # whole sentences, about ``step`` tokens at a time
             j = max(i + 1, int(np.searchsorted(a_at, a_at[i] + step, side="right")) - 1)
             block = _bert_block(a[a_at[i]:a_at[j]], a_at[i:j + 1] - a_at[i], b, b_at)
@@ -188,12 +159,12 @@ def bert_score_ranks(x: DataFrame, y: DataFrame, tile_tokens: int | None = None,
             i = j
         return pa.concat_tables(out)
 
-    return _fold_parts(_tiles(xs, ys, "pair_id", "pair_id", gx, gy).applyInArrow(score, PART_SCHEMA))
+    return _fold_parts(tiles(xs, ys, "pair_id", "pair_id", gx, gy).applyInArrow(score, PART_SCHEMA))
 
 
-def bert_score_pairs(pairs: DataFrame, x: str = "x_vecs", y: str = "y_vecs") -> DataFrame:
-    """BERTScore F of the two sentences in each row."""
-    ids = [c for c in pairs.columns if c not in (x, y)]
+def bert_score_pairs(pairs: DataFrame, x: str = "x_vecs", y: str = "y_vecs", keep_x: bool = False) -> DataFrame:
+    """BERTScore F of the two sentences in each row, which have at least one token each."""
+    ids = [c for c in pairs.columns if c != y and (keep_x or c != x)]
 
     def score(batches):
         for batch in batches:
@@ -201,8 +172,8 @@ def bert_score_pairs(pairs: DataFrame, x: str = "x_vecs", y: str = "y_vecs") ->
             if not table.num_rows:
                 continue
             (a, a_at), (b, b_at) = _token_matrix(table[x]), _token_matrix(table[y])
-            f = [_pair_score(a[a_at[k]:a_at[k + 1]], b[b_at[k]:b_at[k + 1]]) for k in range(table.num_rows)]
-            yield from table.select(ids).append_column("bert_score", pa.array(f, pa.float64())).to_batches()
+            f = _pair_scores(a, a_at, b, b_at)
+            yield from table.select(ids).append_column("bert_score", pa.array(f)).to_batches()
 
     schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in ids)
     return pairs.mapInArrow(score, f"{schema}, bert_score double")
@@ -256,55 +227,124 @@ def _k_largest(s: np.ndarray, k: int) -> np.ndarray:
     return above | (equal & (np.cumsum(equal, axis=1) <= room))
 
 
-def top_sources(targets: DataFrame, sources: DataFrame, k: int, tile_rows: int | None = None,
-                shape: Shape | None = None) -> DataFrame:
-    """The ``k`` sources closest to each target: (x_id, y_id, score, label, rank).
+def _lists(ids, sizes: np.ndarray, y_ids, scores, labels) -> pa.Table:
+    at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32"))
+    return pa.table({"x_id": ids, **{n: pa.ListArray.from_arrays(at, pa.array(v)) for n, v in (
+        ("y_ids", y_ids), ("scores", scores), ("labels", labels))}})
 
-    ``targets``: ``(x_id, vec)``; ``sources``: ``(y_id, vec, label)``. Each tile keeps
-    exactly its k best per target, lower ids first among ties, so k rows per target
-    and source block reach the ranking; source blocks are wide to keep those few.
+
+def _merged(k: int):
+    """Several sorted lists of a target to its k best, lower ids first among ties; a batch of targets at a time."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            outer = batch.column(1)
+            parts = outer.flatten()
+            each = np.repeat(np.arange(len(outer)), outer.value_lengths().to_numpy(zero_copy_only=False))
+            y, s, lab = (parts.field(i) for i in range(3))
+            row = np.repeat(each, y.value_lengths().to_numpy(zero_copy_only=False))
+            y, s, lab = (c.flatten().to_numpy(zero_copy_only=False) for c in (y, s, lab))
+            order = np.lexsort((y, -s, row))
+            row = row[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = order[nth < k]
+            sizes = np.bincount(row[nth < k], minlength=len(outer))
+            yield from _lists(batch.column(0), sizes, y[keep], s[keep], lab[keep].astype("int32")).to_batches()
+
+    return run
+
+
+def neighbour_lists(targets: DataFrame, sources: DataFrame, k: int, tile_rows: int | None = None,
+                    shape: Shape | None = None) -> DataFrame:
+    """(x_id, y_ids, scores, labels): the ``k`` sources closest to each target as sorted lists.
+
+    ``targets``: ``(x_id, vec)``; ``sources``: ``(y_id, vec, label)``. Each tile gives one row a target with its exact k
+    best, lower ids first among ties. Source blocks are wide, so mostly there is one; the lists of several are merged by
+    target, one row for each (target, block) in that shuffle.
     """
-    n_x, n_y, dims = shape or _shape(targets, sources, F.lit(1), F.size("vec"))
-    gx, gy = _grid(targets.sparkSession, n_x, n_y, dims, tile_rows, wide_y=True)
+    n_x, n_y, dims = shape or shape_of(targets, sources, F.lit(1), F.size("vec"))
+    gx, gy = grid(targets.sparkSession, n_x, n_y, dims, tile_rows, wide_y=True)
     xs = targets.select("x_id", doubles(F.col("vec")).alias("vec"))
     ys = sources.select("y_id", doubles(F.col("vec")).alias("vec"), "label")
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _empty(TOP_SCHEMA)
+            return _lists(pa.array([], pa.int64()), np.zeros(0, int), np.zeros(0, "int64"), np.zeros(0), np.zeros(0, "int32"))
         right = right.sort_by("y_id")
         ids, y_ids, labels = (c.to_numpy() for c in (left["x_id"], right["y_id"], right["label"]))
         a, b = unit_rows(matrix(left["vec"])), unit_rows(matrix(right["vec"]))
-        m, step = min(k, len(y_ids)), _chunk(len(y_ids))
+        m, step = min(k, len(y_ids)), chunk_rows(len(y_ids))
         out = []
         for i in range(0, len(ids), step):
             s = np.round(a[i:i + step] @ b.T, TIE_DIGITS)
-            row, col = np.nonzero(_k_largest(s, m))
-            out.append(pa.table({"x_id": ids[i:i + step][row], "y_id": y_ids[col], "score": s[row, col],
-                                 "label": labels[col].astype("int32")}))
+            col = np.nonzero(_k_largest(s, m))[1].reshape(len(s), m)
+            score = np.take_along_axis(s, col, 1)
+            best = np.argsort(-score, axis=1, kind="stable")
+            col, score = (np.take_along_axis(v, best, 1).ravel() for v in (col, score))
+            out.append(_lists(ids[i:i + step], np.full(len(s), m), y_ids[col], score, labels[col].astype("int32")))
         return pa.concat_tables(out)
 
-    found = _tiles(xs, ys, "x_id", "y_id", gx, gy).applyInArrow(nearest, TOP_SCHEMA)
-    w = Window.partitionBy("x_id").orderBy(F.col("score").desc(), "y_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    found = tiles(xs, ys, "x_id", "y_id", gx, gy).applyInArrow(nearest, TOP_SCHEMA)
+    if gy == 1:
+        return found
+    lists = found.groupBy("x_id").agg(F.collect_list(F.struct("y_ids", "scores", "labels")).alias("parts"))
+    return lists.mapInArrow(_merged(k), TOP_SCHEMA)
+
+
+def top_sources(targets: DataFrame, sources: DataFrame, k: int, tile_rows: int | None = None,
+                shape: Shape | None = None) -> DataFrame:
+    """As ``neighbour_lists``, one row for each neighbour: (x_id, y_id, score, label, rank)."""
+    lists = neighbour_lists(targets, sources, k, tile_rows, shape)
+    rows = lists.select("x_id", F.posexplode(F.arrays_zip("y_ids", "scores", "labels")).alias("_at", "n"))
+    return rows.select("x_id", F.col("n.y_ids").alias("y_id"), F.col("n.scores").alias("score"), F.col("n.labels").alias("label"),
+                       (F.col("_at") + 1).alias("rank"))
 
 
 KNN_SIZES = (1, 3, 10, 25, 50, 100, 250, 500, 1000)  # fixed values
+VOTE_CELLS = 4_000_000  # counts (target, label) in memory at once
 
 
 def knn_vote(neighbours: DataFrame, ks: Sequence[int] = KNN_SIZES) -> DataFrame:
     """(x_id, k, pred): most frequent label of the k nearest, the lowest on ties.
 
-    All k come from one pass: votes are counted per (target, label) for every k,
-    then the winner is taken per target. A k past the number of sources uses all.
+    ``neighbours`` as ``neighbour_lists`` gives them, or rows of ``top_sources``, which are put in lists first. All k
+    are counted in one walk along the list. A k past the number of sources uses all.
     """
-    votes = neighbours.groupBy("x_id", "label").agg(
-        *[F.count_if(F.col("rank") <= k).alias(f"n_{k}") for k in ks])
-    winners = votes.groupBy("x_id").agg(*[
-        F.max(F.struct(F.col(f"n_{k}").alias("n"), (-F.col("label")).alias("neg"))).alias(f"w_{k}") for k in ks])
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (-F.col(f"w_{k}.neg")).alias("pred"))
-                                for k in ks]))
-    return winners.select("x_id", pairs.alias("p")).select("x_id", "p.k", "p.pred")
+    if "labels" not in neighbours.columns:
+        neighbours = neighbours.groupBy("x_id").agg(F.sort_array(F.collect_list(F.struct("rank", "label"))).alias("n")).select(
+            "x_id", F.col("n.label").alias("labels"))
+    sizes = sorted(set(ks))
+
+    def votes(flat: np.ndarray, length: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """(target, k) winners; flat holds class numbers."""
+        row = np.repeat(np.arange(len(length)), length)
+        nth = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+        counts, out, at = np.zeros(len(length) * len(classes), int), [], 0
+        for k in sizes:
+            new = (nth >= at) & (nth < k)
+            counts += np.bincount(row[new] * len(classes) + flat[new], minlength=len(counts))
+            out.append(classes[counts.reshape(len(length), -1).argmax(1)])
+            at = k
+        return np.stack(out, 1)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            length = lists.value_lengths().to_numpy(zero_copy_only=False)
+            classes, flat = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            ends = np.concatenate([[0], np.cumsum(length)])
+            step = max(1, VOTE_CELLS // max(1, len(classes)))
+            won = np.concatenate([votes(flat[ends[i]:ends[min(i + step, len(length))]], length[i:i + step], classes)
+                                  for i in range(0, len(length), step)])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(np.repeat(np.arange(len(length)), len(sizes)))),
+                pa.array(np.tile(np.array(sizes, "int32"), len(length))), pa.array(won.ravel().astype("int32"))], ["x_id", "k", "pred"])
+
+    kind = neighbours.schema["x_id"].dataType.simpleString()
+    return neighbours.select("x_id", "labels").where(F.size("labels") > 0).mapInArrow(run, f"x_id {kind}, k int, pred int")
 
 
 def scatter(positions: DataFrame, preds: DataFrame, keys: Sequence[str], fill: int) -> DataFrame:

@@ -35,11 +35,30 @@ def _nbest(spark, sf, negatives=False):
 
 def qa_nbest(spark, sf):
     # the outer form, because the plain one adds a filter that computes the list twice
-    d = _nbest(spark, sf).select("example_id", F.posexplode_outer("predictions").alias("place", "p"))
+    return _answer_rows(_nbest(spark, sf))
+
+
+def _answer_rows(d):
+    d = d.select("example_id", F.posexplode_outer("predictions").alias("place", "p"))
     return d.select("example_id", "place", "p.text", "p.score", "p.start_logit", "p.end_logit",
                     rounded(F.col("p.probability")).alias("probability"))
 
 
+def qa_nbest_examples(spark, sf):
+    """Answers cut from the examples' contexts; starts must be places of maximal context, every fifth example has no window."""
+    flags = F.map_from_entries(F.transform(F.sequence(F.lit(0), F.size("start_logits") - 1), lambda p: F.struct(
+        p.cast("string").alias("key"), ((p + F.col("example_id")) % 4 != 0).alias("value"))))
+    feats = v.qa_scored(spark, sf).where("example_id % 5 <> 0").withColumn("token_is_max_context", flags)
+    examples = v.qa_examples(spark, sf).select(F.col("id").alias("example_id"), "context")
+    return _answer_rows(qa.nbest(feats, examples, max_context="token_is_max_context"))
+
+
+def qa_unmatched(spark, sf):
+    """Examples without a window."""
+    feats = v.qa_scored(spark, sf).where("example_id % 5 <> 0")
+    return qa.unmatched(feats, v.qa_examples(spark, sf).select(F.col("id").alias("example_id")))
+
+
 def qa_null(spark, sf):
     return qa.best_answers(_nbest(spark, sf, negatives=True), negatives=True, null_threshold=-150.0).select(
         "id", "prediction_text", "score_diff")
@@ -94,5 +113,5 @@ def qa_rejects(spark, sf):
     return qj.rejects(qj.flatten(_nested(spark, sf))).select("id", F.get("answers.answer_start", F.lit(0)).alias("answer_start"))
 
 
-QUERIES = {f.__name__: f for f in (qa_windows, qa_span_labels, qa_nbest, qa_null, qa_em_f1, qa_metric, qa_metric_missing, nbest_json,
+QUERIES = {f.__name__: f for f in (qa_windows, qa_span_labels, qa_nbest, qa_nbest_examples, qa_unmatched, qa_null, qa_em_f1, qa_metric, qa_metric_missing, nbest_json,
                                     qa_flatten, qa_rejects)}

@@ -32,6 +32,10 @@ lst AS (SELECT doc_id, rk, substr(text, CAST(b + 1 AS BIGINT), CAST(f - b AS BIG
 few AS (SELECT doc_id, count(rk) AS m, max(txt) AS only_txt FROM ex LEFT JOIN lst USING (doc_id) GROUP BY doc_id),
 allp AS (SELECT doc_id, rk, txt, score, sl, el FROM lst UNION ALL
          SELECT doc_id, 0, 'empty', 0.0, 0.0, 0.0 FROM few WHERE m = 0 OR (m = 1 AND only_txt = ''))"""
+#: As SCORED, of documents with windows, and starts at flagged places only.
+EXAMPLE_FORM = SCORED.replace("FROM feat),", "FROM feat WHERE doc_id % 5 <> 0),").replace(
+    "AND te.p - ts.p + 1 <= 30", "AND te.p - ts.p + 1 <= 30 AND (ts.p + ts.doc_id) % 4 <> 0")
+
 
 BEST = f"""{SCORED}, best AS (SELECT doc_id, txt FROM allp QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rk) = 1)"""
 
@@ -69,6 +73,12 @@ SQL = {
         sl AS start_logit, el AS end_logit, round(exp(score - max(score) OVER v) / sum(exp(score - mx)) OVER v, 6) AS probability
         FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS mx FROM allp)
         WINDOW w AS (PARTITION BY doc_id ORDER BY rk), v AS (PARTITION BY doc_id)""",
+    "qa_nbest_examples": f"""WITH {EXAMPLE_FORM} SELECT doc_id AS example_id, CAST(row_number() OVER w - 1 AS INTEGER) AS place, txt AS text, score,
+        sl AS start_logit, el AS end_logit, round(exp(score - max(score) OVER v) / sum(exp(score - mx)) OVER v, 6) AS probability
+        FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS mx FROM allp)
+        WINDOW w AS (PARTITION BY doc_id ORDER BY rk), v AS (PARTITION BY doc_id)""",
+    "qa_unmatched": """SELECT doc_id AS example_id, CAST(0 AS BIGINT) AS n_features, CAST(1 AS BIGINT) AS n_examples
+        FROM documents WHERE doc_id % 5 = 0""",
     "qa_null": f"""WITH {SCORED}, nul AS (SELECT doc_id, s + e AS ns, s, e FROM lg WHERE p = 0
         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s + e, window_no) = 1),
         nn AS (SELECT doc_id, txt, sl, el FROM lst WHERE txt <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rk) = 1),

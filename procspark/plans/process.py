@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from procspark.functions.ranking import hash_bucket, hash_order, range_bounds, with_position
+from procspark.functions.ranking import range_bounds
 from procspark.functions.text import parse_pairs, parse_set, py_list_repr
 from procspark.operators import dedup_split as ds, eventlog as ev, labels as lb, metrics as mt, prompts as pr
 from procspark.plans import views as v
@@ -165,8 +165,7 @@ def few_shot(spark, sf):
 
 def epoch_order(spark, sf):
     """Position of each trace in the shuffled order of epoch 3."""
-    d = v.clean_traces(spark, sf).withColumn("h", hash_order(F.col("row_id"), F.lit(3), seed=1, method="md5"))
-    return with_position(d, [], [F.col("h"), F.col("row_id")], hash_bucket(F.col("h"))).select("row_id", "position")
+    return ds.epoch_positions(v.clean_traces(spark, sf).select("row_id"), 3, seed=1, method="md5")
 
 
 def task_batches(spark, sf):

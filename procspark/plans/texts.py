@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window, functions as F
 
 from procspark.functions.arrays import IGNORE
@@ -10,6 +12,8 @@ from procspark.functions.tokens import attention_mask, truncate, words
 from procspark.operators import batches as bt, choices as ch, labels as lb, metrics as mt, packing as pk, prompts as pr, tags as tg
 from procspark.plans import views as v
 from procspark.plans.views import joined, rounded
+from procspark.sources import catalogue as cat
+from procspark.sources.tables import INPUTS
 
 
 def strip_truncate(spark, sf):
@@ -202,7 +206,18 @@ def dataset_union_metrics(spark, sf):
     return mt.evaluate(d).select("dataset_name", "split", "metric", rounded(F.col("value")).alias("value"))
 
 
+def named_union(spark, sf):
+    """Four tables as named datasets, each under its columns' logical names, in one table."""
+    def some(name, role, logical):
+        e = cat.Entry(f"{role}_{name}", role, "text", f"{name}.parquet", "", "", None)
+        return cat.to_logical(cat.read_entries(spark, sf, [e], INPUTS[name]), logical).select(F.col("id").cast("bigint").alias("id"), "text", "dataset_name", "split")
+
+    parts = [some("documents", "train", {"id": "doc_id"}), some("pages", "train", {"id": "page_id", "text": "html"}),
+             some("benchmark", "test", {"id": "item_id"}), some("conversations", "validation", {"id": "conv_id"})]
+    return reduce(lambda a, b: a.unionByName(b), parts).select("id", "dataset_name", "split", F.length("text").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
     strip_truncate, strip_pairs, corpus_tokenize, paired_metrics, unpaired_ids, evaluation_hooks, blank_line_filter, pack_blocks, scored_tokens, perplexity_by_lang, tag_remap, tag_align, entity_f1,
     pos_chunk_f1, choice_expand, choice_regroup, choice_prompts, stack_pairs, loss_mask, last_token_label, strip_generation,
-    pad_batches, pad_choice_batches, length_mask, dataset_union_metrics)}
+    pad_batches, pad_choice_batches, length_mask, dataset_union_metrics, named_union)}

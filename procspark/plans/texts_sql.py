@@ -80,6 +80,10 @@ def pad_left(expr: str, fill: str) -> str:
 
 
 SQL = {
+    "named_union": """SELECT doc_id AS id, 'train_documents' AS dataset_name, 'train' AS split, CAST(length(text) AS INTEGER) AS n FROM documents
+        UNION ALL SELECT page_id, 'train_pages', 'train', length(html) FROM pages
+        UNION ALL SELECT item_id, 'test_benchmark', 'test', length(text) FROM benchmark
+        UNION ALL SELECT conv_id, 'validation_conversations', 'validation', length(text) FROM conversations""",
     "strip_truncate": f"""WITH s AS (SELECT doc_id, regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g') AS text FROM documents),
         w AS (SELECT doc_id, {words('text')}[1:128] AS t FROM s)
         SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, {text_join('t', '')} AS text FROM w""",

@@ -56,14 +56,14 @@ def mean_cosine(spark, sf):
     return rt.mean_cosine(*v.halves(spark, sf)[:2]).select(rounded(F.col("mean_cosine")).alias("mean_cosine"))
 
 
-def _neighbours(spark, sf, k=max(rt.KNN_SIZES)):
+def _neighbours(spark, sf, k=max(rt.KNN_SIZES), find=rt.neighbour_lists):
     x, y, (n_x, n_y, dims) = v.halves(spark, sf)
-    return rt.top_sources(y.select(F.col("vec_id").alias("x_id"), "vec"),
+    return find(y.select(F.col("vec_id").alias("x_id"), "vec"),
                           x.select(F.col("vec_id").alias("y_id"), "vec", "label"), k, shape=(n_y, n_x, dims))
 
 
 def knn_top(spark, sf):
-    return _neighbours(spark, sf, 10).select("x_id", "rank", "y_id", rounded(F.col("score")).alias("score"), "label")
+    return _neighbours(spark, sf, 10, rt.top_sources).select("x_id", "rank", "y_id", rounded(F.col("score")).alias("score"), "label")
 
 
 def knn_vote(spark, sf):
@@ -117,6 +117,13 @@ def head_logits(spark, sf):
     return d.select("row_id", "preds", "class_idx", rounded(F.col("x")).alias("logit"))
 
 
+def head_stats(spark, sf):
+    """Best class and loss of each row, from tiles of rows and classes."""
+    rows = v.task_rows(spark, sf)
+    d = hd.head_stats(rows, hd.class_means(rows, "labels"), tile_rows=4096)
+    return d.select("row_id", "preds", rounded(F.col("max_logit")).alias("max_logit"), rounded(F.col("loss")).alias("loss"))
+
+
 def clf_metrics(spark, sf):
     d = _logits(spark, sf).withColumnRenamed("task", "dataset_name")
     return mt.evaluate(d, ["acc", "micro_f1", "macro_f1", "loss"]).select(
@@ -137,4 +144,4 @@ def task_loss_mean(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     layer_mean, pool_mean, pool_first, last_state, cosine_ranks, true_cosine, mrr_acc, mean_cosine, knn_top, knn_vote, knn_entity_f1,
-    bert_score_pairs, bert_score_ranks, cka_2d, cka_3d, head_logits, clf_metrics, confusion_counts, expected_loss, task_loss_mean)}
+    bert_score_pairs, bert_score_ranks, cka_2d, cka_3d, head_logits, head_stats, clf_metrics, confusion_counts, expected_loss, task_loss_mean)}

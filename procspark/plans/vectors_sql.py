@@ -88,6 +88,7 @@ SQL = {
     "cka_3d": f"""WITH {GROUPED} SELECT a, round(sum(xy * xy) / sqrt(sum(xx * xx) * sum(yy * yy)), 6) AS cka FROM gm GROUP BY a""",
     "head_logits": f"""WITH {LOGITS} SELECT row_id, CAST(p AS INTEGER) AS preds, CAST(ci AS INTEGER) AS class_idx, round(l, 6) AS logit
         FROM lg JOIN (SELECT row_id, p FROM pd) USING (row_id)""",
+    "head_stats": f"""WITH {LOGITS} SELECT row_id, CAST(p AS INTEGER) AS preds, round(ls[p + 1], 6) AS max_logit, round(lse - ls[y + 1], 6) AS loss FROM pd""",
     "clf_metrics": f"""WITH {CLS} SELECT task AS dataset_name, split, 'acc' AS metric, round(acc, 6) AS value FROM m
         UNION ALL SELECT task, split, 'micro_f1', round(mic, 6) FROM m UNION ALL SELECT task, split, 'macro_f1', round(mac, 6) FROM m
         UNION ALL SELECT task, split, 'loss', round(loss, 6) FROM ls""",

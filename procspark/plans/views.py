@@ -8,16 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from procspark.functions.ranking import range_bounds, spread, with_range_position
+from procspark.functions.tiles import Shape
 from procspark.functions.tokens import offsets, words
 from procspark.operators import dedup_split as ds, eventlog as ev
 from procspark.operators.qa_windows import eval_features
-from procspark.operators.retrieval import Shape
+from procspark.sources.tables import read_input
 
 CASE = ("model_id", "revision_id", "case_id")
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+table = read_input
 
 
 def joined(arr: Column, sep: str = ",") -> Column:

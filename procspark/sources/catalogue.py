@@ -7,6 +7,7 @@ A dataset is stored as parquet under ``root/<path>/<name>/<split>`` with ``/`` a
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -122,20 +123,43 @@ def location(root: str, e: Entry) -> str:
 
 def read_entry(spark: SparkSession, root: str, e: Entry, schema: str | None = None) -> DataFrame:
     """Rows of one dataset with ``dataset_name``, ``lang`` and ``split`` (its role)."""
-    reader = spark.read.schema(schema) if schema else spark.read
-    if e.data_files:
-        df = reader.option("header", True).option("multiLine", True).option("escape", '"').csv(location(root, e))
-    else:
-        df = reader.parquet(location(root, e))
-    if e.path.endswith(("masakhaner", "masakhaner2")):
-        df = df.withColumn("ner_tags", remap_tags(F.col("ner_tags"), len(NER_TAGS)))
-    return df.withColumns({"dataset_name": F.lit(e.dataset_name), "lang": F.lit(e.lang),
-                           "split": F.lit(e.role)})
+    return read_entries(spark, root, [e], schema)
+
+
+def _place(e: Entry) -> str:
+    return location("", e).rstrip("/")
 
 
 def read_entries(spark: SparkSession, root: str, entries: Iterable[Entry], schema: str | None = None) -> DataFrame:
+    """Rows of all datasets with ``dataset_name``, ``lang`` and ``split`` (its role); columns a dataset lacks are null.
+
+    One scan for each source path (``Entry.path``), which all its datasets share a schema in, so the plan does not
+    grow with the number of datasets. A row's file tells its place, which is joined with the entries; a place that
+    several entries name gives its rows to each.
+    """
+    by_path: dict[tuple[str, bool], list[Entry]] = {}
+    for e in entries:
+        by_path.setdefault((e.path, e.data_files is not None), []).append(e)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
-                  [read_entry(spark, root, e, schema) for e in entries])
+                  [_read_path(spark, root, some, schema) for some in by_path.values()])
+
+
+def _read_path(spark: SparkSession, root: str, entries: list[Entry], schema: str | None) -> DataFrame:
+    paths = sorted({location(root, e) for e in entries})
+    reader = spark.read.schema(schema) if schema else spark.read
+    if entries[0].data_files:
+        df = reader.options(header=True, multiLine=True, escape='"').csv(paths)
+    else:
+        df = reader.parquet(*paths)
+    if entries[0].path.endswith(("masakhaner", "masakhaner2")):
+        df = df.withColumn("ner_tags", remap_tags(F.col("ner_tags"), len(NER_TAGS)))
+    bare = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", root.rstrip("/")))
+    places = "|".join(re.escape(p) for p in sorted({_place(e) for e in entries}, key=len, reverse=True))
+    names = spark.createDataFrame([(_place(e), e.dataset_name, e.lang, e.role) for e in entries],
+                                  "_place string, dataset_name string, lang string, split string")
+    own = [c for c in df.columns if c not in ("dataset_name", "lang", "split")]
+    found = df.select(*own, F.regexp_extract("_metadata.file_path", f"^.*?{bare}/({places})(?:/[^/]*)?$", 1).alias("_place"))
+    return found.join(names, "_place").select(*own, "dataset_name", "lang", "split")
 
 
 def to_logical(df: DataFrame, column_names: dict[str, str]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from procspark.functions.ranking import with_position
+
 # Language code -> prefix of the question ids.
 LANGUAGES = {
     "ar": "arabic", "bn": "bengali", "en": "english", "fi": "finnish", "id": "indonesian",
@@ -14,16 +16,35 @@ SCHEMA = ("data array<struct<paragraphs:array<struct<context:string,qas:array<st
           "question:string,answers:array<struct<text:string,answer_start:int>>>>>>>>")
 
 
+ARTICLE = '"paragraphs"'  # fixed value: the key that each article has once; inside a string its quotes are escaped
+PARAGRAPHS = SCHEMA[len("data array<struct<paragraphs:"):-len(">>")]
+
+
 def read_nested(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The questions of nested files. A file is one JSON object and so one task; split large sources into files."""
-    return flatten(spark.read.schema(SCHEMA).option("multiLine", True).json(path).select(
-        F.col("_metadata.file_path").alias("file"), "data"))
+    """The questions of nested files, with their place ``(file, article_no, paragraph_no, qa_no)``.
+
+    Files are read as text that the articles' key cuts into records, so one large file is many tasks; a record begins with
+    the paragraphs of its article, which are parsed, and the rest of it is passed over. Records are numbered by the
+    start of their split and their place in it. A record that does not parse fails the job.
+    """
+    text = spark.read.option("lineSep", ARTICLE).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", r"^\s*:\s*", "").alias("_text"))
+    placed = with_position(text, ["file"], [F.col("_id")], F.col("_split"), "_at")
+    parsed = F.coalesce(F.from_json("_text", PARAGRAPHS), F.raise_error(F.concat(
+        F.lit("no paragraphs in article "), (F.col("_at") - 1).cast("string"), F.lit(" of "), F.col("file"))).cast(PARAGRAPHS))
+    own = F.when(F.col("_at") > 0, parsed)  # what stands before the first article is none
+    return _questions(placed.select("file", (F.col("_at") - 1).cast("int").alias("article_no"), own.alias("paragraphs")))
 
 
 def flatten(raw: DataFrame) -> DataFrame:
     """(file, data) to one row per question with its place ``(file, article_no, paragraph_no, qa_no)``."""
     articles = raw.select("file", F.posexplode("data").alias("article_no", "a"))
-    paragraphs = articles.select("file", "article_no", F.posexplode("a.paragraphs").alias("paragraph_no", "p"))
+    return _questions(articles.select("file", "article_no", F.col("a.paragraphs").alias("paragraphs")))
+
+
+def _questions(articles: DataFrame) -> DataFrame:
+    paragraphs = articles.select("file", "article_no", F.posexplode("paragraphs").alias("paragraph_no", "p"))
     return (paragraphs.select("file", "article_no", "paragraph_no", F.col("p.context").alias("context"),
                               F.posexplode("p.qas").alias("qa_no", "q"))
             .select("file", "article_no", "paragraph_no", "qa_no", F.col("q.id").alias("id"), "context",

@@ -14,6 +14,22 @@ SCHEMAS = {
     "id_split": "id string, split string",
 }
 
+#: The tables that the named queries read.
+INPUTS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+}
+
+
+def read_input(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """An input table by its declared schema, so no file is opened to plan a query."""
+    return spark.read.schema(INPUTS[name]).parquet(f"{folder}/{name}.parquet")
+
 
 def schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[name])

@@ -254,3 +254,22 @@ def test_label_tokens(spark):
     assert got == {("trace", 1): "True", ("activity", 0): "0", ("activity", 26): "Z"}
     last = spark.range(1).select(lb.last_token_label(F.lit(3), F.lit(1), {"1": 7, "2": 8}), lb.choice_label(F.lit("2"))).first()
     assert (last[0], last[1]) == ([-100, -100, 8], 1)
+
+
+def test_neighbour_pairs_in_one_busy_hour(spark):
+    """Most events of one case lie in one hour; they are cut by their number, and no pair is lost or made up."""
+    rnd = random.Random(3)
+    start = datetime(2024, 5, 1, 10)
+    rows = [("m", "r", "hot" if rnd.random() < .9 else f"c{i % 7}", start + timedelta(milliseconds=rnd.randrange(3_000_000) if i % 20 else 10**7 * i), i,
+             rnd.choice("abcdefgh")) for i in range(4000)]
+    log = spark.createDataFrame(rows, "model_id string, revision_id string, case_id string, ts timestamp, event_id bigint, activity string")
+    case = ["model_id", "revision_id", "case_id"]
+    got = Counter((r.src, r.dst) for r in ev.follow_edges(log, case).collect())
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r[2], []).append((r[3], r[4], r[5]))
+    want = Counter((a[2], b[2]) for e in by.values() for a, b in zip(sorted(e), sorted(e)[1:]))
+    assert got == want
+    bounds = range_bounds(log, F.col("ts"))
+    pieces = log.where("case_id = 'hot'").groupBy(range_number(F.col("ts"), bounds, "timestamp").alias("b")).count().collect()
+    assert max(r["count"] for r in pieces) < 4000 * 0.6 and len(pieces) > 4

@@ -47,6 +47,31 @@ def test_nested_json(spark, qa_file):
     assert qj.load_qa(spark, {"dev": qa_file}, "dev", None).count() == 4
 
 
+@pytest.mark.parametrize("size", ["400", "128m"])
+def test_one_large_file_is_many_tasks(spark, tmp_path, size):
+    """Splits of a few hundred bytes cut articles, strings and the key itself; numbers and texts stay those of one parse."""
+    qa = lambda k: {"id": f"english-{k}", "question": f'is "paragraphs" a key? {k}', "answers": [{"text": "日本", "answer_start": 2}]}
+    data = {"version": "1", "data": [{"title": f't "paragraphs": {a}', "paragraphs": [
+        {"context": f"x {'日本 é ' * (a % 7)}{p}", "qas": [qa(f"{a}-{p}-{q}") for q in range(a % 3)]} for p in range(a % 4)], "more": {"a": [1]}} for a in range(60)]}
+    for n in range(2):
+        (tmp_path / f"f{n}.json").write_text(json.dumps(data, ensure_ascii=False, indent=n or None), encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = qj.read_nested(spark, str(tmp_path))
+        got = sorted((r.file[-7:], r.article_no, r.paragraph_no, r.qa_no, r.id, r.context, r.question, r.answers.text[0]) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = sorted((f"f{n}.json", a, p, q, x["id"], par["context"], x["question"], "日本") for n in range(2) for a, art in enumerate(data["data"])
+                  for p, par in enumerate(art["paragraphs"]) for q, x in enumerate(par["qas"]))
+    assert got == want
+    (tmp_path / "bad.json").write_text('{"data": [{"paragraphs": 5}]}')
+    with pytest.raises(PySparkException):
+        qj.read_nested(spark, str(tmp_path / "bad.json")).collect()
+
+
 def test_answer_check(spark, qa_file, tmp_path):
     p = tmp_path / "bad.json"
     p.write_text(open(qa_file, encoding="utf-8").read().replace('"answer_start": 18', '"answer_start": 17'), encoding="utf-8")
@@ -85,6 +110,36 @@ def test_read_entries(spark, tmp_path):
     assert "text" in cat.to_logical(cat.read_entry(spark, root, e), {"text": "premise"}).columns
 
 
+def test_one_scan_for_many_entries(spark, tmp_path):
+    """The plan has one scan a source path, a place that two entries name goes to both, names that end alike stay apart."""
+    root = str(tmp_path)
+    entries = cat.evaluation_entries(["wikiann", "xnli"])
+    for i, place in enumerate(sorted({cat.location(root, e) for e in entries})):
+        spark.createDataFrame([(i, place)], "n int, at string").coalesce(1).write.parquet(place)
+    twice = [*entries, cat.Entry("again", "train", "nli", "xnli", "en", "test", "en"), cat.Entry("none", "train", "nli", "xnli", "e", "n", None)]
+    spark.createDataFrame([(-1, cat.location(root, twice[-1]))], "n int, at string").write.parquet(cat.location(root, twice[-1]))
+    df = cat.read_entries(spark, f"file://{root}", twice)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Union") == 1
+    got = {(r.dataset_name, r.split, r.lang): r["at"] for r in df.collect()}
+    assert got == {(e.dataset_name, e.role, e.lang): cat.location(root, e) for e in twice}
+
+
+def test_writing_twice_leaves_one_copy(spark, tmp_path):
+    d = spark.createDataFrame([(4, "x", "test", 1, 0), (7, "y", "test", 1, 1)], "row_id bigint, dataset_name string, split string, preds int, labels int")
+    p, g, m = (str(tmp_path / x) for x in "pgm")
+    metrics = mt.evaluate(d, ["acc"])
+    for _ in range(2):
+        for epoch in (0, 1):
+            sinks.store_predictions(d, p, epoch=epoch)
+            sinks.store_generations(d.selectExpr("row_id", "dataset_name", "'l' label_strings", "'p' preds"), g, epoch=epoch)
+            for run in ("r1", "r2"):
+                sinks.log_metrics(metrics, m, run, epoch)
+    assert spark.read.csv(p, header=True).count() == 4 and spark.read.parquet(g).count() == 4 and spark.read.parquet(m).count() == 8
+    sinks.store_predictions(d.where("dataset_name = 'x'"), p, epoch=1)
+    assert spark.read.csv(p, header=True).count() == 4
+
+
 def test_sinks(spark, tmp_path):
     d = spark.createDataFrame([(4, "x", "test", 1, 0), (7, "y", "test", 1, 1)], "row_id bigint, dataset_name string, split string, preds int, labels int")
     p = str(tmp_path / "p")

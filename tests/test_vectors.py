@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from procspark.functions import tiles
 from procspark.operators import alignment as al, heads as hd, pooling as pl, retrieval as rt
 
 RNG = np.random.default_rng(0)
@@ -137,13 +138,13 @@ def test_mean_cosine(spark):
 
 def test_grid_follows_size_and_memory(spark):
     cores = spark.sparkContext.defaultParallelism
-    assert rt._grid(spark, 500, 500, 64, None) == (1, 1)
-    gx, gy = rt._grid(spark, 10**6, 10**6, 64, None)
-    assert gx * gy >= rt.TILES_PER_CORE * cores
-    gx, gy = rt._grid(spark, 10**9, 10**9, 1024, None)
-    assert 10**9 / gx * 8 * 1024 <= rt.TILE_BYTES and 10**9 / gy * 8 * 1024 <= rt.TILE_BYTES
-    wide = rt._grid(spark, 10**6, 10**6, 64, None, wide_y=True)
-    assert wide[1] == 8 and wide[0] * wide[1] >= rt.TILES_PER_CORE * cores
+    assert tiles.grid(spark, 500, 500, 64, None) == (1, 1)
+    gx, gy = tiles.grid(spark, 10**6, 10**6, 64, None)
+    assert gx * gy >= tiles.TILES_PER_CORE * cores
+    gx, gy = tiles.grid(spark, 10**9, 10**9, 1024, None)
+    assert 10**9 / gx * 8 * 1024 <= tiles.TILE_BYTES and 10**9 / gy * 8 * 1024 <= tiles.TILE_BYTES
+    wide = tiles.grid(spark, 10**6, 10**6, 64, None, wide_y=True)
+    assert wide[1] == 8 and wide[0] * wide[1] >= tiles.TILES_PER_CORE * cores
 
 
 @pytest.mark.parametrize("limit", [10**9, 0])
@@ -164,3 +165,79 @@ def test_zero_vectors_have_cosine_zero(spark):
     y = side([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0])])
     got = {r.x_id: (r.true_score, r.true_rank) for r in rt.cosine_ranks(x, y).collect()}
     assert got[0] == (0.0, 1) and got[1] == (1.0, 2)
+
+
+@pytest.mark.parametrize("tile_rows", [None, 7])
+def test_head_stats_in_tiles(spark, tile_rows):
+    """One task with many classes, another with few; rows are hashed, so no shuffle goes by task."""
+    v, w = RNG.normal(size=(40, 4)), RNG.normal(size=(301, 4))
+    w[200] = w[17]  # a tie
+    y = RNG.integers(0, 300, 40)
+    rows = [(i, "big" if i % 8 else "small", v[i].tolist(), int(y[i]) if i % 8 else 0) for i in range(40)]
+    rows += [(1, "small", v[1].tolist(), 5), (1, "big", v[2].tolist(), 3), (50, "none", v[0].tolist(), 0), (51, "big", None, 0), (52, "big", v[17].tolist(), None)]
+    df = spark.createDataFrame(rows + rows[:3], "row_id bigint, task string, vec array<double>, labels int")
+    heads = spark.createDataFrame([("big", c, w[c].tolist()) for c in range(300)] + [("small", 0, w[300].tolist())], "task string, class_idx int, vec array<double>")
+    got = hd.head_stats(df, heads, tile_rows=tile_rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    by_task = [x.split(")")[0] for x in plan.split("hashpartitioning(") if x.startswith("task#")]
+    assert all("row_id#" in x for x in by_task)
+    out = got.collect()
+    assert len(out) == len(rows) + 3 and got.columns == ["row_id", "task", "vec", "labels", "preds", "max_logit", "loss"]
+    for r in out:
+        if r.task == "none" or r.vec is None:
+            assert (r.preds, r.max_logit, r.loss) == (None, None, None)
+            continue
+        logits = np.array(r.vec) @ (w[:300] if r.task == "big" else w[300:]).T
+        assert r.preds == int(logits.argmax()) and abs(r.max_logit - logits.max()) < 1e-9
+        if r.labels is None or r.labels >= len(logits):
+            assert r.loss is None
+        else:
+            assert abs(r.loss - (np.log(np.exp(logits).sum()) - logits[r.labels])) < 1e-9
+
+
+def test_neighbour_lists_send_one_row_a_block(spark):
+    src, trg = RNG.normal(size=(200, 6)), RNG.normal(size=(9, 6))
+    sources = _table(spark, src, y_id=range(200), label=[0] * 200).withColumn("label", F.col("label").cast("int"))
+    lists = rt.neighbour_lists(_table(spark, trg, x_id=range(9)), sources, 50, tile_rows=60).collect()
+    s = np.round(_unit(trg) @ _unit(src).T, 10)
+    assert len(lists) == 9
+    for r in lists:
+        order = np.argsort(-s[r.x_id], kind="stable")[:50]
+        assert r.y_ids == order.tolist() and np.allclose(r.scores, s[r.x_id][order])
+
+
+def test_constant_and_zero_sides_have_no_alignment(spark):
+    x = RNG.normal(size=(10, 3))
+    both = _table(spark, np.vstack([x, np.ones((10, 3))]), side=[0] * 10 + [1] * 10)
+    assert al.cka(both).first().cka is None
+    rows = [(a, b, RNG.normal(size=3).tolist(), [0.0] * 3 if a == 1 else RNG.normal(size=3).tolist()) for a in range(3) for b in range(1)] + [
+        (7, 9, [1.0, 2.0, 3.0], [0.0, 0.0, 0.0])]
+    d = spark.createDataFrame(rows, "a bigint, b bigint, x array<double>, y array<double>")
+    got = {r.a: r.cka for r in al.cka_grouped(d, reduction=None).collect()}
+    assert got[7] is None and set(got) == {0, 1, 2, 7}
+    zero = _table(spark, np.zeros((4, 3)), i=range(4))
+    assert rt.mean_cosine(zero, zero).first().mean_cosine == 0.0
+
+
+def test_long_groups_are_folded(spark):
+    """A group with most of the rows, spread over tasks, and small ones."""
+    rows = [(0, b, RNG.normal(size=4).tolist(), RNG.normal(size=4).tolist()) for b in range(500)]
+    rows += [(a, b, RNG.normal(size=4).tolist(), RNG.normal(size=4).tolist()) for a in (1, 2, None) for b in range(3)]
+    d = spark.createDataFrame(rows, "a bigint, b bigint, x array<double>, y array<double>").repartition(4)
+    got = {r.a: r.cka for r in al.cka_grouped(d, reduction=None).collect()}
+    at: dict = {}
+    for _, b, x, y in rows:
+        at.setdefault(b, []).append((x, y))
+    for a in (0, 1, 2, None):
+        p, q = (np.array([np.array(r[i]) - (np.mean([z[i - 2] for z in at[r[1]]], 0) if len(at[r[1]]) > 1 else 0) for r in rows if r[0] == a]) for i in (2, 3))
+        assert abs(got[a] - np.linalg.norm(p.T @ q) ** 2 / (np.linalg.norm(p.T @ p) * np.linalg.norm(q.T @ q))) < 1e-9
+
+
+def test_pair_scores_of_ragged_sentences():
+    sizes = RNG.integers(1, 12, (2, 60))
+    (a, a_at), (b, b_at) = ((_unit(RNG.normal(size=(n.sum(), 5))), np.concatenate([[0], np.cumsum(n)])) for n in sizes)
+    got = rt._pair_scores(a, a_at, b, b_at)
+    for k in range(60):
+        s = a[a_at[k]:a_at[k + 1]] @ b[b_at[k]:b_at[k + 1]].T
+        x, y = s.max(1).mean(), s.max(0).mean()
+        assert abs(got[k] - 2 * x * y / (x + y)) < 1e-9
