@@ -7,6 +7,8 @@ its siblings. The blocks' roots are the leaves of the next round, and the source
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from procspark.functions.ranking import with_range_position
@@ -15,6 +17,7 @@ from procspark.llm.store import stash
 #: Fixed value: nodes hashed together. Levels in a block, which bounds its strings to 64 * RUN ** LEVELS characters.
 RUN, LEVELS = 3, 5
 WIDTH = 64
+FLANKS = "array<struct<l:string,r:string>>"
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -44,44 +47,53 @@ def _siblings(levels: Column, used: Column, place: Column) -> Column:
         return F.struct(F.substring(level, (node - nth) * WIDTH + 1, nth * WIDTH).alias("l"),
                         F.substring(level, (node + 1) * WIDTH + 1, (RUN - 1 - nth) * WIDTH).alias("r"))
 
-    return F.when(used > 0, F.transform(F.sequence(F.lit(0), used - 1), flanks)).otherwise(F.array().cast("array<struct<l:string,r:string>>"))
+    return F.when(used > 0, F.transform(F.sequence(F.lit(0), used - 1), flanks)).otherwise(F.array().cast(FLANKS))
+
+
+def own_roots(tops: DataFrame) -> DataFrame:
+    return tops.select("tree", F.array().cast(FLANKS).alias("up"), F.col("hash").alias("root"), F.col("hash").alias("whole"))
 
 
-def climb(nodes: DataFrame) -> DataFrame:
-    """The blocks (tree, block, ...) of nodes, with ``up``, the flanks from a block's root up to its tree's, and ``root``.
+def climb(nodes: DataFrame, above: Callable[[DataFrame], DataFrame] = own_roots) -> DataFrame:
+    """The blocks of nodes, with ``up``, the flanks from a block's top to the whole, ``root`` of its tree, and ``whole``.
 
-    nodes: ``tree`` (not null), ``pos`` from 0 without gaps in each tree, ``hash``, ``payload``. Each round groups at
-    most ``RUN ** LEVELS`` nodes and leaves one in so many, so the rounds grow with the logarithm of the
+    nodes: ``tree`` (not null), ``pos`` from 0 without gaps in each tree, ``size``, the tree's nodes, ``hash``, ``payload``.
+    above: gives (tree, up, root, whole) of the trees' (tree, hash). Each round groups at most ``RUN ** LEVELS`` nodes by tree and
+    block, never by tree, and leaves one in so many, so the rounds grow with the logarithm of the
     largest tree only. Levels are made again where they are read, and not stored.
     """
     block = F.floor(F.col("pos") / RUN**LEVELS).cast("bigint").alias("block")
-    grouped = nodes.select("tree", block, F.struct("pos", "hash", "payload").alias("n")).groupBy("tree", "block").agg(
-        F.sort_array(F.collect_list("n")).alias("nodes"))
-    grouped = stash(grouped.withColumn("n", F.size("nodes")), "blocks")
-    size = grouped.groupBy("tree").agg(F.sum("n").alias("size"))
+    grouped = nodes.select("tree", block, "size", F.struct("pos", "hash", "payload").alias("n")).groupBy("tree", "block").agg(
+        F.max("size").alias("size"), F.sort_array(F.collect_list("n")).alias("nodes"))
+    grouped = stash(grouped, "blocks")
     deep = sum(((F.col("size") > RUN**i).cast("int") for i in range(LEVELS)), F.lit(0))  # levels until one node is left
-    blocks = grouped.join(size.select("tree", deep.alias("used")), "tree").withColumn("l0", F.array_join("nodes.hash", ""))
+    blocks = grouped.withColumn("used", deep).withColumn("l0", F.array_join("nodes.hash", ""))
     for i in range(LEVELS):
         blocks = blocks.withColumn(f"l{i + 1}", F.when(F.col("used") > i, _next_level(F.col(f"l{i}"))).otherwise(F.col(f"l{i}")))
-    blocks = blocks.select("tree", "block", "nodes", "used", F.array(*[F.col(f"l{i}") for i in range(LEVELS)]).alias("levels"),
-                           F.col(f"l{LEVELS}").alias("top"))
+    tops = blocks.select("tree", "block", "size", F.col(f"l{LEVELS}").alias("hash"))
+    blocks = blocks.select("tree", "block", "nodes", "used", F.array(*[F.col(f"l{i}") for i in range(LEVELS)]).alias("levels"))
     if not grouped.where("block > 0").take(1):
-        return blocks.withColumns({"up": F.array().cast("array<struct<l:string,r:string>>"), "root": F.col("top")})
-    above = paths(blocks.select("tree", F.col("block").alias("pos"), F.col("top").alias("hash"), F.lit(None).cast("int").alias("payload")))
-    return blocks.join(above.select("tree", F.col("pos").alias("block"), F.col("path").alias("up"), "root"), ["tree", "block"])
+        return blocks.join(above(tops.select("tree", "hash")), "tree")
+    nodes = tops.select("tree", F.col("block").alias("pos"), F.ceil(F.col("size") / RUN**LEVELS).cast("bigint").alias("size"), "hash",
+                        F.lit(None).cast("int").alias("payload"))
+    over = nodes_of(climb(nodes, above)).select("tree", F.col("pos").alias("block"), F.col("path").alias("up"), "root", "whole")
+    return blocks.join(over, ["tree", "block"])
 
 
-def nodes_of(blocks: DataFrame, *more: str) -> DataFrame:
-    """One row a node: tree, pos, hash, payload, ``path`` with the flanks up to the root, root, more."""
+def nodes_of(blocks: DataFrame) -> DataFrame:
+    """One row a node: tree, pos, hash, payload, ``path`` with the flanks up to the whole, root, whole."""
     inner = F.transform("nodes", lambda n: F.struct(
         n["pos"].alias("pos"), n["hash"].alias("hash"), n["payload"].alias("payload"),
         _siblings(F.col("levels"), F.col("used"), (n["pos"] % RUN**LEVELS).cast("int")).alias("own")))
-    rows = blocks.select("tree", "up", "root", *more, F.inline(inner))
-    return rows.select("tree", "pos", "hash", "payload", F.concat("own", "up").alias("path"), "root", *more)
+    rows = blocks.select("tree", "up", "root", "whole", F.inline(inner))
+    return rows.select("tree", "pos", "hash", "payload", F.concat("own", "up").alias("path"), "root", "whole")
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    return nodes_of(climb(nodes))
+def source_roots(tops: DataFrame) -> DataFrame:
+    """The sources as leaves of one tree: (tree, up, root, whole) of each."""
+    ranked = with_range_position(stash(tops, "sources"), [F.col("tree")], "pos", total="size")
+    top = nodes_of(climb(ranked.select(F.lit("").alias("tree"), "pos", "size", "hash", F.struct(F.col("tree").alias("of")).alias("payload"))))
+    return top.select(F.col("payload.of").alias("tree"), F.col("path").alias("up"), F.col("hash").alias("root"), "whole")
 
 
 def merkle_manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
@@ -97,13 +109,8 @@ def merkle_manifest(docs: DataFrame, tampered: Column | None = None) -> DataFram
     tree = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))
     rows = stash(docs.select("doc_id", tree.alias("tree"), digest(head, field(F.col("text"))).alias("hash"),
                              F.when(other.isNotNull(), digest(head, field(other))).alias("tampered")), "leaves")
-    placed = with_range_position(rows, [F.col("doc_id"), F.col("hash")], "pos", ["tree"])
-    blocks = climb(placed.select("tree", "pos", "hash", F.struct("doc_id", "tampered").alias("payload")))
-    sources = stash(blocks.groupBy("tree").agg(F.min("root").alias("hash")), "sources")
-    ranked = with_range_position(sources, [F.col("tree")], "pos")
-    top = paths(ranked.select(F.lit("").alias("tree"), "pos", "hash", F.struct(F.col("tree").alias("of")).alias("payload")))
-    top = top.select(F.col("payload.of").alias("tree"), F.col("path").alias("over"), F.col("root").alias("whole"))
-    leaves = nodes_of(blocks.join(top, "tree").withColumn("up", F.concat("up", "over")), "whole")
+    placed = with_range_position(rows, [F.col("doc_id"), F.col("hash")], "pos", ["tree"], total="size")
+    leaves = nodes_of(climb(placed.select("tree", "pos", "size", "hash", F.struct("doc_id", "tampered").alias("payload")), source_roots))
     folded = F.aggregate("path", F.coalesce("payload.tampered", "hash"), lambda h, s: F.sha2(F.concat(s["l"], h, s["r"]).cast("binary"), 256))
     proof = F.array_join(F.transform("path", lambda s: F.concat(s["l"], s["r"])), "")
     return leaves.select(F.col("payload.doc_id").alias("doc_id"), F.col("hash").alias("leaf"), F.col("root").alias("subroot"),
