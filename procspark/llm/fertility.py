@@ -109,8 +109,7 @@ def script_of(text: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
     """docs' columns but the text, with BASE and MEASURES."""
-    docs = docs.withColumnRenamed(text, "text") if text != "text" else docs
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c != text]
     names = [c.split()[0] for c in f"{BASE}, {MEASURES}".split(", ")]
 
     def work(chunk: Chunk) -> dict:
@@ -125,7 +124,7 @@ def measure(docs: DataFrame, text: str = "text", folder: str = TOKENIZERS) -> Da
         held = columns(chunk)
         return {c: held[c] for c in rest} | dict(zip(names, [*base, *token_measures(words, chars, folder)]))
 
-    return scan(docs, work, with_fields(docs.select(*rest), f"{BASE}, {MEASURES}"))
+    return scan(docs, work, with_fields(docs.select(*rest), f"{BASE}, {MEASURES}"), text)
 
 
 #: A band goes so many robust deviations of a text of its length below and above the middle (a text of common words only
@@ -145,9 +144,20 @@ def bands(stats: DataFrame, group: str) -> DataFrame:
     long = stats.where(F.col("n_words") >= ENOUGH)
     mid = long.groupBy(group).agg(*[F.percentile_approx(m, 0.5, 2000).alias(f"mid_{m}") for m in LEAST])
     away = {m: F.abs(F.col(m) - F.col(f"mid_{m}")) * F.sqrt("n_words") for m in LEAST}
-    dev = long.join(mid, group).groupBy(group).agg(
+    mid = stash(mid, "middles")
+    dev = with_small(long, mid, group).groupBy(group).agg(
         *[(F.percentile_approx(x, 0.5, 2000) * 1.4826).alias(f"dev_{m}") for m, x in away.items()])
-    return mid.join(dev, group)
+    return stash(mid.join(dev, group), "bands")
+
+
+#: Rows of a table of groups up to which it goes to all tasks.
+SMALL = 10_000
+
+
+def with_small(rows: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """rows with the columns of their group, where it has any. A stored table of up to ``SMALL`` groups goes to the rows, which stay
+    where they are however many are of one group; the rows go by group only to a larger one."""
+    return rows.join(F.broadcast(groups) if groups.count() <= SMALL else groups, group, "left")
 
 
 def expected_entropy(n_tokens: Column) -> Column:
@@ -177,6 +187,6 @@ def fertility_rules(docs: DataFrame, text: str = "text", lang: str = "lang", fol
     varied = F.col("entropy") >= expected_entropy(F.col("word_chars") / F.col("chars_per_piece"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = [c for c in stats.columns if c != "_group"]
-    return (stats.join(limits, "_group", "left").withColumn("base_failed", failed)
+    return (with_small(stats, limits, "_group").withColumn("base_failed", failed)
             .withColumn("kept", ~failed & inside & F.coalesce(varied, F.lit(True)))
             .select(*out, "base_failed", "kept"))
