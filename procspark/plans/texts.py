@@ -181,6 +181,15 @@ def pad_batches(spark, sf):
         joined(F.col("attention_mask")).alias("attention_mask"), joined(F.col("labels")).alias("labels"))
 
 
+def pad_scalar_batches(spark, sf):
+    """The first 64 words of labelled documents, sixteen a batch, padded on the right; the label is one number."""
+    d = v.doc_words(spark, sf).join(v.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    d = d.select("doc_id", "label", F.transform(truncate(F.col("tokens"), 64), F.length).alias("input_ids"))
+    bounds = range_bounds(v.table(spark, sf, "labels"), F.col("doc_id"))
+    return bt.pad_batches(bt.with_batch(d, "doc_id", 16, bounds=bounds), 0, side="right").select(
+        "doc_id", "batch_id", "label", joined(F.col("input_ids")).alias("input_ids"), joined(F.col("attention_mask")).alias("attention_mask"))
+
+
 def pad_choice_batches(spark, sf):
     """Every turn and its reverse as two choices, eight turns a batch."""
     n = lambda c: F.transform(words(c), F.length)
@@ -220,4 +229,4 @@ def named_union(spark, sf):
 QUERIES = {f.__name__: f for f in (
     strip_truncate, strip_pairs, corpus_tokenize, paired_metrics, unpaired_ids, evaluation_hooks, blank_line_filter, pack_blocks, scored_tokens, perplexity_by_lang, tag_remap, tag_align, entity_f1,
     pos_chunk_f1, choice_expand, choice_regroup, choice_prompts, stack_pairs, loss_mask, last_token_label, strip_generation,
-    pad_batches, pad_choice_batches, length_mask, dataset_union_metrics, named_union)}
+    pad_batches, pad_scalar_batches, pad_choice_batches, length_mask, dataset_union_metrics, named_union)}

@@ -134,6 +134,12 @@ SQL = {
         SELECT doc_id, batch_id, CAST(padded_length AS INTEGER) AS padded_length, {text_join(pad_left('ids', '0'))} AS input_ids,
         {text_join(pad_left("list_transform(ids, lambda v: 1)", '0'))} AS attention_mask,
         {text_join(pad_left("list_transform(ids, lambda v: v * 2)", '-100'))} AS labels FROM l""",
+    "pad_scalar_batches": f"""WITH {DOCS}, k AS (SELECT d.doc_id, list_transform(tokens[1:64], lambda t: length(t)) AS ids, l.quality AS label
+            FROM docs d JOIN labels l USING (doc_id)),
+        x AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch_id FROM k),
+        l AS (SELECT *, len(ids) AS n, max(len(ids)) OVER (PARTITION BY batch_id) AS padded_length FROM x)
+        SELECT doc_id, batch_id, label, {text_join('list_resize(ids, padded_length, 0)')} AS input_ids,
+        {text_join('list_resize(list_transform(ids, lambda v: 1), padded_length, 0)')} AS attention_mask FROM l""",
     "pad_choice_batches": f"""WITH {EVERY}, l AS (SELECT *, max(greatest(len(p), len(g))) OVER (PARTITION BY b) AS m FROM ev)
         SELECT conv_id, turn, CAST(m AS INTEGER) AS padded_length,
         {text_join('list_resize(p, m, 0)')} || '|' || {text_join('list_resize(g, m, 0)')} AS input_ids,
