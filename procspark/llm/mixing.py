@@ -12,17 +12,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from procspark.llm.bytescan import ALNUM, U64, Chunk, columns, scan, with_fields
+from procspark.llm.bytescan import ALNUM, U64, Chunk, as_long, columns, scan, with_fields
 from procspark.llm.crf import line_features
-from procspark.llm.store import stash
+from procspark.llm.store import labelled_rows, stash
 
 #: Domains by (quality, toxic), and the share of all tokens that each is to have.
 DOMAINS = {"good": (1, 0), "poor": (0, 0), "good_toxic": (1, 1), "poor_toxic": (0, 1)}
 TARGETS = {"good": 0.93, "poor": 0.05, "good_toxic": 0.015, "poor_toxic": 0.005}
 #: Tokens to be drawn, as a share of those there are.
 BUDGET = 0.5
-#: Labelled documents that the classifier is fitted on at most, their words, and telling words of a domain.
-MAX_DOCS, MAX_WORDS, TELLING = 4000, 50_000, 64
+#: Labelled documents that the classifier is fitted on at most, and telling words of a domain.
+MAX_DOCS, TELLING = 4000, 64
 ROUNDS, RATE, PENALTY = 300, 0.05, 1e-3
 STEPS, CLOSE, RIDGE = 60, 1e-5, 0.003
 
@@ -60,23 +60,10 @@ class Posterior:
             return np.full((len(features), self.classes), 1 / self.classes)
         return softmax(self._x(features, presence) @ self.weights)
 
-    def fit(self, features: np.ndarray, words: list[np.ndarray], y: np.ndarray) -> Posterior:
-        """words: distinct word hashes of each text; y: domain numbers. Without two domains chances stay even."""
+    def fit(self, features: np.ndarray, here: np.ndarray, y: np.ndarray) -> Posterior:
+        """here: the presence of ``words`` by text; y: domain numbers. Without two domains chances stay even."""
         if len(np.unique(y)) < 2:
             return self
-        flat = np.concatenate(words) if words else np.zeros(0, U64)
-        vocab, index = np.unique(flat, return_inverse=True)
-        label = np.repeat(y, [len(w) for w in words])
-        count = np.stack([np.bincount(index[label == k], minlength=len(vocab)) for k in range(self.classes)], 1)
-        size = np.bincount(y, minlength=self.classes)
-        rate = (count + 0.5) / (size + 1)
-        rest = (count.sum(1, keepdims=True) - count + 0.5) / (size.sum() - size + 1)
-        told = np.where(count.sum(1, keepdims=True) >= 3, np.sqrt(np.maximum(rate, rest)) * np.log(rate / rest), 0)
-        best = {int(i) for k in range(self.classes) for i in np.lexsort((vocab, -told[:, k]))[:TELLING]}
-        self.words = vocab[sorted(best)]
-        here = np.zeros((len(y), len(self.words)))
-        for i, w in enumerate(words):
-            here[i] = np.isin(self.words, w)
         self.middle, self.spread = features.mean(0), features.std(0) + 1e-6
         x = self._x(features, here)
         want = np.eye(self.classes)[y]
@@ -95,25 +82,50 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def telling_words(rows: DataFrame, size: np.ndarray, most: int = TELLING) -> np.ndarray:
+    """Sorted hashes of the ``most`` words that tell each domain best, by the texts (text, y) that have them; size: texts by domain."""
+    def work(chunk: Chunk) -> dict:
+        words = chunk.words(ALNUM)
+        own = [np.unique(words.hashes[a:b]) for a, b in zip(words.bounds, words.bounds[1:])]
+        y = columns(chunk)["y"].to_numpy()
+        return {"word": as_long(np.concatenate(own)), "y": np.repeat(y, [len(w) for w in own])}
+
+    counts = scan(rows.select("text", "y"), work, "word long, y long").groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("y") == k).alias(f"n{k}") for k in range(len(size))])
+    counts = stash(counts.where("n >= 3"), "words")
+    found: set[int] = set()
+    for k, texts in enumerate(size):
+        rate = (F.col(f"n{k}") + 0.5) / float(texts + 1)
+        rest = (F.col("n") - F.col(f"n{k}") + 0.5) / float(size.sum() - texts + 1)
+        told = F.sqrt(F.greatest(rate, rest)) * F.log(rate / rest)
+        found |= {r.word for r in counts.orderBy(told.desc(), F.col("word").bitwiseXOR(F.lit(-2**63))).limit(most).collect()}
+    return np.sort(np.array(sorted(found), np.int64).view(U64))
+
+
 def fit_posterior(docs: DataFrame, labels: DataFrame, domain: Column, classes: int, max_docs: int = MAX_DOCS) -> Posterior:
-    """Fit on ``max_docs`` labelled documents at most, by a hash of their ids. docs has (doc_id, text)."""
-    some = (labels.select("doc_id", domain.alias("y")).where("doc_id is not null and y is not null")
-            .groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
-    rows = docs.join(F.broadcast(some), "doc_id")  # at most max_docs small rows
+    """Fit on ``max_docs`` labelled documents at most, by a hash of their ids. docs has (doc_id, text).
+
+    Words are counted by Spark; what reaches the driver is one row of fixed size for each of these documents.
+    """
+    marks = (labels.select("doc_id", domain.alias("y")).where("doc_id is not null and y is not null")
+             .groupBy("doc_id").agg(F.min("y").alias("y")))
+    rows = labelled_rows(docs, marks, max_docs)
+    size = np.zeros(classes, np.int64)
+    for r in rows.groupBy("y").count().collect():
+        size[r.y] = r["count"]
+    model = Posterior(classes)
+    if (size > 0).sum() < 2:
+        return model
+    model.words = telling_words(rows, size)
 
     def work(chunk: Chunk) -> dict:
-        words = chunk.words(ALNUM)
-        own = [np.unique(words.hashes[a:b])[:MAX_WORDS] for a, b in zip(words.bounds, words.bounds[1:])]
         held = columns(chunk)
         return {"y": held["y"], "id": held["doc_id"].cast("string"), "x": [r.tobytes() for r in document_features(chunk)],
-                "words": [w.tobytes() for w in own]}
+                "here": [r.astype(np.uint8).tobytes() for r in model.presence(chunk)[0]]}
 
-    got = scan(rows.select("doc_id", "y", "text"), work, "y long, id string, x binary, words binary").collect()
+    got = scan(rows.select("doc_id", "y", "text"), work, "y long, id string, x binary, here binary").collect()
     got.sort(key=lambda r: (r.id, bytes(r.x)))
-    model = Posterior(classes)
-    if not got:
-        return model
-    return model.fit(np.array([np.frombuffer(r.x) for r in got]), [np.frombuffer(r.words, U64) for r in got],
+    return model.fit(np.array([np.frombuffer(r.x) for r in got]), np.array([np.frombuffer(r.here, np.uint8) for r in got], float),
                      np.array([r.y for r in got]))
 
 
@@ -171,8 +183,8 @@ def fit_rates(table: DataFrame, classes: int, targets: np.ndarray, budget: float
     return budget, best
 
 
-def _posterior(batch: pa.RecordBatch, classes: int) -> np.ndarray:
-    return batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, classes)
+def _posterior(batch: pa.RecordBatch, classes: int, name: str = "p") -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False).reshape(-1, classes)
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET,
@@ -190,8 +202,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     domain = F.lit(None).cast("long")
     for i, (quality, toxic) in enumerate(domains.values()):
         domain = F.when((F.col("quality") == quality) & (F.col("toxic") == toxic), i).otherwise(domain)
-    results = ["n_tokens", "rate", "p", *(f"p_{n}" for n in names)]
-    docs = docs.drop(*results)
+    docs = docs.drop("n_tokens", "rate", *(f"p_{n}" for n in names))
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     model = fit_posterior(plain, labels.withColumnRenamed(id_col, "doc_id"), domain, len(names))
     rest = [c for c in docs.columns if keep_text or c != text]
@@ -200,17 +211,19 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
         presence, n = model.presence(chunk)
         p = model.chances(document_features(chunk), presence)
         held = columns(chunk)
-        return {c: held[c] for c in rest} | {"n_tokens": n, "p": list(p)}
+        return {c: held[c] for c in rest} | {"n_tokens": n, "rate": list(p)}
 
-    table = stash(scan(docs, work, with_fields(docs.select(*rest), "n_tokens long, p array<double>"), text), "posterior")
+    # the posterior stands in the column of the rate until that is known, which clashes with nothing
+    table = stash(scan(docs, work, with_fields(docs.select(*rest), "n_tokens long, rate array<double>"), text), "posterior")
     want = np.array([targets[n] for n in names])
-    start, steps = fit_rates(table.select("n_tokens", "p"), len(names), want, budget)
+    start, steps = fit_rates(table.select("n_tokens", F.col("rate").alias("p")), len(names), want, budget)
+    results = [f"p_{n}" for n in names]
 
     def rates(batches):
         for b in batches:
             if b.num_rows:
-                r = fold_rates(_posterior(b, len(names)), start, steps)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r)], [*b.schema.names, "rate"])
+                p = _posterior(b, len(names), "rate")
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c) for c in p.T.copy()], pa.array(fold_rates(p, start, steps))],
+                                                 [*b.schema.names[:-1], *results, "rate"])
 
-    out = table.mapInArrow(rates, with_fields(table, "rate double"))
-    return out.select(*rest, "n_tokens", *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(names)], "rate")
+    return table.mapInArrow(rates, with_fields(table.drop("rate"), ", ".join(f"`{c}` double" for c in results) + ", rate double"))

@@ -30,3 +30,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 def row_key(id_col: str = "doc_id", text: str = "text") -> Column:
     """Key of a row by its id and text: repeated ids with other texts stay apart, equal rows get equal results."""
     return F.xxhash64(F.col(id_col), F.col(text)).alias("_row")
+
+
+def labelled_rows(docs: DataFrame, marks: DataFrame, most: int) -> DataFrame:
+    """(doc_id, text, and the other columns of marks) of ``most`` labelled rows at most, by a hash of their ids.
+
+    docs has (doc_id, text), marks one row an id. Rows that repeat id and text count once, and the bound holds after
+    the join, so an id that stands in very many rows takes no more than its place in that order.
+    """
+    some = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    keyed = docs.join(F.broadcast(some), "doc_id").withColumn("_row", row_key())  # at most ``most`` small rows
+    first = keyed.select("doc_id", "_row").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_row").limit(most).select("_row")
+    return stash(keyed.join(F.broadcast(first), "_row").dropDuplicates(["_row"]).drop("_row"), "labelled")
