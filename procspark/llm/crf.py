@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from procspark.llm.bytescan import BLANK_SPLIT, U64, Chunk, columns, mix, scan, with_fields
 from procspark.llm.fertility import repeated_cover
+from procspark.llm.store import labelled_rows, row_key
 
-#: Labelled documents that the field is fitted on at most, and lines of one of them.
-MAX_DOCS, MAX_LINES = 4000, 2000
+#: Labelled documents that the field is fitted on at most, lines of one of them, and of all.
+MAX_DOCS, MAX_LINES, MAX_TOTAL = 4000, 2000, 500_000
 ROUNDS, RATE, PENALTY = 250, 0.05, 1e-3
 GOOD = 0.7
 
@@ -152,17 +153,21 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit_field(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> Field:
+def fit_field(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES,
+              max_total: int = MAX_TOTAL) -> Field:
     """Fit on ``max_docs`` labelled rows at most, taken in the order of a hash of their ids; never on held-out ids.
 
     docs has (doc_id, text), labels (doc_id, quality). Labelled texts of over ``max_lines`` lines are left to be
-    scored only. Without labels of both kinds all weights stay zero and every score is 0.5.
+    scored only, as are those after which the rest would have over ``max_total`` lines. Without labels of both kinds all weights
+    stay zero and every score is 0.5.
     """
-    some = (labels.where("quality is not null and doc_id is not null").where(~held_out())
-            .groupBy("doc_id").agg(F.min("quality").alias("quality"))
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
-    rows = docs.join(F.broadcast(some), "doc_id").where(  # at most max_docs small rows
-        F.length("text") - F.length(F.replace("text", F.lit("\n"))) < max_lines)
+    marks = (labels.where("quality is not null and doc_id is not null").where(~held_out())
+             .groupBy("doc_id").agg(F.min("quality").alias("quality")))
+    rows = labelled_rows(docs, marks, max_docs).withColumn("n", F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
+    rows = rows.where(F.col("n") <= max_lines).withColumn("_row", row_key())
+    order = rows.select("_row", "n").orderBy(F.xxhash64("doc_id"), "doc_id", "_row").collect()  # at most max_docs pairs
+    most = int(np.searchsorted(np.cumsum([r.n for r in order]), max_total, "right"))
+    rows = rows.where(F.col("_row").isin([r["_row"] for r in order[:most]])) if most < len(order) else rows
 
     def work(chunk: Chunk) -> dict:
         x, _, first = line_features(chunk)
