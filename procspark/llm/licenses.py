@@ -12,6 +12,7 @@ import math
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from procspark.llm.bytescan import ALNUM, Chunk, Words, columns, hash_words, scan, with_fields
@@ -103,14 +104,13 @@ class TemplateIndex:
                 for p in at[w]:
                     for q in posts[w]:
                         votes[p - q] += weight[w]
-            for start in sorted(votes, key=lambda s: (-votes[s], s)):
+            for start in votes:
                 if sum(votes.get(start + d, 0) for d in range(-SLACK, SLACK + 1)) < bar:
                     continue
                 cover = sum(weight[w] for w, qs in posts.items() for q in qs
                             if any(seq.get(start + q + d) == w for d in range(-SLACK, SLACK + 1))) / total
                 if cover >= COVER and all(self._near(key, start, n, at, seq) for key in keys):
                     best[label] = max(best.get(label, 0.0), min(1.0, cover))
-                    break
         return best
 
     @staticmethod
@@ -142,14 +142,13 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> D
     Words are lower-cased runs of ASCII letters and digits or anything from 0x80. ``labels`` has the labels of the
     phrases and those of matched templates; ``score`` is the best share of a template's rarity found at one place,
     1 where a phrase stands. Null, empty and wordless texts have no labels and score 0; first_word and last_word
-    are null without a phrase. Ties between places go to the earliest. Repeated rows get equal results; columns
+    are null without a phrase. All places with enough votes are tried, so ties between them do not matter. Repeated rows get equal results; columns
     of docs named as the result are replaced; the text column is not returned. An empty table gives no rows.
     """
     names = [c.split()[0] for c in RESULT.split(", ")]
-    docs = docs.drop(*names)
-    docs = docs.withColumnRenamed(text, "text") if text != "text" else docs
-    index = TemplateIndex(templates, word_rarity(docs, templates))
-    rest = [c for c in docs.columns if c != "text"]
+    docs = docs.drop(*[c for c in names if c != text])
+    index = TemplateIndex(templates, word_rarity(docs, templates, text))
+    rest = [c for c in docs.columns if c != text]
 
     def work(chunk: Chunk) -> dict:
         words = chunk.words(ALNUM)
@@ -173,6 +172,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> D
             labels[d] = ",".join(sorted({x for _, x in base} | set(found)))
             score[d] = 1.0 if base else max(found.values(), default=0.0)
         held = columns(chunk)
-        return {c: held[c] for c in rest} | dict(zip(names, (words.counts, count, first, last, base_labels, labels, score)))
+        return {c: held[c] for c in rest} | dict(zip(names, (
+            words.counts, count, pa.array(first, pa.int64()), pa.array(last, pa.int64()), base_labels, labels, score)))
 
-    return scan(docs, work, with_fields(docs.select(*rest), RESULT))
+    return scan(docs, work, with_fields(docs.select(*rest), RESULT), text)

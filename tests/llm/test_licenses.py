@@ -46,3 +46,17 @@ def test_every_template_is_found_in_its_own_text(spark, noise):
     got = {r.doc_id: r.labels.split(",") for r in
            scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(TEMPLATES[i][0] in got[i] for i in got)
+
+
+def test_chunks_without_a_phrase_and_other_text_column(spark):
+    """Of the chunks of one batch some have no phrase, so no places at all."""
+    long = "plain words only " * 150_000
+    rows = [(1, "x", "All rights reserved here"), (2, "x", long), (3, "x", "cc by cc-by"), (4, "x", long), (5, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, body string").coalesce(1)
+    got = {r.doc_id: r for r in scan_licenses(df, "body").collect()}
+    assert {d: (r.text, r.n_base, r.first_word, r.last_word) for d, r in got.items()} == {
+        1: ("x", 1, 0, 0), 2: ("x", 0, None, None), 3: ("x", 2, 0, 2), 4: ("x", 0, None, None), 5: ("x", 0, None, None)}
+    quoted = "filler words " * 30
+    one, two = (scan_licenses(spark.createDataFrame([(1, t)], "doc_id long, text string")).first().score for t in (
+        quoted + "Permission is hereby granted, free of charge", "Permission is hereby granted, free of charge " + quoted))
+    assert one == two
