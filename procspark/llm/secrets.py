@@ -13,6 +13,7 @@ from functools import reduce
 from operator import or_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from procspark.llm.bytescan import Chunk, Words, columns, scan, with_fields
@@ -392,7 +393,7 @@ def find_secrets(docs: DataFrame, text: str = "text", keep_text: bool = False, *
         out["spans"] = [line(x) for x in spans]
         if keep_text:
             null = columns(chunk)[text].is_null().to_numpy(zero_copy_only=False)
-            out["masked"] = [None if null[i] else mask(chunk.text(i), x) if x else chunk.text(i) for i, x in enumerate(spans)]
+            out["masked"] = pa.array([None if null[i] else mask(chunk.text(i), x) if x else chunk.text(i) for i, x in enumerate(spans)], pa.string())
         return out
 
     return scan(docs, work, with_fields(docs.select(*rest), RESULT + ", masked string" * keep_text), text)

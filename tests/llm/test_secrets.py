@@ -148,3 +148,10 @@ def test_clashing_columns_and_other_text_column(spark):
     got = find_secrets(df, text="body").first()
     assert (got.text, got.masked, got.n_hex, got.n_assign) == ("other", "m", 1, 1)
     assert "[secret]" in find_secrets(df, text="body", keep_text=True).first().masked
+
+
+def test_a_chunk_of_null_texts_is_masked_too(spark):
+    long = "plain words only " * 150_000
+    df = spark.createDataFrame([(1, None), (2, long), (3, f"token={HEX}"), (4, None)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.masked for r in find_secrets(df, keep_text=True).collect()}
+    assert got[1] is None and got[4] is None and got[2] == long and got[3] == "[secret]"
