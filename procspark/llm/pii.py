@@ -8,8 +8,10 @@ in any case; the classifier decides on the others.
 
 from __future__ import annotations
 
+import json
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from procspark.llm.store import stash
@@ -131,8 +133,19 @@ def _said(kind: str, before: Column, after: Column) -> Column:
     return _vote(near.rlike(yes), near.rlike(no))
 
 
+#: What the classifier sees of a span besides the votes: a mark before it, a capital, digits as its larger part, an end of a clause after it.
+LOOKS = ("marked", "capital", "digits", "ended")
+
+
+def _look(m: Column, before: Column, after: Column) -> Column:
+    """The ``LOOKS`` that hold, as bits."""
+    bits = (F.substring(before, -2, 2).rlike("[:=(<\"']\\s?$"), m.rlike("[A-Z]"), F.length(_digits(m)) * 2 > F.length(m),
+            F.substring(after, 1, 1).rlike(r"^[.,;!?)>\n]") | (F.length(after) == 0))
+    return sum((F.when(b, 1 << i).otherwise(0) for i, b in enumerate(bits)), F.lit(0))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_uid, id, kind, start, end, base, shape, listed, said, size) of every proposed span; a row of nulls for a text without.
+    """(_uid, id, kind, start, end, base, shape, listed, said, size, look) of every proposed span; a row of nulls for a text without.
 
     A text is cut at the matches of a pattern; the lengths of what lies between and of the matches, added up in order,
     are the places. Only these lengths and the votes are shuffled, the texts are not.
@@ -155,7 +168,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
             before, after = F.get(s, i), F.get(s, i + 1)
             return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(before).alias("gap"), F.length(m).alias("size"),
                             _holds(kind, m).alias("base"), _shape(kind, m).alias("shape"), _listed(kind, m).alias("listed"),
-                            _said(kind, before, after).alias("said"))
+                            _said(kind, before, after).alias("said"), _look(m, before, after).alias("look"))
 
         return F.when(F.size(f"m_{kind}") > 0, F.transform(f"m_{kind}", one))
 
@@ -167,7 +180,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     run = Window.partitionBy("_uid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.col("size")).over(run)
     return rows.repartition("_uid").withColumn("end", end.cast("long")).select(
-        "_uid", "id", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "base", "shape", "listed", "said", "size")
+        "_uid", "id", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "base", "shape", "listed", "said", "size", "look")
 
 
 VOTERS = ("shape", "listed", "said")
@@ -201,25 +214,29 @@ def em(counts: dict[tuple, float], rounds: int = ROUNDS) -> tuple[dict[tuple, fl
     return post, [{"true": r, "false": w} for r, w in zip(right, wrong)]
 
 
-def _features(kind: str, votes: tuple, size: int) -> list[str]:
-    return [kind, *[f"{n}{v}" for n, v in zip(VOTERS, votes)], *[f"{kind}:{n}{v}" for n, v in zip(VOTERS, votes)], f"{kind}:size{size}"]
+def _features(kind: str, votes: tuple, size: int, look: int = 0) -> list[str]:
+    seen = [n for i, n in enumerate(LOOKS) if look >> i & 1]
+    return [kind, *[f"{n}{v}" for n, v in zip(VOTERS, votes)], *[f"{kind}:{n}{v}" for n, v in zip(VOTERS, votes)], f"{kind}:size{size}",
+            *[f"{kind}:{n}" for n in seen]]
 
 
 def train(counts: dict[tuple, float], targets: dict[tuple, float], rounds: int = 300, rate: float = 0.5,
           penalty: float = 1e-3) -> dict[tuple, float]:
-    """Chance of each pattern (kind, votes, size) from logistic regression on soft targets, by gradient steps."""
-    weight: dict[str, float] = {}
-    total = sum(counts.values())
-    names = {k: _features(*k) for k in counts}
+    """Chance of each pattern (kind, votes, size, look) from logistic regression on soft targets, by gradient steps.
+
+    Patterns of one kind and vote have one target, so what the others of a kind that look alike are said to be moves
+    a pattern on which the voters are at odds or silent.
+    """
+    names = {f: i for i, f in enumerate(sorted({f for k in counts for f in _features(*k)}))}
+    x = np.zeros((len(counts), len(names)))
+    for i, k in enumerate(counts):
+        x[i, [names[f] for f in _features(*k)]] = 1
+    n, want = np.array(list(counts.values())), np.array([targets[k] for k in counts])
+    weight = np.zeros(len(names))
+    chance = lambda: 1 / (1 + np.exp(-np.clip(x @ weight, -50, 50)))
     for _ in range(rounds):
-        slope: dict[str, float] = {}
-        for k, n in counts.items():
-            p = 1 / (1 + math.exp(-max(-50, min(50, sum(weight.get(f, 0.0) for f in names[k])))))
-            for f in names[k]:
-                slope[f] = slope.get(f, 0.0) + n * (targets[k] - p) / total
-        for f, g in slope.items():
-            weight[f] = weight.get(f, 0.0) * (1 - rate * penalty) + rate * g
-    return {k: 1 / (1 + math.exp(-max(-50, min(50, sum(weight.get(f, 0.0) for f in names[k]))))) for k in counts}
+        weight = weight * (1 - rate * penalty) + rate * (x.T @ (n * (want - chance()))) / n.sum()
+    return dict(zip(counts, map(float, chance())))
 
 
 def _size_class() -> Column:
@@ -227,21 +244,21 @@ def _size_class() -> Column:
 
 
 def span_chances(found: DataFrame) -> list[tuple]:
-    """(kind, shape, listed, said, size class, chance) of every pattern that occurs: at most 7 * 27 * 4 rows."""
-    counts = {(r.kind, (r.shape, r.listed, r.said), r.c): float(r.n) for r in found.where("kind is not null").groupBy(
-        "kind", *VOTERS, _size_class().alias("c")).agg(F.count("*").alias("n")).collect()}
+    """(kind, shape, listed, said, size class, look, chance) of every pattern that occurs: at most 7 * 27 * 4 * 16 rows."""
+    counts = {(r.kind, (r.shape, r.listed, r.said), r.c, r.look): float(r.n) for r in found.where("kind is not null").groupBy(
+        "kind", *VOTERS, _size_class().alias("c"), "look").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     targets = {}
     for kind in PATTERNS:
         votes: dict[tuple, float] = {}
-        for (k, v, _), n in counts.items():
+        for (k, v, _, _), n in counts.items():
             if k == kind:
                 votes[v] = votes.get(v, 0) + n
         if votes:
             post, _ = em(votes)
             targets |= {key: post[key[1]] for key in counts if key[0] == kind}
-    return [(k, *v, c, p) for (k, v, c), p in train(counts, targets).items()]
+    return [(k, *v, c, look, p) for (k, v, c, look), p in train(counts, targets).items()]
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,11 +271,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """
     spark = docs.sparkSession
     found = stash(candidates(docs, id_col, text), "candidates")
-    none = ("", 0, 0, 0, 0, 0.0)
-    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(["kind", *VOTERS, "c", "chance"], r)]) for r in [none, *span_chances(found)]]
-    known = spark.range(1).select(F.inline(F.array(*rows)))
-    on = ["kind", *VOTERS, "c"]
-    # at most 756 rows
+    on = ["kind", *VOTERS, "c", "look"]
+    rows = json.dumps([dict(zip([*on, "chance"], r)) for r in span_chances(found)])
+    kinds = "array<struct<kind:string,shape:int,listed:int,said:int,c:int,look:int,chance:double>>"
+    known = spark.range(1).select(F.inline(F.from_json(F.lit(rows), kinds)))
+    # at most 12,096 rows
     scored = found.withColumn("c", _size_class()).join(F.broadcast(known), on, "left")
     backed = F.greatest(*VOTERS) > 0
     order = F.array_position(F.array(*[F.lit(k) for k in PATTERNS]), F.col("kind")).cast("int")

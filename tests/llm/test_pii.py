@@ -78,3 +78,40 @@ def test_main_path_runs_no_python(spark):
     from procspark.llm.pii import candidates
     plan = candidates(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_added_kinds_are_found_and_look_alikes_left(spark):
+    """Planted spans of the kinds without a fixed rule: at least 0.9 of each found, at most 0.1 of the look-alikes."""
+    import random
+    r = random.Random(6)
+    words = "the river ran slowly past old houses while people talked about bread and weather until evening came".split()
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    first, last = ("Anna Peter Julia Hans Marie Carlos Emma George".split(), "Meyer Dubois Garcia Smith Rossi Novak".split())
+    plant = {
+        "email_spelled": lambda: f"{r.choice(['contact', 'mail', 'write to'])} {r.choice(first).lower()}.{r.choice(last).lower()} [at] site{r.randrange(99)} [dot] {r.choice(['com', 'org', 'de'])}",
+        "phone_local": lambda: f"{r.choice(['call', 'phone', 'tel:'])} ({r.randrange(200, 999)}) {r.randrange(100, 999)}-{r.randrange(1000, 9999)}",
+        "name": lambda: f"{r.choice(['signed', 'contact', 'dear', 'name:'])} {r.choice(['Mr', 'Dr', 'Frau'])} {r.choice(first)} {r.choice(last)}"}
+    decoy = {"phone_local": lambda: f"version 0{r.randrange(10, 99)}.{r.randrange(100, 999)}.{r.randrange(1000, 9999)} score",
+             "name": lambda: f"street Dr {r.choice(['Oak', 'Elm', 'Mill'])} avenue"}
+    rows, kind_of = [], {}
+    for i in range(600):
+        mode = r.choice(["plant", "decoy", "none"])
+        kind = r.choice(list(plant if mode == "plant" else decoy))
+        text = f"{prose(12)} {(plant if mode == 'plant' else decoy)[kind]() if mode != 'none' else prose(3)} {prose(12)}"
+        kind_of[i] = (mode, kind)
+        rows.append((i, text))
+    got = {x.doc_id: {s.split(":")[0] for s in x.spans.split(",") if s} for x in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in plant:
+        mine = [i for i, v in kind_of.items() if v == ("plant", kind)]
+        assert sum(kind in got[i] for i in mine) >= .9 * len(mine), kind
+        away = [i for i, v in kind_of.items() if v == ("decoy", kind)]
+        assert sum(kind in got[i] for i in away) <= .1 * len(away), kind
+    assert not any(got[i] for i, v in kind_of.items() if v[0] == "none")
+
+
+def test_classifier_generalises_by_look():
+    """Silent voters: what looks like the spans that the voters are sure of is taken, what looks like the others is not."""
+    sure, off, silent = (1, 1, 1), (-1, -1, -1), (0, 0, 0)
+    counts = {("name", sure, 1, 3): 200.0, ("name", off, 1, 8): 200.0, ("name", silent, 1, 3): 20.0, ("name", silent, 1, 8): 20.0}
+    got = train(counts, {k: {sure: .99, off: .01, silent: .5}[k[1]] for k in counts})
+    assert got[("name", silent, 1, 3)] > .52 and got[("name", silent, 1, 8)] < .48
