@@ -72,6 +72,18 @@ def test_one_large_file_is_many_tasks(spark, tmp_path, size):
         qj.read_nested(spark, str(tmp_path / "bad.json")).collect()
 
 
+def test_flatten_works_its_data_out_once(spark):
+    """The data of a row is made once, also if Python makes it; rows without articles have no questions."""
+    from procspark.functions.tokens import offsets, words
+    raw = spark.createDataFrame([("f", "one two"), ("g", "")], "file string, t string").withColumn("n", F.size(offsets(words(F.col("t")))))
+    qa_row = F.struct(F.concat(F.lit("q"), F.col("n").cast("string")).alias("id"), F.col("t").alias("question"),
+                      F.array(F.struct(F.col("t").alias("text"), F.lit(0).alias("answer_start"))).alias("answers"))
+    articles = F.array(F.struct(F.array(F.struct(F.col("t").alias("context"), F.array(qa_row).alias("qas"))).alias("paragraphs")))
+    d = qj.flatten(raw.select("file", F.when(F.col("n") > 0, articles).alias("data")))
+    assert d._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r.file, r.article_no, r.id) for r in d.collect()] == [("f", 0, "q2")]
+
+
 def test_answer_check(spark, qa_file, tmp_path):
     p = tmp_path / "bad.json"
     p.write_text(open(qa_file, encoding="utf-8").read().replace('"answer_start": 18', '"answer_start": 17'), encoding="utf-8")

@@ -19,6 +19,20 @@ def test_words_and_offsets(spark):
         assert [tuple(x) for x in r.o] == [m.span() for m in re.finditer(r"[^ \t\n\x0b\f\r]+", r.t)]
 
 
+def test_spans_of_a_batch_take_little_memory_besides_it():
+    import pyarrow as pa
+    from procspark.functions.tokens import _token_spans
+    tokens = pa.array([[" word"] * 500, None, []] * 2000 + [["a"] * 100_000])
+    import tracemalloc
+    tracemalloc.start()  # numpy reports to it
+    spans = _token_spans(tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 8 * 1_100_000
+    assert spans[0].as_py()[:2] == [{"start": 1, "end": 5}, {"start": 6, "end": 10}] and spans[1].as_py() == [] and spans[2].as_py() == []
+    assert spans[-1].as_py()[-1] == {"start": 99_999, "end": 100_000} and len(spans) == len(tokens)
+
+
 def test_attention_mask(spark):
     d = spark.createDataFrame([(2, 4), (0, 0), (3, 3)], "n int, l int")
     assert [r[0] for r in d.select(attention_mask(F.col("n"), F.col("l"))).collect()] == [[1, 1, 0, 0], [], [1, 1, 1]]
