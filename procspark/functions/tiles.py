@@ -11,7 +11,7 @@ Shape = tuple[int, int, int]
 TILE_BYTES = 64 << 20    # vectors per side of a tile, as doubles
 MIN_BLOCK = 1024         # smaller blocks are not worth a task
 TILES_PER_CORE = 4
-CHUNK_CELLS = 4_000_000  # scores in memory at once
+CHUNK_CELLS = 1_000_000  # scores in memory at once
 
 
 def blocks(n_rows: int, per_block: int) -> int:
@@ -50,14 +50,28 @@ def chunk_rows(width: int) -> int:
     return max(1, CHUNK_CELLS // max(width, 1))
 
 
-def tiles(x: DataFrame, y: DataFrame, x_key: str, y_key: str, gx: int, gy: int):
-    """Co-groups (x block, y block); each side is repeated once per block of the other."""
+def _tiled(x: DataFrame, y: DataFrame, x_key: str, y_key: str, gx: int, gy: int) -> tuple[DataFrame, DataFrame]:
     def block(key: str, n: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(n))
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
 
-    xs = x.withColumn("_bx", block(x_key, gx)).withColumn("_by", every(gy))
-    ys = y.withColumn("_by", block(y_key, gy)).withColumn("_bx", every(gx))
+    return (x.withColumn("_bx", block(x_key, gx)).withColumn("_by", every(gy)),
+            y.withColumn("_by", block(y_key, gy)).withColumn("_bx", every(gx)))
+
+
+def tiles(x: DataFrame, y: DataFrame, x_key: str, y_key: str, gx: int, gy: int):
+    """Co-groups (x block, y block); each side is repeated once per block of the other."""
+    xs, ys = _tiled(x, y, x_key, y_key, gx, gy)
     return xs.groupBy("_bx", "_by").cogroup(ys.groupBy("_bx", "_by"))
+
+
+def tile_rows_of(x: DataFrame, y: DataFrame, x_key: str, y_key: str, gx: int, gy: int):
+    """As ``tiles``, but the rows of both sides in one group, with ``id`` for the key and ``is_y``; the sides have the same other columns.
+
+    A function of batches may give the rows of such a group bit by bit, which that of a co-group can't.
+    """
+    xs, ys = _tiled(x, y, x_key, y_key, gx, gy)
+    xs = xs.withColumnRenamed(x_key, "id").withColumn("is_y", F.lit(False))
+    return xs.unionByName(ys.withColumnRenamed(y_key, "id").withColumn("is_y", F.lit(True))).groupBy("_bx", "_by")

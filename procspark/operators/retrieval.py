@@ -3,18 +3,19 @@
 Every x must meet every y. Both sides are hashed into blocks and each (x block,
 y block) tile is one bounded co-group: scores exist only inside a tile's numpy
 arrays, and what leaves it is one row per x (rank parts, best match, sum) or the
-k best per x. The n * n score matrix is never a table.
+k best per x. The n * n score matrix is never a table. A tile of neighbour lists
+gives its rows a block of scores at a time, as k lists can be more than its vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from procspark.functions.tiles import CHUNK_CELLS, Shape, chunk_rows, grid, shape_of, tiles
+from procspark.functions.tiles import CHUNK_CELLS, Shape, chunk_rows, grid, shape_of, tile_rows_of, tiles
 from procspark.functions.vectors import cosine, doubles, matrix, mean_vector, unit_rows
 
 TIE_DIGITS = 10          # scores equal to this many digits are ties
@@ -224,7 +225,7 @@ def _k_largest(s: np.ndarray, k: int) -> np.ndarray:
     edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
     above, equal = s > edge, s == edge
     room = k - above.sum(axis=1, keepdims=True)
-    return above | (equal & (np.cumsum(equal, axis=1) <= room))
+    return above | (equal & (np.cumsum(equal, axis=1, dtype="int32") <= room))
 
 
 def _lists(ids, sizes: np.ndarray, y_ids, scores, labels) -> pa.Table:
@@ -233,12 +234,13 @@ def _lists(ids, sizes: np.ndarray, y_ids, scores, labels) -> pa.Table:
         ("y_ids", y_ids), ("scores", scores), ("labels", labels))}})
 
 
+MERGED = 128  # targets whose lists are merged at a time
+
+
 def _merged(k: int):
     """Several sorted lists of a target to its k best, lower ids first among ties; a batch of targets at a time."""
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(i, MERGED) for whole in batches for i in range(0, whole.num_rows, MERGED)):
             outer = batch.column(1)
             parts = outer.flatten()
             each = np.repeat(np.arange(len(outer)), outer.value_lengths().to_numpy(zero_copy_only=False))
@@ -265,27 +267,40 @@ def neighbour_lists(targets: DataFrame, sources: DataFrame, k: int, tile_rows: i
     """
     n_x, n_y, dims = shape or shape_of(targets, sources, F.lit(1), F.size("vec"))
     gx, gy = grid(targets.sparkSession, n_x, n_y, dims, tile_rows, wide_y=True)
-    xs = targets.select("x_id", doubles(F.col("vec")).alias("vec"))
-    ys = sources.select("y_id", doubles(F.col("vec")).alias("vec"), "label")
+    xs = targets.select("x_id", doubles(F.col("vec")).alias("vec"), F.lit(None).cast("int").alias("label"))
+    ys = sources.select("y_id", doubles(F.col("vec")).alias("vec"), F.col("label").cast("int").alias("label"))
 
-    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _lists(pa.array([], pa.int64()), np.zeros(0, int), np.zeros(0, "int64"), np.zeros(0), np.zeros(0, "int32"))
-        right = right.sort_by("y_id")
-        ids, y_ids, labels = (c.to_numpy() for c in (left["x_id"], right["y_id"], right["label"]))
-        a, b = unit_rows(matrix(left["vec"])), unit_rows(matrix(right["vec"]))
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right = [], []
+        for batch in batches:
+            of_y = batch.column("is_y").to_numpy(zero_copy_only=False)
+            for side, mask in ((left, ~of_y), (right, of_y)):
+                if mask.any():
+                    part = batch.filter(pa.array(mask))
+                    side.append((part.column("id").to_numpy(), unit_rows(matrix(part.column("vec"))), part.column("label").to_numpy(zero_copy_only=False)))
+        if not left or not right:
+            return
+        y_ids = np.concatenate([part[0] for part in right])
+        labels = np.concatenate([part[2] for part in right])
+        order = np.argsort(y_ids, kind="stable")
+        y_ids, labels = y_ids[order], labels[order].astype("int32")
+        place, b, at = np.argsort(order, kind="stable"), np.empty((len(order), right[0][1].shape[1])), 0
+        while right:
+            part = right.pop(0)[1]
+            b[place[at:at + len(part)]] = part
+            at += len(part)
         m, step = min(k, len(y_ids)), chunk_rows(len(y_ids))
-        out = []
-        for i in range(0, len(ids), step):
-            s = np.round(a[i:i + step] @ b.T, TIE_DIGITS)
-            col = np.nonzero(_k_largest(s, m))[1].reshape(len(s), m)
-            score = np.take_along_axis(s, col, 1)
-            best = np.argsort(-score, axis=1, kind="stable")
-            col, score = (np.take_along_axis(v, best, 1).ravel() for v in (col, score))
-            out.append(_lists(ids[i:i + step], np.full(len(s), m), y_ids[col], score, labels[col].astype("int32")))
-        return pa.concat_tables(out)
-
-    found = tiles(xs, ys, "x_id", "y_id", gx, gy).applyInArrow(nearest, TOP_SCHEMA)
+        for ids, a, _ in left:
+            for i in range(0, len(ids), step):
+                s = a[i:i + step] @ b.T
+                np.round(s, TIE_DIGITS, out=s)
+                col = np.nonzero(_k_largest(s, m))[1].reshape(len(s), m)
+                score = np.take_along_axis(s, col, 1)
+                best = np.argsort(-score, axis=1, kind="stable")
+                col, score = (np.take_along_axis(v, best, 1).ravel() for v in (col, score))
+                yield from _lists(ids[i:i + step], np.full(len(s), m), y_ids[col], score, labels[col]).to_batches()
+
+    found = tile_rows_of(xs, ys, "x_id", "y_id", gx, gy).applyInArrow(nearest, TOP_SCHEMA)
     if gy == 1:
         return found
     lists = found.groupBy("x_id").agg(F.collect_list(F.struct("y_ids", "scores", "labels")).alias("parts"))
@@ -303,6 +318,16 @@ def top_sources(targets: DataFrame, sources: DataFrame, k: int, tile_rows: int |
 
 KNN_SIZES = (1, 3, 10, 25, 50, 100, 250, 500, 1000)  # fixed values
 VOTE_CELLS = 4_000_000  # counts (target, label) in memory at once
+VOTE_LABELS = 500_000   # labels of lists walked at a time, or one longer list
+
+
+def _bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose lists (the second column) have about ``VOTE_LABELS`` entries."""
+    ends, at = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False), dtype="int64"), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + VOTE_LABELS, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def knn_vote(neighbours: DataFrame, ks: Sequence[int] = KNN_SIZES) -> DataFrame:
@@ -329,9 +354,7 @@ def knn_vote(neighbours: DataFrame, ks: Sequence[int] = KNN_SIZES) -> DataFrame:
         return np.stack(out, 1)
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in _bounded(whole)):
             lists = batch.column(1)
             length = lists.value_lengths().to_numpy(zero_copy_only=False)
             classes, flat = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)

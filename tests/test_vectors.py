@@ -78,6 +78,25 @@ def test_knn(spark, tile):
     assert {(r.x_id, r.pred) for r in back.collect()} == {(0, -100), (1, 5), (2, -100)}
 
 
+def test_neighbour_lists_and_votes_leave_a_task_bit_by_bit(spark, monkeypatch):
+    """Lists of a tile and labels of a batch are worked on in small parts, with the same results."""
+    src, trg, labels = RNG.normal(size=(300, 4)), RNG.normal(size=(200, 4)), RNG.integers(0, 5, 300)
+    s = np.round(_unit(trg) @ _unit(src).T, 10)
+    sources = _table(spark, src, y_id=range(300), label=labels).withColumn("label", F.col("label").cast("int"))
+    near = rt.neighbour_lists(_table(spark, trg, x_id=range(200)), sources, 250, 100)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan  # a co-group gives its lists all at once
+    got = {r.x_id: (r.y_ids, r.labels) for r in near.collect()}
+    for i in range(200):
+        order = np.argsort(-s[i], kind="stable")[:250]
+        assert got[i] == (order.tolist(), labels[order].tolist())
+    batch = near.limit(50).select("x_id", "labels").toArrow().combine_chunks().to_batches()[0]
+    monkeypatch.setattr(rt, "VOTE_LABELS", 1000)
+    parts = list(rt._bounded(batch))
+    assert len(parts) > 9 and sum(p.num_rows for p in parts) == batch.num_rows
+    assert all(p.num_rows == 4 for p in parts[:-1])
+
+
 def _cka(x, y):
     x, y = x - x.mean(0), y - y.mean(0)
     return np.linalg.norm(x @ y.T) ** 2 / (np.linalg.norm(x.T @ x) * np.linalg.norm(y.T @ y))
