@@ -80,7 +80,9 @@ def _texts(col: dict, row: np.ndarray, begin: np.ndarray, finish: np.ndarray, fi
     tokens = col["context_tokens"]
     whole = pc.binary_join(tokens, "").to_pylist()
     at = tokens.offsets.to_numpy()
-    sizes = pc.utf8_length(tokens.values).fill_null(0).to_numpy(zero_copy_only=False)
+    own = tokens.values.slice(at[0], at[-1] - at[0])  # of these windows, not of the whole batch
+    at = at - at[0]
+    sizes = pc.utf8_length(own).fill_null(0).to_numpy(zero_copy_only=False)
     first = np.where(np.diff(at) > 0, sizes[np.minimum(at[:-1], len(sizes) - 1)], 0) if len(sizes) else np.zeros(len(at) - 1, int)
     start = first_end - first
     return [whole[r][a - start[r]:b - start[r]].lstrip(SPACE) if b > a else "" for r, a, b in zip(row, begin, finish)]
@@ -102,9 +104,11 @@ def feature_candidates(features: DataFrame, n_best: int = 20, max_answer_length:
 
     def run(batches):
         for batch in batches:
+            part = None
             for i in range(0, batch.num_rows, WINDOWS):
                 part = batch.slice(i, WINDOWS)
                 yield pa.RecordBatch.from_arrays([part.column(0), _window_spans(part, n_best, max_answer_length, with_text)], ["example_id", "spans"])
+            del batch, part  # before the next one comes
 
     return src.mapInArrow(run, f"example_id {src.schema['example_id'].dataType.simpleString()}, spans {CANDIDATES}")
 

@@ -116,3 +116,15 @@ def test_references_without_prediction_score_zero(spark):
     preds = spark.createDataFrame([("a", "x y"), ("c", "w")], "id string, prediction_text string")
     m = qa.squad_metric(qa.squad_scores(preds, refs)).first()
     assert (m.exact_match, m.f1, m.n) == (50.0, 50.0, 2)
+
+
+def test_texts_of_a_part_read_its_own_tokens_only(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    tokens = pa.array([[f" w{i}", " of", f" x{i}"] for i in range(1000)])
+    seen, lengths = [], qa.pc.utf8_length
+    monkeypatch.setattr(qa.pc, "utf8_length", lambda a: seen.append(len(a)) or lengths(a))
+    part = tokens.slice(500, 10)
+    rows = np.arange(10)
+    got = qa._texts({"context_tokens": part}, rows, np.ones(10, int), np.full(10, 7), np.full(10, 5))
+    assert got == [f"w{i} of"[:6] for i in range(500, 510)] and seen == [30]
