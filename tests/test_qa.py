@@ -128,3 +128,34 @@ def test_texts_of_a_part_read_its_own_tokens_only(monkeypatch):
     rows = np.arange(10)
     got = qa._texts({"context_tokens": part}, rows, np.ones(10, int), np.full(10, 7), np.full(10, 5))
     assert got == [f"w{i} of"[:6] for i in range(500, 510)] and seen == [30]
+
+
+BLANK = ["", "   ", "\n\t ", None, "one", " two words ", "the first of some more words than three", "a line\n\nand another  "]
+
+
+@pytest.fixture
+def blank_texts(tmp_path):
+    """Documents without a word, and others; some have no source, so no question."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    rows = [{"doc_id": i, "text": BLANK[i % 8], "lang": ["en", "de", "fr"][i % 3], "source": None if i % 11 == 5 else "web", "n_chars": len(BLANK[i % 8] or "")}
+            for i in range(96)]
+    kinds = [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]
+    pq.write_table(pa.Table.from_pylist(rows, pa.schema(kinds)), tmp_path / "documents.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["qa_flatten", "qa_rejects"])
+def test_documents_without_a_word_are_no_nested_examples(spark, blank_texts, name):
+    _same_as_sql(spark, blank_texts, name)
+
+
+def _same_as_sql(spark, folder, name):
+    import duckdb
+
+    import check
+    from procspark import plans
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    text, ok = check.compare(spark, con, folder, name, plans.QUERIES[name], plans.SQL[name])
+    assert ok and "rows=0 " not in text, text
