@@ -17,12 +17,12 @@ CLS = 0
 
 
 def _window_starts(n: Column, width: Column, stride: int) -> Column:
-    """First context token of each window; the last window is the first to reach the end."""
+    """First context token of each window; the last window is the first to reach the end. Null without a question."""
     step = width - stride
     checked = F.when(step > 0, step).otherwise(F.raise_error(
         F.lit("question leaves no room for context beyond the stride")).cast("int"))
     last = F.when(n > width, F.ceil((n - width) / checked) * checked).otherwise(F.lit(0))
-    return F.sequence(F.lit(0), last.cast("int"), checked)
+    return F.when(width.isNotNull(), F.sequence(F.lit(0), last.cast("int"), checked))
 
 
 def qa_features(df: DataFrame, question: str = "question", context: str = "context",

@@ -159,3 +159,8 @@ def _same_as_sql(spark, folder, name):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
     text, ok = check.compare(spark, con, folder, name, plans.QUERIES[name], plans.SQL[name])
     assert ok and "rows=0 " not in text, text
+
+
+@pytest.mark.parametrize("name", ["qa_em_f1", "qa_metric", "qa_metric_missing"])
+def test_documents_without_a_word_are_not_scored(spark, blank_texts, name):
+    _same_as_sql(spark, blank_texts, name)
