@@ -164,3 +164,17 @@ def _same_as_sql(spark, folder, name):
 @pytest.mark.parametrize("name", ["qa_em_f1", "qa_metric", "qa_metric_missing"])
 def test_documents_without_a_word_are_not_scored(spark, blank_texts, name):
     _same_as_sql(spark, blank_texts, name)
+
+
+def test_documents_without_a_word_have_no_span_labels(spark, blank_texts):
+    _same_as_sql(spark, blank_texts, "qa_span_labels")
+
+
+def test_windows_without_context_are_labelled_cls(spark):
+    from procspark.operators import qa_windows as qw
+    rows = [(1, " ", "why", ([], [])), (2, "", "why", (["a"], [0])), (3, None, "why", (["a"], [0])), (4, "a b", None, (["a"], [0])), (5, "a b", "why", (["b"], [2]))]
+    df = spark.createDataFrame(rows, "id long, context string, question string, answers struct<text:array<string>,answer_start:array<int>>")
+    once = qw.span_labels(qw.qa_features(df))
+    both = qw.span_labels(once.withColumnsRenamed({"start_position": "s", "end_position": "e"}), compat=True)
+    got = {r.example_id: (r.s, r.e, r.start_position, r.end_position) for r in both.collect()}
+    assert got == {1: (0,) * 4, 2: (0,) * 4, 3: (0,) * 4, 5: (4, 4, 5, 4)}
