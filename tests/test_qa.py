@@ -178,3 +178,7 @@ def test_windows_without_context_are_labelled_cls(spark):
     both = qw.span_labels(once.withColumnsRenamed({"start_position": "s", "end_position": "e"}), compat=True)
     got = {r.example_id: (r.s, r.e, r.start_position, r.end_position) for r in both.collect()}
     assert got == {1: (0,) * 4, 2: (0,) * 4, 3: (0,) * 4, 5: (4, 4, 5, 4)}
+
+
+def test_documents_without_a_word_have_no_windows(spark, blank_texts):
+    _same_as_sql(spark, blank_texts, "qa_windows")
