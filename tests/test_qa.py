@@ -182,3 +182,25 @@ def test_windows_without_context_are_labelled_cls(spark):
 
 def test_documents_without_a_word_have_no_windows(spark, blank_texts):
     _same_as_sql(spark, blank_texts, "qa_windows")
+
+
+def test_answers_of_examples_are_cut_without_python(spark, tmp_path):
+    import re
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from procspark.plans import views as v
+    rnd = random.Random(3)
+    text = lambda: "".join(rnd.choice([" ", "\t", "\n", "\x0b", "  "]) if rnd.random() < .3 else rnd.choice("aß漢😀é.") for _ in range(rnd.randrange(60)))
+    rows = [{"doc_id": i, "text": text(), "lang": "en", "source": "w", "n_chars": 1} for i in range(-20, 200)]
+    kinds = [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]
+    pq.write_table(pa.Table.from_pylist(rows, pa.schema(kinds)), tmp_path / "documents.parquet")
+    df = v.qa_examples(spark, str(tmp_path))
+    want = {}
+    for r in rows:
+        spans = [m.span(1) for m in re.finditer(r"[ \t\n\x0b\f\r]*([^ \t\n\x0b\f\r]+)", r["text"])]
+        k = r["doc_id"] * 31 % len(spans) if spans and r["doc_id"] >= 0 else 0 if spans and r["doc_id"] * 31 % len(spans) == 0 else None
+        want[r["doc_id"]] = (None, None) if k is None else (spans[k][0], r["text"][spans[k][0]:spans[min(k + 2, len(spans) - 1)][1]])
+    assert {r.id: (r.answers.answer_start[0], r.answers.text[0]) for r in df.collect()} == want
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
